@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from freshet import fixed
 from freshet.functions.scalars import is_core_name
-from freshet.session import settle
+from freshet.session import broadcast_checked, settle
 
 
 def numeric_features(df: DataFrame, reserved: Sequence[str] = fixed.RESERVED) -> list[str]:
@@ -72,7 +72,7 @@ def common_features(
     """
     first = df.select(key).distinct().orderBy(key).limit(sample_series)
     seen = settle(
-        non_null_counts(df.join(first, key, "left_semi"), columns, key=key).filter("n > 0")
+        non_null_counts(df.join(F.broadcast(first), key, "left_semi"), columns, key=key).filter("n > 0")
     )
     # At most sample_series x columns rows from here on.
     some = seen.select(key).distinct()
@@ -116,7 +116,7 @@ def exclude_columns(
     bounded by the table's width.
     """
     lists = exclusions.groupBy(key).agg(F.collect_set("column").alias("_excluded"))
-    out = df.join(lists, key, "left")
+    out = df.join(broadcast_checked(settle(lists)), key, "left")
     hit = lambda c: F.coalesce(F.array_contains("_excluded", F.lit(c)), F.lit(False))
     value = F.lit(fill).cast("double")
     return out.withColumns(

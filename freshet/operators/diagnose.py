@@ -127,12 +127,21 @@ def diagnose(
     time: str = fixed.TIME,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """One diagnosis row per series."""
+    """One diagnosis row per series: target statistics and missing rates from one pass over the
+    panel, persistence scores from a window over key, time and target."""
     rows = require(features, [time, key, target])
+    columns = numeric_features(features) if columns is None else list(columns)
     scores = persistence_scores(rows, target, split_date, key=key, time=time, block_rows=block_rows)
-    rates = mean_rate(missing_rates(rows, columns, split_date, key=key, time=time), key=key)
-    table = series_stats(rows, target, split_date, key=key, time=time)
-    table = table.join(scores, key, "left").join(rates, key, "left")
+    test = side(time, split_date) == "test"
+    y = F.col(target)
+    gaps = [F.avg(F.when(test, F.col(c).isNull().cast("double"))) for c in columns]
+    mean_gap = sum(gaps[1:], gaps[0]) / len(gaps) if gaps else F.lit(0.0)
+    table = rows.groupBy(key).agg(
+        *stat_columns(F.when(side(time, split_date) == "train", y), "train"),
+        *stat_columns(F.when(test, y), "test"),
+        mean_gap.alias("avg_nan_rate_test"),
+    )
+    table = table.join(scores, key, "left")
     return table.select(
         key,
         "n_train",

@@ -41,7 +41,7 @@ def apply_target_encoding(
     """Look the encoding up; a series without one gets the global mean."""
     value = global_mean if isinstance(global_mean, Column) else F.lit(float(global_mean))
     table = encoding.select(key, F.col("enc").alias("_enc"))
-    return df.join(table, key, "left").withColumn(name, F.coalesce("_enc", value)).drop("_enc")
+    return df.join(broadcast_checked(table), key, "left").withColumn(name, F.coalesce("_enc", value)).drop("_enc")
 
 
 def train_medians(
@@ -51,7 +51,7 @@ def train_medians(
     key: str = fixed.KEY,
     exact_rows: int = EXACT_ROWS,
 ) -> DataFrame:
-    """Exact median of each column per series; missing values are left out.
+    """Exact median of each column per series, stored; missing values are left out.
 
     ``median`` holds the distinct values of a group in memory, which fits series up to
     ``exact_rows`` rows. Longer ones go through :func:`_long_medians`: same result, bounded state.
@@ -61,13 +61,12 @@ def train_medians(
         train.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > exact_rows).select(key)
     )
     if long.isEmpty():
-        return train.groupBy(key).agg(*[F.median(c).alias(c) for c in columns])
+        return settle(train.groupBy(key).agg(*[F.median(c).alias(c) for c in columns]))
     side = broadcast_checked(long)
     short = train.join(side, key, "left_anti")
     direct = short.groupBy(key).agg(*[F.median(c).alias(c) for c in columns])
-    return direct.unionByName(
-        _long_medians(train.join(side, key, "left_semi"), columns, key, exact_rows)
-    )
+    rest = _long_medians(train.join(side, key, "left_semi"), columns, key, exact_rows)
+    return settle(direct.unionByName(rest))
 
 
 def _long_medians(rows: DataFrame, columns: list[str], key: str, exact_rows: int) -> DataFrame:
@@ -167,14 +166,14 @@ def impute_rules(
     df: DataFrame, columns: Sequence[str], medians: DataFrame | None, *, key: str = fixed.KEY
 ) -> DataFrame:
     """Missing lags, rolls, degree-days, deficit and snow become 0, the rest the series' training
-    median; a column without any training value stays missing."""
+    median; a column without any training value stays missing. ``medians`` should be stored."""
     zero = {c: F.coalesce(c, F.lit(0.0)) for c in columns if is_zero_feature(c)}
     rest = [c for c in columns if c not in zero]
     out = df.withColumns(zero) if zero else df
     if not rest or medians is None:
         return out
     table = medians.select(key, *[F.col(c).alias(f"_m_{c}") for c in rest])
-    out = out.join(table, key, "left")
+    out = out.join(broadcast_checked(table), key, "left")
     return out.withColumns({c: F.coalesce(c, f"_m_{c}") for c in rest}).drop(
         *[f"_m_{c}" for c in rest]
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from freshet import fixed
 from freshet.functions.scalars import null_negative
+from freshet.session import broadcast_checked
 
 
 def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -22,8 +23,8 @@ def attach_static(
     """Left join of per-series attributes.
 
     A name present on both sides is kept from the left, or, with ``dup_suffix``, kept twice as
-    ``name_x`` and ``name_y``. No broadcast is forced: stored attribute tables carry their size, so
-    the planner broadcasts small ones and AQE splits a hot series in the other case.
+    ``name_x`` and ``name_y``. The attributes are broadcast if a count shows them small; else the
+    join shuffles and AQE splits a hot series.
     """
     both = [c for c in attrs.columns if c != key and c in df.columns]
     if dup_suffix:
@@ -31,7 +32,7 @@ def attach_static(
         attrs = attrs.withColumnsRenamed({c: f"{c}_y" for c in both})
     else:
         attrs = attrs.drop(*both)
-    return df.join(attrs, key, "left")
+    return df.join(broadcast_checked(attrs), key, "left")
 
 
 def build_master(

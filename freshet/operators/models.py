@@ -32,7 +32,7 @@ from freshet.operators.metrics import (
 )
 from freshet.operators.policy import suggest_retrained
 from freshet.operators.split import cap_per_series, cap_total, capped_counts, restrict_to, temporal_split
-from freshet.session import scratch_path, settle, store
+from freshet.session import broadcast_checked, scratch_path, settle, store
 
 GROUP_ROWS = 200_000
 
@@ -100,7 +100,7 @@ def global_rows(
     train = rows.filter("side = 'train'")
     encoding = settle(fit_target_encoding(train, target, key=key))
     middle = median_columns(base)
-    medians = settle(train_medians(train, middle, key=key)) if middle else None
+    medians = train_medians(train, middle, key=key) if middle else None
     counts = rows.groupBy(key).agg(
         F.count_if(F.col("side") == "train").alias("n_train"),
         F.count_if(F.col("side") == "test").alias("n_test"),
@@ -218,7 +218,8 @@ def fit_per_series(
     """
     params = {**fixed.BOOSTING, **(params or {})}
     columns = list(columns)
-    sizes = features.groupBy(key).agg(F.count("*").alias("rows")).filter(F.col("rows") >= min_rows)
+    sizes = features.groupBy(key).agg(F.count("*").alias("rows"))
+    sizes = broadcast_checked(settle(sizes.filter(F.col("rows") >= min_rows)))
     rows = temporal_split(features, target, split_date, key=key, time=time)
     rows = rows.join(sizes, key).select(key, time, "side", "rows", target, *columns)
     if exclusions is not None:
@@ -228,8 +229,8 @@ def fit_per_series(
     # What a series may use is decided before imputation fills the gaps. Lists are as wide as the table.
     used = F.array_compact(F.array(*[F.when(F.count(c) > 0, F.lit(c)) for c in columns]))
     usable = rows.groupBy(key).agg(used.alias("features_used"))
-    usable = usable.filter(F.size("features_used") >= min_features)
-    rows = impute_rules(rows, columns, medians, key=key).join(usable, key)
+    usable = settle(usable.filter(F.size("features_used") >= min_features))
+    rows = impute_rules(rows, columns, medians, key=key).join(broadcast_checked(usable), key)
     rows = store(rows, "fit-rows")
 
     log = target == "y_log1p"

@@ -12,6 +12,7 @@ from freshet import fixed
 from freshet.functions.scalars import is_zero_feature
 from freshet.operators.diagnose import missing_rates
 from freshet.operators.metrics import first_per_key
+from freshet.session import broadcast_checked
 
 
 def join_diagnostics(metrics: DataFrame, summary: DataFrame, *, key: str = fixed.KEY) -> DataFrame:
@@ -48,7 +49,8 @@ def missing_policy(
     row per series, in column order.
     """
     listed = joined.filter(F.col("avg_nan_rate_test") >= fixed.HIGH_MISSING).select(key).distinct()
-    rates = missing_rates(features.join(listed, key, "left_semi"), columns, split_date, key=key, time=time)
+    rows = features.join(broadcast_checked(listed), key, "left_semi")
+    rates = missing_rates(rows, columns, split_date, key=key, time=time)
     excluded = F.array_compact(
         F.array(*[F.when(F.col(c) >= fixed.EXCLUDE_RATE, F.lit(c)) for c in columns])
     )

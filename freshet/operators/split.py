@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from freshet import fixed
 from freshet.operators.master import require
-
-SALTS = 64
+from freshet.session import broadcast_checked, settle
 
 
 def side(time: str = fixed.TIME, split_date: str = fixed.SPLIT_DATE) -> Column:
@@ -52,11 +51,16 @@ def temporal_split(
     key: str = fixed.KEY,
     time: str = fixed.TIME,
 ) -> DataFrame:
-    """Rows with a ``side`` column, for series that have rows on both sides."""
+    """Rows with a ``side`` column, for series that have rows on both sides.
+
+    The valid series are counted first, from three columns; where they are few enough to broadcast,
+    the panel itself is not shuffled.
+    """
     rows = require(df, [target, time, key])
     counts = split_counts(rows, target, split_date, key=key, time=time)
-    valid = counts.filter((F.col("n_train") > 0) & (F.col("n_test") > 0)).select(key)
-    return rows.join(valid, key, "left_semi").withColumn("side", side(time, split_date))
+    valid = settle(counts.filter((F.col("n_train") > 0) & (F.col("n_test") > 0)).select(key))
+    rows = rows.join(broadcast_checked(valid), key, "left_semi")
+    return rows.withColumn("side", side(time, split_date))
 
 
 def pooled_split(
@@ -136,20 +140,28 @@ def cap_per_series(
 ) -> DataFrame:
     """At most ``caps[value of by]`` rows of each series and side, taken in hash order.
 
-    Ranked per salt first and then per series: the rows a series keeps are among the first of its
-    salts, so a hot series is cut down on many tasks before one task ranks what is left.
+    A draw with more leading zeros is smaller, and each further zero keeps one row in sixteen. Counts
+    per number of zeros show how many a series can demand and still hold enough rows. So a hot series
+    is thinned to some multiple of its cap before anything is ranked, and the rows kept are exactly
+    the first ones.
     """
-    draw = hash_order([key, time], seed)
-    limit = F.coalesce(*[F.when(F.col(by) == v, F.lit(n)) for v, n in caps.items()])
-    rows = df.withColumn("_draw", draw).withColumn(
-        "_salt", F.pmod(F.xxhash64("_draw"), F.lit(SALTS))
+    rows = df.withColumn("_draw", hash_order([key, time], seed)).withColumn(
+        "_zeros", F.length(F.regexp_extract("_draw", "^0*", 0))
+    )
+    cap = F.coalesce(*[F.when(F.col(by) == v, F.lit(n)) for v, n in caps.items()])
+    down = Window.partitionBy(key, by).orderBy(F.desc("_zeros"))
+    counts = rows.groupBy(key, by, "_zeros").agg(F.count("*").alias("n"))
+    held = counts.withColumn("held", F.sum("n").over(down)).withColumn("_cap", cap)
+    enough = F.max(F.when(F.col("held") >= F.col("_cap"), F.col("_zeros")))
+    demand = held.groupBy(key, by, "_cap").agg(F.coalesce(enough, F.lit(0)).alias("_demand"))
+    thinned = rows.join(broadcast_checked(settle(demand)), [key, by]).filter(
+        F.col("_zeros") >= F.col("_demand")
+    )
+    ranked = thinned.withColumn(
+        "_rank", F.row_number().over(Window.partitionBy(key, by).orderBy("_draw", time))
     )
-    first = Window.partitionBy(key, by, "_salt").orderBy("_draw", time)
-    last = Window.partitionBy(key, by).orderBy("_draw", time)
-    most = max(caps.values())
-    rows = rows.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= most)
-    rows = rows.withColumn("_rank", F.row_number().over(last)).filter(F.col("_rank") <= most)
-    return rows.filter(F.col("_rank") <= limit).drop("_draw", "_salt", "_rank")
+    kept = ranked.filter(F.col("_rank") <= F.col("_cap"))
+    return kept.select(*df.columns)
 
 
 def capped_counts(counts: DataFrame, cap_train: int, cap_test: int) -> DataFrame:
@@ -226,8 +238,8 @@ def size_summary(
 
 
 def restrict_to(df: DataFrame, listed: DataFrame, *, key: str = fixed.KEY) -> DataFrame:
-    """Rows of the listed series only."""
-    return df.join(listed.select(key).distinct(), key, "left_semi")
+    """Rows of the listed series only. A list is a small stored table, so it is checked for size."""
+    return df.join(broadcast_checked(listed.select(key).distinct()), key, "left_semi")
 
 
 def missing_series(listed: DataFrame, df: DataFrame, *, key: str = fixed.KEY) -> DataFrame:

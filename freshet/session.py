@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
+BROADCAST_CELLS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,11 +48,13 @@ def store(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_checked(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_checked(small: DataFrame, max_cells: int = BROADCAST_CELLS) -> DataFrame:
     """Broadcast hint only where a bounded count proves the side small; else AQE chooses the join.
 
-    Meant for stored or settled tables, where the count costs next to nothing.
+    Meant for stored or settled tables, where the count costs next to nothing. The limit is on
+    rows times columns, so a wide table must have fewer rows.
     """
+    max_rows = max_cells // max(1, len(small.columns))
     if small.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(small)
     return small
