@@ -74,9 +74,11 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def features(spark: SparkSession, sf_dir: str, *, attrs: bool = True) -> DataFrame:
+def features(
+    spark: SparkSession, sf_dir: str, *, attrs: bool = True, per: str = "s_nationkey"
+) -> DataFrame:
     static = attributes(spark, sf_dir) if attrs else None
-    return build_features(master(spark, sf_dir), static)
+    return build_features(master(spark, sf_dir, per=per), static)
 
 
 def smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,6 +217,7 @@ WINDOW w AS (PARTITION BY basin_id ORDER BY date)
 """
 
 SD = ("sd", SERIES_SQL)
+SD_MANY = ("sd", SERIES_SQL.replace("s.s_nationkey", "s.s_suppkey"))
 M = [SD, ("m", MASTER_SQL)]
 DV = [*M, ("dv", DERIVED_SQL)]
 P = [*DV, ("p", PANEL_SQL)]

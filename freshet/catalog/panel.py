@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from freshet import fixed
 from freshet.catalog import query
 from freshet.catalog.fixture import (
+    ATTR_NAMES,
     ATTRS_SQL,
     DV,
     F_,
@@ -15,6 +16,7 @@ from freshet.catalog.fixture import (
     LAG_NAMES,
     M,
     P,
+    SD_MANY,
     attributes,
     features,
     master,
@@ -137,6 +139,23 @@ def feature_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features(spark, sf_dir).select(*KEYS, *FEATURE_NAMES, "y", "y_log1p"))
 
 
+MANY_NAMES = [n for n in FEATURE_NAMES if n not in ATTR_NAMES]
+
+
+@query(
+    "feature_panel_many_series",
+    with_(
+        SD_MANY,
+        *P[1:],
+        select="SELECT basin_id, date, " + ", ".join(r(c, c) for c in [*MANY_NAMES, "y", "y_log1p"]) + " FROM p",
+    ),
+)
+def feature_panel_many_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features over one series per supplier: many short series."""
+    rows = features(spark, sf_dir, attrs=False, per="s_suppkey")
+    return rounded(rows.select(*KEYS, *MANY_NAMES, "y", "y_log1p"))
+
+
 EVENT_FRAME = "PARTITION BY event_type ORDER BY ts, event_id"
 
 
