@@ -45,8 +45,8 @@ def series(spark: SparkSession, sf_dir: str, *, per: str = "s_nationkey") -> Dat
     lines, suppliers = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
     rows = lines.join(suppliers, lines["l_suppkey"] == suppliers["s_suppkey"])
     quantity = F.col("l_quantity").cast("bigint")
-    discount = F.round(F.col("l_discount") * 100).cast("bigint")
-    tax = F.round(F.col("l_tax") * 100).cast("bigint")
+    discount = F.rint(F.col("l_discount") * 100).cast("bigint")
+    tax = F.rint(F.col("l_tax") * 100).cast("bigint")
     return rows.groupBy(
         F.col(per).cast("string").alias(fixed.KEY), F.col("l_shipdate").cast("date").alias(fixed.TIME)
     ).agg(
@@ -128,8 +128,13 @@ def retrained(rows: DataFrame, scores: DataFrame, n: int = 12) -> DataFrame:
     return settle(out.withColumn("suggested_serving", suggest_retrained()))
 
 
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    changed = {n: F.round(n, places) for n, kind in df.dtypes if kind == "double"}
+def rounded(df: DataFrame, places: int = 6, only: list[str] | None = None) -> DataFrame:
+    """Fractional columns rounded, so that sums taken in another order compare equal."""
+    changed = {
+        n: F.round(n, places)
+        for n, kind in df.dtypes
+        if kind == "double" and (only is None or n in only)
+    }
     return df.withColumns(changed) if changed else df
 
 
@@ -182,6 +187,8 @@ LAGGED = {v: ks for v, ks in fixed.LAGS.items() if v != fixed.SWE}
 LAG_NAMES = [f"{v}_lag{k}" for v, ks in LAGGED.items() for k in ks]
 ROLL_NAMES = [f"{v}_{how}_{n}d" for v, ns, how in ROLLS for n in ns]
 ATTR_NAMES = ["area_sites", "elev_gauge", "slope_class"]
+# Of the feature columns only these are not whole or half numbers.
+INEXACT = [f"{fixed.PRECIP}_mean_{n}d" for n in fixed.PRECIP_MEANS] + ["y_log1p"]
 RAW_NAMES = [fixed.PRECIP, fixed.TMIN, fixed.TMAX, fixed.PET]
 FEATURE_NAMES = [
     *RAW_NAMES, fixed.TMEAN, "deficit", "dd_above0", "dd_above5", *LAG_NAMES, *ROLL_NAMES, *ATTR_NAMES

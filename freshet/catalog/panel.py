@@ -13,6 +13,7 @@ from freshet.catalog.fixture import (
     DV,
     F_,
     FEATURE_NAMES,
+    INEXACT,
     LAG_NAMES,
     M,
     P,
@@ -96,7 +97,7 @@ def complete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("lags", with_(*P, select=f"SELECT basin_id, date, {', '.join(r(c, c) for c in LAG_NAMES)} FROM p"))
 def lags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = add_lags(add_mean_temp(master(spark, sf_dir)))
-    return rounded(rows.select(*KEYS, *LAG_NAMES))
+    return rows.select(*KEYS, *LAG_NAMES)
 
 
 @query(
@@ -119,7 +120,7 @@ def _names(column: str, sizes: list[int], how: str) -> list[str]:
 )
 def rolling_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = add_rolls(master(spark, sf_dir), fixed.PRECIP, fixed.PRECIP_SUMS, "sum")
-    return rounded(rows.select(*KEYS, *_names(fixed.PRECIP, fixed.PRECIP_SUMS, "sum")))
+    return rows.select(*KEYS, *_names(fixed.PRECIP, fixed.PRECIP_SUMS, "sum"))
 
 
 @query(
@@ -136,7 +137,8 @@ def rolling_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_(*F_, select="SELECT basin_id, date, " + ", ".join(r(c, c) for c in [*FEATURE_NAMES, "y", "y_log1p"]) + " FROM f"),
 )
 def feature_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features(spark, sf_dir).select(*KEYS, *FEATURE_NAMES, "y", "y_log1p"))
+    rows = features(spark, sf_dir).select(*KEYS, *FEATURE_NAMES, "y", "y_log1p")
+    return rounded(rows, only=INEXACT)
 
 
 MANY_NAMES = [n for n in FEATURE_NAMES if n not in ATTR_NAMES]
@@ -153,7 +155,7 @@ MANY_NAMES = [n for n in FEATURE_NAMES if n not in ATTR_NAMES]
 def feature_panel_many_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All features over one series per supplier: many short series."""
     rows = features(spark, sf_dir, attrs=False, per="s_suppkey")
-    return rounded(rows.select(*KEYS, *MANY_NAMES, "y", "y_log1p"))
+    return rounded(rows.select(*KEYS, *MANY_NAMES, "y", "y_log1p"), only=INEXACT)
 
 
 EVENT_FRAME = "PARTITION BY event_type ORDER BY ts, event_id"

@@ -226,10 +226,10 @@ def fit_per_series(
         rows = exclude_columns(rows, exclusions, columns, fill=None, key=key)
     middle = median_columns(columns)
     medians = train_medians(rows.filter("side = 'train'"), middle, key=key) if middle else None
-    # What a series may use is decided before imputation fills the gaps. Lists are as wide as the table.
-    used = F.array_compact(F.array(*[F.when(F.count(c) > 0, F.lit(c)) for c in columns]))
-    usable = rows.groupBy(key).agg(used.alias("features_used"))
-    usable = settle(usable.filter(F.size("features_used") >= min_features))
+    # What a series may use is decided before imputation fills the gaps: one mark per column.
+    marks = F.concat(*[F.when(F.count(c) > 0, "1").otherwise("0") for c in columns])
+    usable = rows.groupBy(key).agg(marks.alias("used"))
+    usable = settle(usable.filter(F.length(F.replace("used", F.lit("0"), F.lit(""))) >= min_features))
     rows = impute_rules(rows, columns, medians, key=key).join(broadcast_checked(usable), key)
     rows = store(rows, "fit-rows")
 
@@ -240,7 +240,7 @@ def fit_per_series(
     schema = _FIT_SCHEMA.format(key=key)
 
     def fit_group(group: pd.DataFrame) -> pd.DataFrame:
-        used = list(group["features_used"].iloc[0])
+        used = _marked(columns, group["used"].iloc[0])
         group = group.sort_values(time)
         parts = {s: group[group["side"] == s] for s in ("train", "test")}
         x = {s: p[used].to_numpy(dtype=float) for s, p in parts.items()}
@@ -256,15 +256,21 @@ def fit_per_series(
     fitted = short.groupBy(key).applyInPandas(fit_group, schema)
     for name in ids:
         fitted = fitted.unionByName(
-            _fit_long(long.filter(F.col(key) == name), name, target, params, prefix, log, key)
+            _fit_long(long.filter(F.col(key) == name), columns, target, params, prefix, log, key)
         )
     return fitted
 
 
-def _fit_long(rows: DataFrame, name: str, target: str, params: dict, prefix: str, log: bool, key: str):
+def _marked(columns: Sequence[str], marks: str) -> list[str]:
+    return [c for c, mark in zip(columns, marks) if mark == "1"]
+
+
+def _fit_long(
+    rows: DataFrame, columns: Sequence[str], target: str, params: dict, prefix: str, log: bool, key: str
+) -> DataFrame:
     """A model for one very long series as a distributed job; the model is saved, not inlined."""
     spark = rows.sparkSession
-    used = list(rows.select("features_used").first()[0])
+    used = _marked(columns, rows.select("used").first()[0])
     filled = rows.na.fill(0.0, subset=used)
     pipeline = _fit_boosted(filled.filter("side = 'train'"), used, target, params)
     path = scratch_path(spark, prefix)
@@ -315,7 +321,7 @@ def retrain_bottom(
     """Refit the n worst series on the most important features and suggest how to serve them."""
     worst = settle(bottom_n(metrics, n, key=key).select(key))
     rows = restrict_to(features, worst, key=key)
-    fitted = settle(
+    fitted = store(
         fit_per_series(
             rows,
             target,
@@ -328,7 +334,8 @@ def retrain_bottom(
             group_rows=group_rows,
             key=key,
             time=time,
-        )
+        ),
+        "lite-fits",
     )
     scores = persistence_nse(persistence(rows, target, split_date, key=key, time=time), key=key)
     out = fitted.join(scores, key, "left")

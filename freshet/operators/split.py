@@ -160,8 +160,9 @@ def cap_per_series(
     ranked = thinned.withColumn(
         "_rank", F.row_number().over(Window.partitionBy(key, by).orderBy("_draw", time))
     )
-    kept = ranked.filter(F.col("_rank") <= F.col("_cap"))
-    return kept.select(*df.columns)
+    # The literal limit lets each task drop rows before the shuffle.
+    kept = ranked.filter(F.col("_rank") <= max(caps.values()))
+    return kept.filter(F.col("_rank") <= F.col("_cap")).select(*df.columns)
 
 
 def capped_counts(counts: DataFrame, cap_train: int, cap_test: int) -> DataFrame:

@@ -1,7 +1,7 @@
 """A small boosted-tree fit for the rows of one bounded series, in numpy.
 
-Squared error, depth-wise trees over quantile bins. Used only inside grouped tasks; pooled and very
-long data go to Spark's own boosted trees.
+Squared error, trees grown level by level over quantile bins. Used only inside grouped tasks; pooled
+and very long data go to Spark's own boosted trees.
 """
 
 from __future__ import annotations
@@ -11,81 +11,96 @@ import io
 import numpy as np
 
 BINS = 32
+PARTS = ("feature", "cut", "left", "value")
 
 
 def fit(x: np.ndarray, y: np.ndarray, params: dict, seed: int) -> dict:
-    """Trees as flat arrays: feature, threshold, left child (right = left + 1), leaf value."""
+    """Trees as flat arrays: feature, cut, left child (right = left + 1; -1 in a leaf), value."""
     rng = np.random.default_rng(seed)
     rows, width = x.shape
-    qs = np.linspace(0, 1, BINS + 1)[1:-1]
-    cuts = [np.unique(np.quantile(c[~np.isnan(c)], qs)) if (~np.isnan(c)).any() else np.empty(0) for c in x.T]
-    binned = np.stack([np.searchsorted(cuts[j], x[:, j], side="left") for j in range(width)], 1)
-    base = float(y.mean())
-    pred = np.full(rows, base)
-    trees = []
+    points = np.linspace(0, 1, BINS + 1)[1:-1]
+    cuts = []
+    for column in x.T:
+        known = column[~np.isnan(column)]
+        cuts.append(np.unique(np.quantile(known, points)) if len(known) else np.empty(0))
+    bins = np.stack([np.searchsorted(c, x[:, j]) for j, c in enumerate(cuts)]).astype(np.int32)
+    guess = np.full(rows, y.mean())
+    grown = []
     for _ in range(params["rounds"]):
-        pick = np.flatnonzero(rng.random(rows) < params["subsample"])
-        cols = rng.permutation(width)[: max(1, round(width * params["columns"]))]
-        tree = _grow(binned, cuts, y - pred, pick, cols, params)
-        trees.append(tree)
-        pred += _walk(tree, x)
-    sizes = np.array([len(t["feature"]) for t in trees], dtype=np.int64)
-    merged = {k: np.concatenate([t[k] for t in trees]) for k in ("feature", "cut", "left", "value")}
-    return {"base": np.array(base), "sizes": sizes, **merged}
-
-
-def _grow(binned, cuts, residual, pick, cols, params) -> dict:
-    feature, cut, left, value = [-1], [0.0], [-1], [0.0]
-    level = [(0, pick, 0)]
-    l2, rate = params["l2"], params["rate"]
-    while level:
-        node, at, depth = level.pop()
-        g, n = residual[at].sum(), len(at)
-        value[node] = rate * g / (n + l2)
-        if depth == params["depth"] or n < 2:
-            continue
-        best = (1e-12, -1, -1)
-        for j in cols:
-            if not len(cuts[j]):
-                continue
-            size = len(cuts[j]) + 1
-            sums = np.bincount(binned[at, j], weights=residual[at], minlength=size).cumsum()[:-1]
-            counts = np.bincount(binned[at, j], minlength=size).cumsum()[:-1]
-            gain = sums**2 / (counts + l2) + (g - sums) ** 2 / (n - counts + l2) - g**2 / (n + l2)
-            gain[(counts == 0) | (counts == n)] = 0.0
-            k = int(gain.argmax())
-            if gain[k] > best[0]:
-                best = (gain[k], j, k)
-        _, j, k = best
-        if j < 0:
-            continue
-        feature[node], cut[node], left[node] = int(j), float(cuts[j][k]), len(feature)
-        for column, blank in ((feature, -1), (cut, 0.0), (left, -1), (value, 0.0)):
-            column += [blank, blank]
-        low = binned[at, j] <= k
-        level += [(left[node], at[low], depth + 1), (left[node] + 1, at[~low], depth + 1)]
-    kinds = (("feature", feature, np.int32), ("cut", cut, float), ("left", left, np.int32), ("value", value, float))
-    return {name: np.array(v, dtype=kind) for name, v, kind in kinds}
+        drawn = np.flatnonzero(rng.random(rows) < params["subsample"])
+        chosen = rng.permutation(width)[: max(1, round(width * params["columns"]))]
+        tree = _grow(bins[:, drawn], cuts, (y - guess)[drawn], chosen, params)
+        grown.append(tree)
+        guess += _walk(tree, x)
+    sizes = np.array([len(t["left"]) for t in grown], dtype=np.int64)
+    joined = {p: np.concatenate([t[p] for t in grown]) for p in PARTS}
+    return {"base": np.array(y.mean()), "sizes": sizes, **joined}
+
+
+def _grow(bins: np.ndarray, cuts: list, gradient: np.ndarray, chosen: np.ndarray, params: dict) -> dict:
+    l2 = params["l2"]
+    tree = {"feature": [-1], "cut": [0.0], "left": [-1], "value": [0.0]}
+    level = [0]
+    at = np.zeros(len(gradient), dtype=np.int64)
+    for depth in range(params["depth"] + 1):
+        total = np.bincount(at, gradient, len(level))
+        count = np.bincount(at, minlength=len(level))
+        for node, step in zip(level, params["rate"] * total / (count + l2)):
+            tree["value"][node] = float(step)
+        if depth == params["depth"]:
+            break
+        best = np.full(len(level), 1e-12)
+        where = np.full((len(level), 2), -1)
+        for j in chosen:
+            cells = at * BINS + bins[j]
+            low = np.bincount(cells, gradient, len(level) * BINS).reshape(-1, BINS).cumsum(1)[:, :-1]
+            n = np.bincount(cells, minlength=len(level) * BINS).reshape(-1, BINS).cumsum(1)[:, :-1]
+            rest = count[:, None] - n
+            gain = low**2 / (n + l2) + (total[:, None] - low) ** 2 / (rest + l2)
+            gain = np.where((n > 0) & (rest > 0), gain - (total**2 / (count + l2))[:, None], 0.0)
+            k = gain.argmax(1)
+            top = gain[np.arange(len(level)), k]
+            better = top > best
+            best[better] = top[better]
+            where[better] = np.stack([np.full(len(level), j), k], 1)[better]
+        split = np.flatnonzero(where[:, 0] >= 0)
+        if not len(split):
+            break
+        child = np.full(len(level), -1)
+        child[split] = 2 * np.arange(len(split))
+        for i in split:
+            j, k = (int(v) for v in where[i])
+            node = level[i]
+            tree["feature"][node], tree["cut"][node] = j, float(cuts[j][k])
+            tree["left"][node] = len(tree["left"])
+            for part, blank in zip(PARTS, (-1, 0.0, -1, 0.0)):
+                tree[part] += [blank, blank]
+        level = [tree["left"][level[i]] + s for i in split for s in (0, 1)]
+        stays = child[at] >= 0
+        bins, gradient, at = bins[:, stays], gradient[stays], at[stays]
+        right = bins[where[at, 0], np.arange(len(at))] > where[at, 1]
+        at = child[at] + right
+    kinds = (np.int32, float, np.int32, float)
+    return {p: np.array(tree[p], dtype=kind) for p, kind in zip(PARTS, kinds)}
 
 
 def _walk(tree: dict, x: np.ndarray) -> np.ndarray:
     node = np.zeros(len(x), dtype=np.int64)
     rows = np.arange(len(x))
     while True:
-        inner = tree["left"][node] >= 0
-        if not inner.any():
+        left = tree["left"][node]
+        if (left < 0).all():
             return tree["value"][node]
+        # A missing value goes right, as its bin is the last one.
         right = ~(x[rows, np.maximum(tree["feature"][node], 0)] <= tree["cut"][node])
-        node = np.where(inner, tree["left"][node] + right, node)
+        node = np.where(left < 0, node, left + right)
 
 
 def predict(model: dict, x: np.ndarray) -> np.ndarray:
     out = np.full(len(x), float(model["base"]))
-    start = 0
-    for size in model["sizes"]:
-        part = slice(start, start + int(size))
-        out += _walk({k: model[k][part] for k in ("feature", "cut", "left", "value")}, x)
-        start += int(size)
+    ends = np.cumsum(model["sizes"])
+    for start, end in zip(ends - model["sizes"], ends):
+        out += _walk({p: model[p][start:end] for p in PARTS}, x)
     return out
 
 

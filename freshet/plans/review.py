@@ -27,7 +27,7 @@ from freshet.operators.policy import (
     serving_policy,
 )
 from freshet.operators.split import pick_target, restrict_to
-from freshet.session import settle
+from freshet.session import settle, store
 
 
 @dataclass
@@ -51,10 +51,12 @@ def train(
     numeric = numeric_features(features)
     common = [r[0] for r in common_features(features, numeric).collect()]
     exclusions = None if policy is None else policy.exclusions
-    registry = settle(
+    # Stored as columns, so that reading the scores leaves the models alone.
+    registry = store(
         fit_per_series(
             features, target, sorted(common), exclusions, split_date=split_date, min_rows=min_rows, params=params
-        )
+        ),
+        "registry",
     )
     metrics = registry.drop("model", "features_used")
     if policy is None:
@@ -97,7 +99,7 @@ def review(
     lite = retrain_bottom(
         features, metrics, top, training.target, gating.exclusions, n=n_bottom, split_date=split_date, params=params
     )
-    lite = settle(lite)
+    lite = store(lite, "lite")
     compared = compare_retrained(metrics, lite)
     serving = serving_policy(
         metrics,

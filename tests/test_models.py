@@ -18,6 +18,7 @@ from freshet.operators.models import (
     top_features,
 )
 from freshet.operators.scoring import assemble_request, resolve_mode, score
+from freshet.plans.artifacts import load_serving, save_review, save_training
 from freshet.plans.panel import feature_panel, master_from_files
 from freshet.plans.review import review, train
 from freshet.session import settle
@@ -245,3 +246,14 @@ def test_from_files_to_policy(spark, panel, tmp_path):
     assert set(modes) == set("0123") and set(modes.values()) <= {"global", "local", "local_lite"}
     again = train(stored, done.gating, split_date=SPLIT, params=params)
     assert again.metrics.count() == 4
+
+    folder = str(tmp_path / "models")
+    save_training(trained, folder, done.gating.exclusions)
+    save_review(done, folder)
+    loaded = load_serving(spark, folder)
+    lite = done.lite.select("basin_id", "model_path", "model")
+    requests = requests_of(panel)
+    want = score(requests, done.serving, lite, trained.model)
+    key = lambda df: sorted(map(str, df.select("basin_id", "yhat_mm", "model_used", "mode").collect()))
+    assert key(loaded.score(requests)) == key(want)
+    assert sorted(r["side"] for r in spark.read.json(f"{folder}/metrics_hybrid").collect()) == ["test", "train"]
