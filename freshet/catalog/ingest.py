@@ -19,7 +19,7 @@ from freshet.catalog.fixture import (
     table,
     with_,
 )
-from freshet.functions.scalars import normal_name, parse_list, repair_id, to_day, to_number
+from freshet.functions.scalars import normal_name, parse_list, repair_id, to_number, to_time
 from freshet.operators.encode import fit_target_encoding
 from freshet.operators.master import union_parts
 from freshet.session import scratch_path
@@ -313,7 +313,7 @@ def date_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("o_orderdate")
     month = F.month(day) + (F.col("o_orderkey") % 3) * 5
     text = F.format_string("%04d-%02d-%02d", F.year(day), month, F.dayofmonth(day))
-    return orders.select("o_orderkey", to_day(text).alias("date"))
+    return orders.select("o_orderkey", to_time(text).alias("date"))
 
 
 @query(

@@ -31,8 +31,8 @@ from freshet.operators.models import (
     top_features,
 )
 from freshet.operators.scoring import assemble_request, resolve_mode, score
-from freshet.operators.split import temporal_split
-from freshet.session import settle
+from freshet.operators.split import restrict_to, temporal_split
+from freshet.session import settle, store
 
 # Small settings: the queries check the flow; the defaults are in ``fixed.BOOSTING``.
 SMALL = {"rounds": 5, "depth": 3, "rate": 0.3}
@@ -92,13 +92,17 @@ def global_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(named_importance(spark, model.booster, model.order), 4)
 
 
-@query("retrained_worst")
-def retrained_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel, model = _global(spark, sf_dir)
+def _naive_scores(panel: DataFrame) -> DataFrame:
     rows = temporal_split(panel, "y_log1p", SPLIT).filter("side = 'test'")
     naive = rows.withColumn("yhat", F.log1p(f"{fixed.TARGET}_lag1"))
     scores = regression_metrics(naive, "y_log1p", "yhat")
-    scores = scores.select(fixed.KEY, *[F.col(c).alias(f"test_{c}") for c in ("R2", "RMSE", "MAE")])
+    return scores.select(fixed.KEY, *[F.col(c).alias(f"test_{c}") for c in ("R2", "RMSE", "MAE")])
+
+
+@query("retrained_worst")
+def retrained_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel, model = _global(spark, sf_dir)
+    scores = _naive_scores(panel)
     top = top_features(named_importance(spark, model.booster, model.order), 3)
     out = retrain_bottom(panel, scores, top, "y_log1p", n=6, split_date=SPLIT, params=SMALL)
     return rounded(out.select(fixed.KEY, "n_features", "test_R2", "persistence_NSE", "suggested_serving"), 4)
@@ -108,20 +112,20 @@ VECTOR = [fixed.PRECIP, fixed.TMIN, "swe_mm", fixed.PET, fixed.ENCODED]
 
 
 def _requests(rows: DataFrame) -> DataFrame:
-    """Each row as a request; every third day the PET entry is absent, missing cells stay NULL."""
-    pairs = [F.lit(fixed.PRECIP), F.col(fixed.PRECIP), F.lit(fixed.TMIN), F.col(fixed.TMIN)]
-    full = F.create_map(*pairs, F.lit(fixed.PET), F.coalesce(fixed.PET, F.lit(float("nan"))))
-    third = F.dayofmonth(fixed.TIME) % 3 == 0
-    return rows.withColumn("features", F.when(third, F.create_map(*pairs)).otherwise(full))
+    """Each row as a request: missing rain is sent as NaN, a missing PET is not sent."""
+    rain = F.coalesce(fixed.PRECIP, F.lit(float("nan")))
+    sent = F.create_map(F.lit(fixed.PRECIP), rain, F.lit(fixed.TMIN), F.col(fixed.TMIN))
+    more = F.map_concat(sent, F.create_map(F.lit(fixed.PET), F.col(fixed.PET)))
+    return rows.withColumn("features", F.when(F.col(fixed.PET).isNull(), sent).otherwise(more))
 
 
 @query(
     "request_vectors",
     with_(
         *DV,
-        ("te", "SELECT basin_id, sum(discharge_mm) AS t, count(*) AS n FROM m WHERE CAST(basin_id AS INT) % 4 <> 0 GROUP BY basin_id"),
+        ("te", "SELECT basin_id, sum(discharge_mm) AS t, count(*) AS n FROM m GROUP BY basin_id HAVING count(*) >= 1200"),
         ("g", "SELECT sum(t) / sum(n) AS g FROM te"),
-        ("q", "SELECT basin_id, date, prcp_mm_cr2met AS p, tmin_c, CASE WHEN day(date) % 3 <> 0 THEN pet_mm_hargreaves END AS pet FROM m"),
+        ("q", "SELECT basin_id, date, prcp_mm_cr2met AS p, tmin_c, pet_mm_hargreaves AS pet FROM m"),
         select=f"""
 SELECT q.basin_id, date, {r('coalesce(p, 0)', 'v0')}, {r('coalesce(tmin_c, 0)', 'v1')}, {r('0', 'v2')}, {r('coalesce(pet, 0)', 'v3')},
   {r('coalesce((t + 100 * g) / (n + 100), g)', 'v4')},
@@ -134,7 +138,8 @@ FROM q LEFT JOIN te USING (basin_id), g
 def request_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature vectors in fixed order; missing entries become 0 and are listed."""
     rows = master(spark, sf_dir)
-    encoding = settle(fit_target_encoding(rows.filter(F.col(fixed.KEY).cast("int") % 4 != 0), fixed.TARGET))
+    known = rows.groupBy(fixed.KEY).agg(F.count("*").alias("n")).filter("n >= 1200")
+    encoding = settle(fit_target_encoding(restrict_to(rows, known), fixed.TARGET))
     mean = encoding.agg(F.max("global_mean")).scalar()
     rows = apply_target_encoding(_requests(rows), encoding, mean)
     out = assemble_request(rows, VECTOR, encoded=F.col(fixed.ENCODED))
@@ -149,35 +154,40 @@ def request_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MODE_SQL = """
-SELECT o_orderkey, basin_id, CASE WHEN k IN (1, 6) THEN 'local_lite' ELSE 'global' END AS mode,
-  CASE WHEN k IN (1, 6) THEN 'lite/' || basin_id ELSE 'global' END AS model_path,
-  CASE WHEN k = 2 THEN 'local_lite chosen but model_path or feature_order is missing; using global.'
-    WHEN k = 3 THEN 'local_lite model not found; using global.'
-    WHEN k = 4 THEN 'local chosen but no feature_order is known; using global.' ELSE '' END AS notes
-FROM (SELECT o_orderkey, CAST(o_custkey AS STRING) AS basin_id, o_custkey % 7 AS k FROM orders)
+SELECT o_orderkey, basin_id, CASE k WHEN 'BUILDING' THEN 'local_lite' ELSE 'global' END AS mode,
+  CASE k WHEN 'BUILDING' THEN 'lite/' || basin_id ELSE 'global' END AS model_path,
+  CASE k WHEN 'FURNITURE' THEN 'local_lite chosen but model_path or feature_order is missing; using global.'
+    WHEN 'HOUSEHOLD' THEN 'local_lite model not found; using global.'
+    WHEN 'MACHINERY' THEN 'local chosen but no feature_order is known; using global.' ELSE '' END AS notes
+FROM (SELECT o_orderkey, CAST(o_custkey AS STRING) AS basin_id, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS k
+      FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
 """
 
 
 @query("serving_mode", MODE_SQL)
 def serving_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests meet a policy with every kind of entry: complete, incomplete, absent, none."""
+    """Requests meet a policy with every kind of entry, one per market segment; customers in debt
+    have none."""
     requests = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.col("o_custkey").cast("string").alias(fixed.KEY)
     )
-    kind = F.col("c_custkey") % 7
+    kind = F.col("c_mktsegment")
     path = F.concat(F.lit("lite/"), F.col("c_custkey").cast("string"))
     policy = (
         table(spark, sf_dir, "customer")
-        .filter(kind != 0)
+        .filter("c_acctbal >= 0")
         .select(
             F.col("c_custkey").cast("string").alias(fixed.KEY),
-            F.when(kind == 4, "local").when(kind == 5, "global").otherwise("LOCAL_LITE").alias("mode"),
+            F.when(kind == "MACHINERY", "local")
+            .when(kind == "AUTOMOBILE", "global")
+            .otherwise("LOCAL_LITE")
+            .alias("mode"),
             path.alias("model_path"),
-            F.when(kind != 2, F.array(F.lit(fixed.TMIN))).alias("feature_order"),
+            F.when(kind != "FURNITURE", F.array(F.lit(fixed.TMIN))).alias("feature_order"),
             kind.alias("kind"),
         )
     )
-    stored = policy.filter("kind <> 3").select(fixed.KEY, "model_path")
+    stored = policy.filter("kind <> 'HOUSEHOLD'").select(fixed.KEY, "model_path")
     out = resolve_mode(requests, policy.drop("kind"), stored)
     return out.select("o_orderkey", fixed.KEY, "mode", "model_path", F.array_join("notes", "|").alias("notes"))
 
@@ -186,10 +196,8 @@ def serving_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All test rows as requests, some series served by retrained models, the rest by the global one."""
     panel, model = _global(spark, sf_dir)
-    low = F.col(fixed.KEY).cast("int") < 4
-    lite = settle(
-        fit_per_series(panel.filter(low), "y_log1p", LITE, split_date=SPLIT, min_rows=0, params=SMALL, prefix="lite")
-    )
+    scores = _naive_scores(panel)
+    lite = store(retrain_bottom(panel, scores, LITE, "y_log1p", n=4, split_date=SPLIT, params=SMALL), "lite")
     policy = lite.select(
         fixed.KEY, F.lit("local_lite").alias("mode"), "model_path", F.col("features_used").alias("feature_order")
     )

@@ -21,7 +21,7 @@ from freshet.catalog.fixture import (
     with_,
 )
 from freshet.operators.diagnose import near_zero_report
-from freshet.operators.metrics import augment_persistence
+from freshet.operators.metrics import augment_persistence, review_list
 from freshet.operators.policy import (
     apply_overrides,
     compare_retrained,
@@ -34,6 +34,7 @@ from freshet.operators.policy import (
     policy_summary,
     serving_policy,
 )
+from freshet.operators.split import restrict_to
 from freshet.session import scratch_path
 from freshet.sources.artifacts import (
     gating_entries,
@@ -50,8 +51,12 @@ def _cols(names: list[str]) -> str:
 
 
 JOINED_COLS = ["test_R2", "test_RMSE", "test_MAE", "std_test", "range_test", "avg_nan_rate_test", "persistence_NSE"]
-# Two series in three are reviewed, so the left join leaves gaps.
-REVIEWED = "CAST(basin_id AS INT) % 3 <> 1"
+# Only the series of the review list are diagnosed, so the left join leaves gaps.
+REVIEW_SQL = """
+SELECT basin_id FROM (SELECT *, row_number() OVER (ORDER BY test_R2 ASC NULLS LAST, basin_id) AS rk FROM mt)
+WHERE rk <= 12 OR test_R2 <= 0
+"""
+REVIEWED = f"basin_id IN ({REVIEW_SQL})"
 JOINED_SQL = f"""
 SELECT mt.basin_id, rows, test_R2, test_RMSE, test_MAE, n_test, std_test, range_test, near_zero_var_test,
   avg_nan_rate_test, persistence_NSE
@@ -62,8 +67,8 @@ JOINED = [*SUM, ("j", JOINED_SQL)]
 
 def _joined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = smooth(spark, sf_dir)
-    reviewed = summary(rows).filter(REVIEWED)
-    return rows, join_diagnostics(metrics(rows), reviewed)
+    scores = metrics(rows)
+    return rows, join_diagnostics(scores, summary(restrict_to(rows, review_list(scores, 12))))
 
 
 @query("metrics_with_diagnosis", with_(*JOINED, select=f"SELECT basin_id, rows, n_test, near_zero_var_test, {_cols(JOINED_COLS)} FROM j"))
@@ -76,12 +81,12 @@ def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_overrides(_joined(spark, sf_dir)[1])
 
 
-# The fixture's spread is never next to nothing, so the report is made for the steadier half.
-STEADY_SQL = "SELECT * REPLACE (n_test % 2 = 0 AS near_zero_var_test) FROM su"
+# The fixture's spread is never next to nothing, so the report is made for the steadier series.
+STEADY_SQL = "SELECT * REPLACE (std_test < 0.11 AS near_zero_var_test) FROM su"
 
 
 def _steady(rows: DataFrame) -> DataFrame:
-    return summary(rows).withColumn("near_zero_var_test", F.col("n_test") % 2 == 0)
+    return summary(rows).withColumn("near_zero_var_test", F.col("std_test") < 0.11)
 
 
 @query(
@@ -221,7 +226,7 @@ def retrained_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LOCAL_SQL = "SELECT basin_id, 'basin/' || basin_id AS model_path FROM mt WHERE rows >= 1200"
-LITE_SQL = "SELECT basin_id, 'lite/' || basin_id AS model_path FROM rt WHERE CAST(basin_id AS INT) % 5 <> 0"
+LITE_SQL = "SELECT basin_id, 'lite/' || basin_id AS model_path FROM rt WHERE persistence_N >= 500"
 SERVING_SQL = """
 SELECT basin_id, mode, CASE mode WHEN 'local_lite' THEN lt WHEN 'local' THEN lo END AS model_path,
   CASE mode WHEN 'local_lite' THEN 'prcp_mm_cr2met|swe_mm' END AS feature_order
@@ -243,7 +248,7 @@ def _serving(spark: SparkSession, sf_dir: str) -> DataFrame:
     local = scores.filter("rows >= 1200").select(
         fixed.KEY, F.concat(F.lit("basin/"), fixed.KEY).alias("model_path")
     )
-    lite = again.filter(F.col(fixed.KEY).cast("int") % 5 != 0).select(
+    lite = again.filter("persistence_N >= 500").select(
         fixed.KEY,
         F.concat(F.lit("lite/"), fixed.KEY).alias("model_path"),
         F.array(F.lit(fixed.PRECIP), F.lit(fixed.SWE)).alias("feature_order"),

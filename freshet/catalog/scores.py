@@ -181,17 +181,23 @@ def target_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     "near_zero_series",
     """
 SELECT basin_id, coalesce(s < 1e-3 OR s / (abs(m) + 1e-6) < 0.01, FALSE) AS near_zero
-FROM (SELECT CAST(user_id AS STRING) AS basin_id, stddev_pop(v) AS s, avg(v) AS m
-      FROM (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 7.0 WHEN user_id % 3 = 1 THEN 500 + value / 100 ELSE value END AS v
-            FROM events WHERE event_type = 'click') GROUP BY user_id)
+FROM (SELECT basin_id, stddev_pop(v) AS s, avg(v) AS m
+      FROM (SELECT event_type || '/' || CAST(user_id AS STRING) AS basin_id,
+              CASE event_type WHEN 'error' THEN 7.0 WHEN 'signup' THEN 500 + value / 100 ELSE value END AS v
+            FROM events) GROUP BY basin_id)
 """,
 )
 def near_zero_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Constant, nearly constant and varying series."""
-    clicks = table(spark, sf_dir, "events").filter("event_type = 'click'")
-    kind = F.col("user_id") % 3
-    v = F.when(kind == 0, 7.0).when(kind == 1, 500 + F.col("value") / 100).otherwise(F.col("value"))
-    spread = clicks.groupBy(F.col("user_id").cast("string").alias(fixed.KEY)).agg(
+    events = table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    v = (
+        F.when(kind == "error", 7.0)
+        .when(kind == "signup", 500 + F.col("value") / 100)
+        .otherwise(F.col("value"))
+    )
+    key = F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias(fixed.KEY)
+    spread = events.groupBy(key).agg(
         F.stddev_pop(v).alias("std_test"), F.avg(v).alias("mean_test")
     )
     return spread.select(fixed.KEY, near_zero_flag().alias("near_zero"))
@@ -278,13 +284,14 @@ def listed_for_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     "reported_metric",
     with_(
         *MT,
-        ("a", "SELECT *, CASE WHEN rows % 2 = 0 THEN 'rmse' ELSE 'r2' END AS metric_mode FROM mt"),
-        select=f"SELECT basin_id, metric_mode, {r(chr(39).join(['CASE WHEN metric_mode = ', 'rmse', ' THEN test_RMSE ELSE test_R2 END']), 'reported_metric')} FROM a",
+        ("a", "SELECT *, CASE WHEN test_R2 < 0.8 THEN 'rmse' ELSE 'r2' END AS metric_mode FROM mt"),
+        ("b", "SELECT *, CASE metric_mode WHEN 'rmse' THEN test_RMSE ELSE test_R2 END AS rm FROM a"),
+        select=f"SELECT basin_id, metric_mode, {r('rm', 'reported_metric')} FROM b",
     ),
 )
 def reported_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = metrics(smooth(spark, sf_dir)).withColumn(
-        "metric_mode", F.when(F.col("rows") % 2 == 0, "rmse").otherwise("r2")
+        "metric_mode", F.when(F.col("test_R2") < 0.8, "rmse").otherwise("r2")
     )
     return rounded(report_metrics(rows).select(fixed.KEY, "metric_mode", "reported_metric"))
 

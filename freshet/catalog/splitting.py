@@ -69,8 +69,6 @@ SPLIT_SQL = (
 )
 C = [*M, ("c", COUNTS_SQL)]
 S = [*C, ("s", SPLIT_SQL)]
-# Series per supplier: many short ones, some without a test side.
-SHORT_SPLIT = "1998-06-01"
 
 
 @query("temporal_split", with_(*S, select="SELECT basin_id, date, discharge_mm, side FROM s"))
@@ -98,31 +96,37 @@ GATE_SQL = f"""
 SELECT basin_id, rows, n_train, n_test, n_features, CASE WHEN rows < 1200 THEN 'small'
   WHEN n_train = 0 OR n_test = 0 THEN 'split' WHEN n_features < 3 THEN 'no_feats' ELSE 'ok' END AS gate
 FROM (
-  SELECT c.basin_id, rows, n_train, n_test, CAST(CASE WHEN CAST(c.basin_id AS INT) % 6 = 0 THEN 2 ELSE 4 END AS BIGINT) AS n_features
+  SELECT c.basin_id, rows, n_train, n_test, CAST(CASE WHEN c.basin_id IN (FROM gp) THEN 2 ELSE 4 END AS BIGINT) AS n_features
   FROM c)
 """
+GAPPY_SQL = (
+    "SELECT basin_id FROM m GROUP BY basin_id "
+    "HAVING avg(CASE WHEN prcp_mm_cr2met IS NULL THEN 1.0 ELSE 0.0 END) >= 0.58"
+)
+G = [*C, ("gp", GAPPY_SQL)]
 
 
 def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = master(spark, sf_dir)
-    left_out = _left_out(rows, 6, [fixed.PRECIP, fixed.PET])
+    left_out = _left_out(rows, [fixed.PRECIP, fixed.PET])
     return basin_gate(
         rows, fixed.TARGET, [*fixed.FORCINGS], left_out, split_date=SPLIT, min_rows=1200
     )
 
 
-def _left_out(rows: DataFrame, step: int, columns: list[str]) -> DataFrame:
-    """Exclusions derived from the ids: every ``step``-th series loses the columns."""
-    ids = rows.select(fixed.KEY).distinct().filter(F.col(fixed.KEY).cast("int") % step == 0)
-    return ids.select(fixed.KEY, F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
+def _left_out(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Exclusions: a series with many gaps in its precipitation loses the columns."""
+    gaps = F.avg(F.col(fixed.PRECIP).isNull().cast("double"))
+    gappy = rows.groupBy(fixed.KEY).agg(gaps.alias("gaps")).filter("gaps >= 0.58")
+    return gappy.select(fixed.KEY, F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
 
 
-@query("series_gates", with_(*C, select=GATE_SQL))
+@query("series_gates", with_(*G, select=GATE_SQL))
 def series_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gates(spark, sf_dir)
 
 
-@query("gate_counts", with_(*C, ("g", GATE_SQL), select="SELECT gate, count(*) AS series FROM g GROUP BY gate"))
+@query("gate_counts", with_(*G, ("g", GATE_SQL), select="SELECT gate, count(*) AS series FROM g GROUP BY gate"))
 def gate_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate_counts(_gates(spark, sf_dir))
 
@@ -210,16 +214,17 @@ def target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     "encoded_rows",
     with_(
         *S,
-        ("te", TE_SQL + " HAVING CAST(basin_id AS INT) % 5 <> 0"),
+        ("te", TE_SQL + " HAVING count(*) >= 700"),
         ("g", "SELECT sum(t) / sum(n) AS g FROM te"),
         select=f"SELECT m.basin_id, date, {r('coalesce((t + 100 * g) / (n + 100), g)', 'basin_te')} FROM m LEFT JOIN te USING (basin_id), g",
     ),
 )
 def encoded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth series has no encoding and gets the global mean."""
+    """Series too short for the encoding get the global mean."""
     rows = master(spark, sf_dir)
     train = temporal_split(rows, fixed.TARGET, SPLIT).filter("side = 'train'")
-    encoding = fit_target_encoding(train.filter(F.col(fixed.KEY).cast("int") % 5 != 0), fixed.TARGET)
+    known = train.groupBy(fixed.KEY).agg(F.count("*").alias("n")).filter("n >= 700")
+    encoding = fit_target_encoding(restrict_to(train, known), fixed.TARGET)
     mean = encoding.agg(F.max("global_mean")).scalar()
     return rounded(apply_target_encoding(rows, encoding, mean).select(*KEYS, fixed.ENCODED))
 
@@ -288,14 +293,14 @@ def imputed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "excluded_columns",
     with_(
-        *M,
-        select="SELECT basin_id, date, CASE WHEN CAST(basin_id AS INT) % 4 = 0 THEN 0 ELSE prcp_mm_cr2met END AS prcp_mm_cr2met, "
-        "tmin_c, CASE WHEN CAST(basin_id AS INT) % 4 = 0 THEN 0 ELSE pet_mm_hargreaves END AS pet_mm_hargreaves FROM m",
+        *G,
+        select="SELECT basin_id, date, CASE WHEN basin_id IN (FROM gp) THEN 0 ELSE prcp_mm_cr2met END AS prcp_mm_cr2met, "
+        "tmin_c, CASE WHEN basin_id IN (FROM gp) THEN 0 ELSE pet_mm_hargreaves END AS pet_mm_hargreaves FROM m",
     ),
 )
 def excluded_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = master(spark, sf_dir)
-    left_out = _left_out(rows, 4, [fixed.PRECIP, fixed.PET])
+    left_out = _left_out(rows, [fixed.PRECIP, fixed.PET])
     columns = [fixed.PRECIP, fixed.TMIN, fixed.PET]
     return exclude_columns(rows, left_out, columns).select(*KEYS, *columns)
 
@@ -410,13 +415,14 @@ ORDER = [fixed.PET, f"{fixed.PRECIP}_lag1", "tmax_c", fixed.ENCODED]
         *P,
         ("c", COUNTS_SQL),
         ("s", SPLIT_SQL),
+        ("gp", GAPPY_SQL),
         ("md", MEDIAN_SQL),
         ("te", TE_SQL),
         ("g", "SELECT sum(t) / sum(n) AS g FROM te"),
         ("k", _cap_sql("s", "CASE side WHEN 'train' THEN 150 ELSE 50 END")),
         select=f"""
 SELECT k.basin_id, k.date, side, {r('p.discharge_mm', 'discharge_mm')},
-  {r('CASE WHEN CAST(k.basin_id AS INT) % 4 = 0 THEN 0 ELSE coalesce(p.pet_mm_hargreaves, md.pet_mm_hargreaves) END', fixed.PET)},
+  {r('CASE WHEN k.basin_id IN (FROM gp) THEN 0 ELSE coalesce(p.pet_mm_hargreaves, md.pet_mm_hargreaves) END', fixed.PET)},
   {r('coalesce(p.prcp_mm_cr2met_lag1, 0)', ORDER[1])}, {r('coalesce(p.tmax_c, md.tmax_c)', 'tmax_c')},
   {r('(t + 100 * g) / (n + 100)', 'basin_te')}
 FROM k JOIN p ON p.basin_id = k.basin_id AND p.date = k.date JOIN md ON md.basin_id = k.basin_id
@@ -427,7 +433,7 @@ JOIN te ON te.basin_id = k.basin_id, g
 def pooled_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The capped, imputed and encoded table the global model is fitted on."""
     rows = features(spark, sf_dir, attrs=False)
-    left_out = _left_out(rows, 4, [fixed.PET])
+    left_out = _left_out(rows, [fixed.PET])
     pooled, _ = global_rows(
         rows, fixed.TARGET, ORDER, left_out, split_date=SPLIT, caps={"train": 150, "test": 50}
     )

@@ -27,9 +27,9 @@ def to_number(c) -> Column:
     return F.when(~text.rlike(r"(?i)[0-9.][df]$"), nan_to_null(text.try_cast("double")))
 
 
-def to_day(c) -> Column:
-    """Tolerant date: what cannot be read becomes NULL."""
-    return _col(c).try_cast("date")
+def to_time(c, kind: str = "date") -> Column:
+    """Tolerant date, or ``timestamp_ntz`` for a finer panel: what cannot be read becomes NULL."""
+    return _col(c).try_cast(kind)
 
 
 def repair_id(c) -> Column:

@@ -20,31 +20,36 @@ from pyspark.sql import types as T
 from freshet import fixed
 from freshet.session import broadcast_checked, settle
 
-BLOCK_ROWS = 1_000_000
+BLOCK_ROWS = 200_000
 
 _BLOCK = "_block"
 _CARRIED = "_carried"
 _SLOT = "_slot"
 
 
-def _slot(df: DataFrame, time: str) -> Column:
-    """The unit blocks are made of: a day for dates, an hour for timestamps."""
-    kind = df.schema[time].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_trunc("hour", F.col(time))
-    return F.col(time)
+def _slot(time: str, unit: str | None) -> Column:
+    return F.col(time) if unit is None else F.date_trunc(unit, F.col(time))
 
 
-def _slot_blocks(df: DataFrame, long: DataFrame, key: str, time: str, halo: int, block_rows: int):
+def _slot_counts(df: DataFrame, long: DataFrame, key: str, time: str, block_rows: int):
+    """Rows per (key, slot) of the long series, and the unit of the slots.
+
+    A slot is the smallest piece a block is made of: for timestamps an hour, or a finer unit where
+    an hour alone is longer than a block; for dates the day.
+    """
+    rows = df.select(key, time).join(broadcast_checked(long), key, "left_semi")
+    fine = isinstance(df.schema[time].dataType, (T.TimestampType, T.TimestampNTZType))
+    for unit in (["hour", "minute", "second"] if fine else []):
+        counts = settle(rows.groupBy(key, _slot(time, unit).alias(_SLOT)).agg(F.count("*").alias("n")))
+        if counts.agg(F.max("n")).first()[0] <= block_rows:
+            return counts, unit
+    return settle(rows.groupBy(key, F.col(time).alias(_SLOT)).agg(F.count("*").alias("n"))), None
+
+
+def _slot_blocks(counts: DataFrame, key: str, halo: int, block_rows: int) -> DataFrame:
     """(key, slot) -> own block, and all blocks the slot's rows are needed in."""
-    slots = (
-        df.select(key, _slot(df, time).alias(_SLOT))
-        .join(broadcast_checked(long), key, "left_semi")
-        .groupBy(key, _SLOT)
-        .agg(F.count("*").alias("n"))
-    )
     by_slot = Window.partitionBy(key).orderBy(_SLOT)
-    slots = slots.withColumn("end", F.sum("n").over(by_slot))
+    slots = counts.withColumn("end", F.sum("n").over(by_slot))
     slots = slots.withColumn("own", F.floor((F.col("end") - F.col("n")) / F.lit(block_rows)))
     slots = slots.withColumn("next", F.lead("own").over(by_slot))
     # A later block starts where some slot ends; it needs every slot that ends less than `halo`
@@ -74,9 +79,10 @@ def over_series(
     )
     if long.isEmpty():
         return build(df, Window.partitionBy(key).orderBy(time, *order))
-    slots = settle(_slot_blocks(df, long, key, time, max(halo, 1), block_rows))
+    counts, unit = _slot_counts(df, long, key, time, block_rows)
+    slots = settle(_slot_blocks(counts, key, max(halo, 1), block_rows))
     rows = (
-        df.withColumn(_SLOT, _slot(df, time))
+        df.withColumn(_SLOT, _slot(time, unit))
         .join(broadcast_checked(slots), [key, _SLOT], "left")
         .withColumn(_BLOCK, F.explode(F.coalesce("blocks", F.array(F.lit(0).cast("bigint")))))
         .withColumn(_CARRIED, F.coalesce(F.col(_BLOCK) != F.col("own"), F.lit(False)))

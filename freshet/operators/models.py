@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet import fixed
@@ -31,12 +31,24 @@ from freshet.operators.metrics import (
     score_columns,
 )
 from freshet.operators.policy import suggest_retrained
-from freshet.operators.split import cap_per_series, cap_total, capped_counts, restrict_to, temporal_split
+from freshet.operators.split import (
+    cap_per_series,
+    cap_total,
+    capped_counts,
+    pooled_split,
+    restrict_to,
+    temporal_split,
+)
 from freshet.session import broadcast_checked, scratch_path, settle, store
 
 GROUP_ROWS = 200_000
 
 
+def _doubles(columns: Sequence[str]) -> list[Column]:
+    """Features as numbers; integer and boolean ones count as numeric too."""
+    return [F.col(c).cast("double").alias(c) for c in columns]
+
+
 def _boosted(features: Sequence[str], target: str, params: dict, seed: int = fixed.SEED):
     assembler = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep")
     booster = GBTRegressor(
@@ -96,7 +108,7 @@ def global_rows(
     caps = caps or {"train": fixed.CAP_TRAIN, "test": fixed.CAP_TEST}
     base = [c for c in order if c != fixed.ENCODED]
     rows = ensure_columns(temporal_split(features, target, split_date, key=key, time=time), base)
-    rows = rows.select(key, time, "side", target, *base)
+    rows = rows.select(key, time, "side", target, *_doubles(base))
     train = rows.filter("side = 'train'")
     encoding = settle(fit_target_encoding(train, target, key=key))
     middle = median_columns(base)
@@ -147,11 +159,11 @@ def fit_baseline(
     time: str = fixed.TIME,
 ) -> tuple[PipelineModel, DataFrame]:
     """Pooled baseline on the raw forcings: complete rows only; returns the model and its scores."""
-    from freshet.operators.split import pooled_split
-
     params = {**fixed.BOOSTING, "rounds": fixed.BASELINE_ROUNDS, **(params or {})}
     rows = store(
-        pooled_split(master, features, target, split_date, time=time).select("side", target, *features),
+        pooled_split(master, features, target, split_date, time=time).select(
+            "side", target, *_doubles(features)
+        ),
         "baseline",
     )
     pipeline = _fit_boosted(rows.filter("side = 'train'"), features, target, params)
@@ -221,7 +233,7 @@ def fit_per_series(
     sizes = features.groupBy(key).agg(F.count("*").alias("rows"))
     sizes = broadcast_checked(settle(sizes.filter(F.col("rows") >= min_rows)))
     rows = temporal_split(features, target, split_date, key=key, time=time)
-    rows = rows.join(sizes, key).select(key, time, "side", "rows", target, *columns)
+    rows = rows.join(sizes, key).select(key, time, "side", "rows", target, *_doubles(columns))
     if exclusions is not None:
         rows = exclude_columns(rows, exclusions, columns, fill=None, key=key)
     middle = median_columns(columns)

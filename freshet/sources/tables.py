@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from freshet import fixed
-from freshet.functions.scalars import nan_to_null, repair_id, to_day, to_number
+from freshet.functions.scalars import nan_to_null, repair_id, to_number, to_time
 
 _FLOATS = (T.FloatType, T.DoubleType)
 
 
-def coerce_keys(df: DataFrame, *, key: str = fixed.KEY, time: str = fixed.TIME) -> DataFrame:
-    """Text key, day-grain date, NaN measures as NULL; rows without a key are dropped."""
+def coerce_keys(
+    df: DataFrame, *, key: str = fixed.KEY, time: str = fixed.TIME, time_type: str = "date"
+) -> DataFrame:
+    """Text key, date (or finer ``time_type``), NaN measures as NULL; rows without a key are dropped."""
     changed = {
         f.name: nan_to_null(f.name).cast(f.dataType)
         for f in df.schema.fields
@@ -24,7 +26,7 @@ def coerce_keys(df: DataFrame, *, key: str = fixed.KEY, time: str = fixed.TIME)
     if key in df.columns:
         changed[key] = F.col(key).cast("string")
     if time in df.columns:
-        changed[time] = to_day(time)
+        changed[time] = to_time(time, time_type)
     out = df.withColumns(changed) if changed else df
     return out.filter(F.col(key).isNotNull()) if key in df.columns else out
 
@@ -35,6 +37,7 @@ def read_panel(
     *,
     key: str = fixed.KEY,
     time: str = fixed.TIME,
+    time_type: str = "date",
     merge_schema: bool = False,
 ) -> DataFrame:
     """One table or a folder of parts as one panel. A key in the folder names is read as text."""
@@ -47,8 +50,8 @@ def read_panel(
             T.StructField(f.name, T.StringType() if f.name == key else f.dataType)
             for f in plain.schema.fields
         ]
-        return coerce_keys(reader.schema(T.StructType(fields)).parquet(*paths), key=key, time=time)
-    return coerce_keys(reader.parquet(*paths), key=key, time=time)
+        reader = reader.schema(T.StructType(fields))
+    return coerce_keys(reader.parquet(*paths), key=key, time=time, time_type=time_type)
 
 
 def _has_partition_folders(spark: SparkSession, path: str, key: str) -> bool:

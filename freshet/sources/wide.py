@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet import fixed
-from freshet.functions.scalars import normal_name, normal_names, to_day, to_number
+from freshet.functions.scalars import normal_name, normal_names, to_number, to_time
 
 
 def resolve_input(spark: SparkSession, path: str) -> str:
@@ -94,6 +94,7 @@ def read_wide(
     *,
     sep: str = "\t",
     date_col: str | None = None,
+    time_type: str = "date",
     comment: str = "#",
     na_marks: list[str] = fixed.NA_MARKS,
 ) -> DataFrame:
@@ -109,7 +110,9 @@ def read_wide(
     columns = _names(spark, header, sep).select("pos", normal_name("name").alias(fixed.KEY))
     cells = (
         lines.select(split_fields("line", sep).alias("fields"))
-        .select(to_day(F.trim(F.get("fields", F.lit(at)))).alias(fixed.TIME), "fields")
+        .select(
+            to_time(F.trim(F.get("fields", F.lit(at))), time_type).alias(fixed.TIME), "fields"
+        )
         .filter(F.col(fixed.TIME).isNotNull())
         .select(fixed.TIME, F.posexplode("fields").alias("pos", "cell"))
         .filter(F.col("pos") != at)

@@ -93,6 +93,8 @@ def test_blocks_over_hours_with_bursts(spark):
     def build(rows, w):
         return rows.withColumns({"l": F.lag("v", 40).over(w), "s": F.sum("v").over(w.rowsBetween(-40, -1))})
 
+    long = df.select("k").distinct()
+    assert [blocks._slot_counts(df, long, "k", "t", n)[1] for n in (1000, 400, 1)] == ["hour", "second", None]
     plan = dict(halo=40, key="k", time="t", order=("i",))
     whole = blocks.over_series(df, build, **plan)
     cut = blocks.over_series(df, build, **plan, block_rows=25)
@@ -103,7 +105,9 @@ def test_a_hot_series_spreads(spark):
     frame = panel({"hot": 3000, "b": 10}, gaps=0)
     df = to_spark(spark, frame)
     long = df.filter("basin_id = 'hot'").select("basin_id").distinct()
-    slots = blocks._slot_blocks(df, long, "basin_id", "date", 30, 100)
+    counts, unit = blocks._slot_counts(df, long, "basin_id", "date", 100)
+    assert unit is None
+    slots = blocks._slot_blocks(counts, "basin_id", 30, 100)
     placed = df.join(slots.withColumnRenamed("_slot", "date"), ["basin_id", "date"])
     rows = placed.select(F.explode("blocks").alias("b")).groupBy("b").count().collect()
     assert len(rows) >= 25 and max(r["count"] for r in rows) <= 130

@@ -10,7 +10,7 @@ from freshet.functions.scalars import (
     is_zero_feature,
     normal_names,
     parse_list,
-    to_day,
+    to_time,
     to_number,
 )
 from freshet.operators.master import build_master
@@ -108,7 +108,7 @@ def test_tolerant_casts(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(to_number("t")).collect()] == [1.5, None, None, None, None, None, -2000.0, None]
     days = spark.createDataFrame([("2000-02-30",), ("2000-02-29",), ("x",)], "t string")
-    assert [str(r[0]) for r in days.select(to_day("t")).collect()] == ["None", "2000-02-29", "None"]
+    assert [str(r[0]) for r in days.select(to_time("t")).collect()] == ["None", "2000-02-29", "None"]
     low = spark.createDataFrame([(-1.0,), (None,), (2.0,)], "x double")
     assert [r[0] for r in low.select(floor_zero("x")).collect()] == [0.0, None, 2.0]
     lists = spark.createDataFrame([("['a', 'b']",), ("oops",), (None,), ("[]",)], "t string")
