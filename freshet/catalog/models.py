@@ -32,7 +32,8 @@ from freshet.operators.models import (
 )
 from freshet.operators.scoring import assemble_request, resolve_mode, score
 from freshet.operators.split import restrict_to, temporal_split
-from freshet.session import settle, store
+from freshet.session import scratch_path, settle, store
+from freshet.streaming.scoring import write_stream
 
 # Small settings: the queries check the flow; the defaults are in ``fixed.BOOSTING``.
 SMALL = {"rounds": 5, "depth": 3, "rate": 0.3}
@@ -119,40 +120,63 @@ def _requests(rows: DataFrame) -> DataFrame:
     return rows.withColumn("features", F.when(F.col(fixed.PET).isNull(), sent).otherwise(more))
 
 
-@query(
-    "request_vectors",
-    with_(
-        *DV,
-        ("te", "SELECT basin_id, sum(discharge_mm) AS t, count(*) AS n FROM m GROUP BY basin_id HAVING count(*) >= 1200"),
-        ("g", "SELECT sum(t) / sum(n) AS g FROM te"),
-        ("q", "SELECT basin_id, date, prcp_mm_cr2met AS p, tmin_c, pet_mm_hargreaves AS pet FROM m"),
-        select=f"""
+VECTOR_SQL = with_(
+    *DV,
+    ("te", "SELECT basin_id, sum(discharge_mm) AS t, count(*) AS n FROM m GROUP BY basin_id HAVING count(*) >= 1200"),
+    ("g", "SELECT coalesce(sum(t) / sum(n), 0) AS g FROM te"),
+    ("q", "SELECT basin_id, date, prcp_mm_cr2met AS p, tmin_c, pet_mm_hargreaves AS pet FROM m"),
+    select=f"""
 SELECT q.basin_id, date, {r('coalesce(p, 0)', 'v0')}, {r('coalesce(tmin_c, 0)', 'v1')}, {r('0', 'v2')}, {r('coalesce(pet, 0)', 'v3')},
   {r('coalesce((t + 100 * g) / (n + 100), g)', 'v4')},
   concat_ws('|', CASE WHEN p IS NULL THEN 'prcp_mm_cr2met' END, CASE WHEN tmin_c IS NULL THEN 'tmin_c' END, 'swe_mm',
     CASE WHEN pet IS NULL THEN 'pet_mm_hargreaves' END) AS missing
 FROM q LEFT JOIN te USING (basin_id), g
 """,
-    ),
 )
+
+
+@query("request_vectors", VECTOR_SQL)
 def request_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature vectors in fixed order; missing entries become 0 and are listed."""
     rows = master(spark, sf_dir)
+    return rounded(_vectors(_requests(rows), rows))
+
+
+def _vectors(requests: DataFrame, rows: DataFrame) -> DataFrame:
+    """Vectors of batch or streaming requests; series with few rows have no encoding."""
     known = rows.groupBy(fixed.KEY).agg(F.count("*").alias("n")).filter("n >= 1200")
     encoding = settle(fit_target_encoding(restrict_to(rows, known), fixed.TARGET))
-    mean = encoding.agg(F.max("global_mean")).scalar()
-    rows = apply_target_encoding(_requests(rows), encoding, mean)
-    out = assemble_request(rows, VECTOR, encoded=F.col(fixed.ENCODED))
-    return rounded(
-        out.select(
-            fixed.KEY,
-            fixed.TIME,
-            *[F.col("vector")[i].alias(f"v{i}") for i in range(len(VECTOR))],
-            F.array_join("features_missing", "|").alias("missing"),
-        )
+    # One number, as the stored encoding artifact holds it.
+    mean = encoding.agg(F.max("global_mean")).first()[0] or 0.0
+    encoded = apply_target_encoding(requests, encoding, mean)
+    out = assemble_request(encoded, VECTOR, encoded=F.col(fixed.ENCODED))
+    return out.select(
+        fixed.KEY,
+        fixed.TIME,
+        *[F.col("vector")[i].alias(f"v{i}") for i in range(len(VECTOR))],
+        F.array_join("features_missing", "|").alias("missing"),
     )
 
 
+@query("streamed_request_vectors", VECTOR_SQL)
+def streamed_request_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same vectors from a stream of requests, run until its input is used up."""
+    rows = master(spark, sf_dir)
+    folder = scratch_path(spark, "requests")
+    requests = _requests(rows).select(fixed.KEY, fixed.TIME, "features")
+    requests.write.json(folder, ignoreNullFields=False)
+    schema = f"{fixed.KEY} string, {fixed.TIME} date, features map<string,double>"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).json(folder)
+    return rounded(_drained(_vectors(stream, rows)))
+
+
+def _drained(stream: DataFrame) -> DataFrame:
+    spark = stream.sparkSession
+    out = scratch_path(spark, "stream")
+    write_stream(stream, f"{out}/rows", f"{out}/log").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
 MODE_SQL = """
 SELECT o_orderkey, basin_id, CASE k WHEN 'BUILDING' THEN 'local_lite' ELSE 'global' END AS mode,
   CASE k WHEN 'BUILDING' THEN 'lite/' || basin_id ELSE 'global' END AS model_path,
@@ -168,9 +192,11 @@ FROM (SELECT o_orderkey, CAST(o_custkey AS STRING) AS basin_id, CASE WHEN c_acct
 def serving_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests meet a policy with every kind of entry, one per market segment; customers in debt
     have none."""
-    requests = table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.col("o_custkey").cast("string").alias(fixed.KEY)
-    )
+    return _modes(spark, sf_dir, table(spark, sf_dir, "orders"))
+
+
+def _modes(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    requests = orders.select("o_orderkey", F.col("o_custkey").cast("string").alias(fixed.KEY))
     kind = F.col("c_mktsegment")
     path = F.concat(F.lit("lite/"), F.col("c_custkey").cast("string"))
     policy = (
@@ -189,7 +215,17 @@ def serving_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     stored = policy.filter("kind <> 'HOUSEHOLD'").select(fixed.KEY, "model_path")
     out = resolve_mode(requests, policy.drop("kind"), stored)
-    return out.select("o_orderkey", fixed.KEY, "mode", "model_path", F.array_join("notes", "|").alias("notes"))
+    return out.select(
+        "o_orderkey", fixed.KEY, "mode", "model_path", F.array_join("notes", "|").alias("notes")
+    )
+
+
+@query("streamed_serving_mode", MODE_SQL)
+def streamed_serving_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a stream of requests against static policy tables."""
+    schema = table(spark, sf_dir, "orders").schema
+    orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    return _drained(_modes(spark, sf_dir, orders))
 
 
 @query("scored_requests")

@@ -215,7 +215,7 @@ def target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_(
         *S,
         ("te", TE_SQL + " HAVING count(*) >= 700"),
-        ("g", "SELECT sum(t) / sum(n) AS g FROM te"),
+        ("g", "SELECT coalesce(sum(t) / sum(n), 0) AS g FROM te"),
         select=f"SELECT m.basin_id, date, {r('coalesce((t + 100 * g) / (n + 100), g)', 'basin_te')} FROM m LEFT JOIN te USING (basin_id), g",
     ),
 )

@@ -27,6 +27,14 @@ _CARRIED = "_carried"
 _SLOT = "_slot"
 
 
+def long_series(df: DataFrame, rows: int, *, key: str = fixed.KEY) -> DataFrame | None:
+    """Keys with more than ``rows`` rows, stored; None if there are none."""
+    sizes = df.groupBy(key).agg(F.count("*").alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= rows:
+        return None
+    return settle(sizes.filter(F.col("n") > rows).select(key))
+
+
 def _slot(time: str, unit: str | None) -> Column:
     return F.col(time) if unit is None else F.date_trunc(unit, F.col(time))
 
@@ -74,10 +82,8 @@ def over_series(
     ``halo`` is how many earlier rows a frame may reach back to; ``order`` holds tie-break columns
     after ``time``. Rows with equal time always share a block.
     """
-    long = settle(
-        df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > block_rows).select(key)
-    )
-    if long.isEmpty():
+    long = long_series(df, block_rows, key=key)
+    if long is None:
         return build(df, Window.partitionBy(key).orderBy(time, *order))
     counts, unit = _slot_counts(df, long, key, time, block_rows)
     slots = settle(_slot_blocks(counts, key, max(halo, 1), block_rows))

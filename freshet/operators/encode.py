@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from freshet import fixed
 from freshet.functions.scalars import is_zero_feature
+from freshet.operators.blocks import long_series
 from freshet.session import broadcast_checked, settle
 
 EXACT_ROWS = 200_000
@@ -38,10 +39,10 @@ def apply_target_encoding(
     key: str = fixed.KEY,
     name: str = fixed.ENCODED,
 ) -> DataFrame:
-    """Look the encoding up; a series without one gets the global mean."""
+    """Look the encoding up; a series without one gets the global mean, or 0 if there is none."""
     value = global_mean if isinstance(global_mean, Column) else F.lit(float(global_mean))
     table = encoding.select(key, F.col("enc").alias("_enc"))
-    return df.join(broadcast_checked(table), key, "left").withColumn(name, F.coalesce("_enc", value)).drop("_enc")
+    return df.join(broadcast_checked(table), key, "left").withColumn(name, F.coalesce("_enc", value, F.lit(0.0))).drop("_enc")
 
 
 def train_medians(
@@ -57,10 +58,8 @@ def train_medians(
     ``exact_rows`` rows. Longer ones go through :func:`_long_medians`: same result, bounded state.
     """
     columns = list(columns)
-    long = settle(
-        train.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > exact_rows).select(key)
-    )
-    if long.isEmpty():
+    long = long_series(train, exact_rows, key=key)
+    if long is None:
         return settle(train.groupBy(key).agg(*[F.median(c).alias(c) for c in columns]))
     side = broadcast_checked(long)
     short = train.join(side, key, "left_anti")

@@ -40,9 +40,14 @@ def split_fields(line, sep: str = "\t") -> Column:
     return F.when(line.contains('"'), quoted).otherwise(F.split(line, plain, -1))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, *, encoding: str = "utf-8") -> DataFrame:
     """Text lines (LF, CRLF or CR) without byte-order mark, undecodable bytes dropped."""
-    text = spark.read.text(resolve_input(spark, path))
+    place = resolve_input(spark, path)
+    if encoding.lower() in ("utf-8", "utf8"):
+        text = spark.read.text(place)
+    else:
+        # The text source knows UTF-8 only; a CSV scan with one column decodes, still line by line.
+        text = spark.read.schema("value string").csv(place, sep="\u0001", quote="", encoding=encoding)
     return text.select(F.regexp_replace("value", r"^\uFEFF+|\uFFFD", "").alias("line"))
 
 
@@ -97,9 +102,10 @@ def read_wide(
     time_type: str = "date",
     comment: str = "#",
     na_marks: list[str] = fixed.NA_MARKS,
+    encoding: str = "utf-8",
 ) -> DataFrame:
     """Wide series matrix -> (basin_id, date, value). Rows without a readable date are dropped."""
-    lines = strip_comments(read_lines(spark, path), comment)
+    lines = strip_comments(read_lines(spark, path, encoding=encoding), comment)
     header = _header(lines)
     names = normal_names(
         [r["name"] for r in _names(spark, header, sep).orderBy("pos").collect()]
@@ -126,10 +132,16 @@ def read_wide(
 
 
 def attribute_cells(
-    spark: SparkSession, path: str, *, sep: str = "\t", collapse_tabs: bool = False
+    spark: SparkSession,
+    path: str,
+    *,
+    sep: str = "\t",
+    collapse_tabs: bool = False,
+    encoding: str = "utf-8",
 ) -> DataFrame:
     """Transposed sheet -> (attribute, basin_id, value, line_no), values still text."""
-    lines = strip_comments(clean_lines(read_lines(spark, path), collapse_tabs=collapse_tabs))
+    lines = clean_lines(read_lines(spark, path, encoding=encoding), collapse_tabs=collapse_tabs)
+    lines = strip_comments(lines)
     header = _header(lines)
     names = _names(spark, header, sep).select("pos", F.trim("name").alias(fixed.KEY))
     titles = [r[fixed.KEY] for r in names.orderBy("pos").collect()]
@@ -180,8 +192,6 @@ def pivot_attributes(
     return wide.select(key, *[to_number(F.col(f"`{n}`")).alias(n) for n in names])
 
 
-def read_attributes(
-    spark: SparkSession, path: str, *, sep: str = "\t", collapse_tabs: bool = False
-) -> DataFrame:
-    """Transposed attribute sheet -> one row per series."""
-    return pivot_attributes(attribute_cells(spark, path, sep=sep, collapse_tabs=collapse_tabs))
+def read_attributes(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Transposed attribute sheet -> one row per series; options as in :func:`attribute_cells`."""
+    return pivot_attributes(attribute_cells(spark, path, **options))

@@ -33,6 +33,17 @@ def score_stream(
     return score_global(rows.filter("mode = 'global'"), model)
 
 
+def write_stream(rows: DataFrame, out: str, checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:
+    """Append a stream to a parquet folder; its commit log makes each row appear once."""
+    return (
+        rows.writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def write_scores(
     requests: DataFrame,
     policy: DataFrame,

@@ -90,6 +90,13 @@ def test_attribute_sheet(spark, tmp_path):
     ]
 
 
+def test_other_encoding(spark, tmp_path):
+    (tmp_path / "l.txt").write_bytes("gauge_id\t1\t2\r\nañada x\t3\t\r\n".encode("latin-1"))
+    got = read_attributes(spark, str(tmp_path / "l"), encoding="ISO-8859-1").collect()
+    assert [r.asDict() for r in got] == [{"basin_id": "1", "añada_x": 3.0}]
+    assert read_attributes(spark, str(tmp_path / "l")).columns == ["basin_id", "aada_x"]
+
+
 def test_attribute_sheet_header_variants(spark, tmp_path):
     (tmp_path / "a.txt").write_text("Gauge\t1\t2\nx\t1\t\t2\n")
     assert read_attributes(spark, str(tmp_path / "a.txt")).count() == 1
