@@ -219,6 +219,7 @@ def fit_per_series(
     min_features: int = fixed.MIN_FEATURES,
     params: dict | None = None,
     prefix: str = "basin",
+    model_dir: str | None = None,
     group_rows: int = GROUP_ROWS,
     key: str = fixed.KEY,
     time: str = fixed.TIME,
@@ -226,7 +227,8 @@ def fit_per_series(
     """One boosted-tree model per series with its scores: the model registry.
 
     Series up to ``group_rows`` rows are fitted in grouped tasks, many at a time. A longer one would
-    not fit a task; each of those few is fitted as a distributed job on all its rows.
+    not fit a task; each of those few is fitted as a distributed job on all its rows, and its model
+    saved under ``model_dir`` (else in the shared folder).
     """
     params = {**fixed.BOOSTING, **(params or {})}
     columns = list(columns)
@@ -267,9 +269,9 @@ def fit_per_series(
 
     fitted = short.groupBy(key).applyInPandas(fit_group, schema)
     for name in ids:
-        fitted = fitted.unionByName(
-            _fit_long(long.filter(F.col(key) == name), columns, target, params, prefix, log, key)
-        )
+        path = f"{model_dir}/{prefix}/{name}" if model_dir else scratch_path(rows.sparkSession, prefix)
+        one = long.filter(F.col(key) == name)
+        fitted = fitted.unionByName(_fit_long(one, columns, target, params, path, log, key))
     return fitted
 
 
@@ -278,15 +280,13 @@ def _marked(columns: Sequence[str], marks: str) -> list[str]:
 
 
 def _fit_long(
-    rows: DataFrame, columns: Sequence[str], target: str, params: dict, prefix: str, log: bool, key: str
+    rows: DataFrame, columns: Sequence[str], target: str, params: dict, path: str, log: bool, key: str
 ) -> DataFrame:
     """A model for one very long series as a distributed job; the model is saved, not inlined."""
-    spark = rows.sparkSession
     used = _marked(columns, rows.select("used").first()[0])
     filled = rows.na.fill(0.0, subset=used)
     pipeline = _fit_boosted(filled.filter("side = 'train'"), used, target, params)
-    path = scratch_path(spark, prefix)
-    pipeline.write().save(path)
+    pipeline.write().overwrite().save(path)
     scored = pipeline.transform(filled)
     y, yhat = target, "yhat"
     out = scored.groupBy(key).agg(
@@ -328,6 +328,7 @@ def retrain_bottom(
     params: dict | None = None,
     key: str = fixed.KEY,
     time: str = fixed.TIME,
+    model_dir: str | None = None,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Refit the n worst series on the most important features and suggest how to serve them."""
@@ -343,6 +344,7 @@ def retrain_bottom(
             min_rows=0,
             params=params,
             prefix="lite",
+            model_dir=model_dir,
             group_rows=group_rows,
             key=key,
             time=time,

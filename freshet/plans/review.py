@@ -45,6 +45,7 @@ def train(
     split_date: str = fixed.SPLIT_DATE,
     min_rows: int = fixed.MIN_ROWS,
     params: dict | None = None,
+    model_dir: str | None = None,
 ) -> Training:
     """Per-series models, then the global one; an earlier policy feeds its exclusions back in."""
     target = pick_target(features.columns)
@@ -54,7 +55,14 @@ def train(
     # Stored as columns, so that reading the scores leaves the models alone.
     registry = store(
         fit_per_series(
-            features, target, sorted(common), exclusions, split_date=split_date, min_rows=min_rows, params=params
+            features,
+            target,
+            sorted(common),
+            exclusions,
+            split_date=split_date,
+            min_rows=min_rows,
+            params=params,
+            model_dir=model_dir,
         ),
         "registry",
     )
@@ -86,6 +94,7 @@ def review(
     top_k: int = fixed.TOP_K,
     r2_good: float = 0.0,
     params: dict | None = None,
+    model_dir: str | None = None,
 ) -> Review:
     """Diagnose the weak series, set the gating policy, retrain the worst and merge what serves."""
     spark = features.sparkSession
@@ -97,7 +106,15 @@ def review(
     metrics = settle(augment_persistence(training.metrics, features, training.target, split_date))
     top = top_features(named_importance(spark, training.model.booster, training.model.order), top_k)
     lite = retrain_bottom(
-        features, metrics, top, training.target, gating.exclusions, n=n_bottom, split_date=split_date, params=params
+        features,
+        metrics,
+        top,
+        training.target,
+        gating.exclusions,
+        n=n_bottom,
+        split_date=split_date,
+        params=params,
+        model_dir=model_dir,
     )
     lite = store(lite, "lite")
     compared = compare_retrained(metrics, lite)
