@@ -184,11 +184,20 @@ def cap_total(
 ) -> DataFrame:
     """Series to take, in id order, until both row totals are reached.
 
-    Every series that counts adds at least one row to either side, so the stop lies within the first
-    ``max(max_train, max_test)`` series; only those reach the single ordered pass.
+    The first series are looked at in growing numbers until they hold enough rows. Each adds at least
+    one row to either side, so ``max(max_train, max_test)`` of them are always enough; no more ever
+    reach the single ordered pass.
     """
     both = counts.filter((F.col("n_train") > 0) & (F.col("n_test") > 0))
-    first = both.select(key, "n_train", "n_test").orderBy(key).limit(max(max_train, max_test))
+    both = settle(both.select(key, "n_train", "n_test"))
+    most = max(max_train, max_test)
+    look = 1024
+    while True:
+        first = settle(both.orderBy(key).limit(min(look, most)))
+        seen = first.agg(F.count("*"), F.sum("n_train"), F.sum("n_test")).first()
+        if look >= most or seen[0] < look or (seen[1] >= max_train and seen[2] >= max_test):
+            break
+        look *= 8
     before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     run = first.withColumns(
         {

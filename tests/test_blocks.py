@@ -173,6 +173,16 @@ def test_total_cap_stops_when_both_are_reached(spark):
     assert taken == ["a", "b", "c"]
 
 
+def test_total_cap_over_many_series(spark):
+    df = spark.range(9000).select(
+        F.format_string("%05d", "id").alias("basin_id"), F.lit(2).cast("bigint").alias("n_train"), F.lit(1).cast("bigint").alias("n_test")
+    )
+    assert cap_total(df, 5000, 1500).count() == 2500
+    assert cap_total(df, 10, 8500).count() == 8500
+    assert cap_total(df, 10**6, 10**6).count() == 9000
+    assert cap_total(df, 6, 2).count() == 3
+
+
 def test_size_summary(spark):
     frame = panel({"a": 100, "b": 40, "c": 7, "d": 60}, gaps=0)
     sizes = frame.groupby("basin_id").size()

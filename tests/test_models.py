@@ -99,7 +99,9 @@ def test_global_model(model, spark):
 
 
 def test_baseline_model(panel):
-    _, scores = fit_baseline(panel, ["prcp_mm_cr2met", "tmin_c"], split_date=SPLIT, params=SMALL)
+    """A boolean column counts as a feature."""
+    rows = panel.withColumn("wet", F.col("prcp_mm_cr2met") > 5)
+    _, scores = fit_baseline(rows, ["prcp_mm_cr2met", "tmin_c", "wet"], split_date=SPLIT, params=SMALL)
     assert {r["side"]: r["logNSE"] for r in scores.collect()} == {"train": None, "test": None}
 
 

@@ -140,6 +140,26 @@ def test_panel_sink_and_scan(spark, tmp_path):
     ]
 
 
+def test_a_hot_series_is_written_by_many_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(4000).select(
+            F.when(F.col("id") % 4 == 0, F.col("id").cast("string")).otherwise("hot").alias("basin_id"),
+            F.expr("date_add(date'2000-01-01', cast(id as int))").alias("date"),
+        )
+        write_panel(df, str(tmp_path / "p"), partition=True)
+        assert len(list((tmp_path / "p" / "basin_id=hot").glob("*.parquet"))) >= 4
+        assert read_panel(spark, str(tmp_path / "p")).count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_finer_time(spark):
+    df = spark.createDataFrame([("a", "2000-01-01 05:30:00"), ("a", "x")], "basin_id string, date string")
+    kept = coerce_keys(df, time_type="timestamp_ntz").orderBy("date").collect()
+    assert [str(r["date"]) for r in kept] == ["None", "2000-01-01 05:30:00"]
+
+
 def test_metric_file(spark, tmp_path):
     table = spark.createDataFrame(
         [("12.0", 0.5, ["a", "b"]), ("7", None, [])], "basin_id string, test_R2 double, used array<string>"
