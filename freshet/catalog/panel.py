@@ -45,7 +45,13 @@ from freshet.operators.split import basins
 KEYS = [fixed.KEY, fixed.TIME]
 
 
-@query("master_join", with_(*M, ("ats", ATTRS_SQL), select="SELECT m.*, area_sites, elev_gauge, slope_class FROM m LEFT JOIN ats USING (basin_id)"))
+@query(
+    "master_join",
+    with_(
+        *M, ("ats", ATTRS_SQL),
+        select="SELECT m.*, area_sites, elev_gauge, slope_class FROM m LEFT JOIN ats USING (basin_id)",
+    ),
+)
 def master_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target joined with one table per forcing, then with the attributes."""
     rows = series(spark, sf_dir)
@@ -88,7 +94,14 @@ def derived_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.drop(fixed.TARGET, fixed.TMIN, fixed.TMAX))
 
 
-@query("complete_rows", with_(*M, select="SELECT basin_id, date, prcp_mm_cr2met, pet_mm_hargreaves FROM m WHERE prcp_mm_cr2met IS NOT NULL AND pet_mm_hargreaves IS NOT NULL"))
+@query(
+    "complete_rows",
+    with_(
+        *M,
+        select="SELECT basin_id, date, prcp_mm_cr2met, pet_mm_hargreaves FROM m "
+        "WHERE prcp_mm_cr2met IS NOT NULL AND pet_mm_hargreaves IS NOT NULL",
+    ),
+)
 def complete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = require(master(spark, sf_dir), [fixed.PRECIP, fixed.PET])
     return rows.select(*KEYS, fixed.PRECIP, fixed.PET)
@@ -116,7 +129,10 @@ def _names(column: str, sizes: list[int], how: str) -> list[str]:
 
 @query(
     "rolling_sums",
-    with_(*P, select="SELECT basin_id, date, " + ", ".join(r(c, c) for c in _names(fixed.PRECIP, fixed.PRECIP_SUMS, "sum")) + " FROM p"),
+    with_(
+        *P,
+        select="SELECT basin_id, date, " + ", ".join(r(c, c) for c in _names(fixed.PRECIP, fixed.PRECIP_SUMS, "sum")) + " FROM p",
+    ),
 )
 def rolling_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = add_rolls(master(spark, sf_dir), fixed.PRECIP, fixed.PRECIP_SUMS, "sum")
@@ -125,7 +141,10 @@ def rolling_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rolling_means",
-    with_(*P, select="SELECT basin_id, date, " + ", ".join(r(c, c) for c in _names(fixed.PRECIP, fixed.PRECIP_MEANS, "mean")) + " FROM p"),
+    with_(
+        *P,
+        select="SELECT basin_id, date, " + ", ".join(r(c, c) for c in _names(fixed.PRECIP, fixed.PRECIP_MEANS, "mean")) + " FROM p",
+    ),
 )
 def rolling_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = add_rolls(master(spark, sf_dir), fixed.PRECIP, fixed.PRECIP_MEANS, "mean")
@@ -134,7 +153,10 @@ def rolling_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "feature_panel",
-    with_(*F_, select="SELECT basin_id, date, " + ", ".join(r(c, c) for c in [*FEATURE_NAMES, "y", "y_log1p"]) + " FROM f"),
+    with_(
+        *F_,
+        select="SELECT basin_id, date, " + ", ".join(r(c, c) for c in [*FEATURE_NAMES, "y", "y_log1p"]) + " FROM f",
+    ),
 )
 def feature_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir).select(*KEYS, *FEATURE_NAMES, "y", "y_log1p")

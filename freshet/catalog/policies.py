@@ -71,12 +71,24 @@ def _joined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows, join_diagnostics(scores, summary(restrict_to(rows, review_list(scores, 12))))
 
 
-@query("metrics_with_diagnosis", with_(*JOINED, select=f"SELECT basin_id, rows, n_test, near_zero_var_test, {_cols(JOINED_COLS)} FROM j"))
+@query(
+    "metrics_with_diagnosis",
+    with_(
+        *JOINED,
+        select=f"SELECT basin_id, rows, n_test, near_zero_var_test, {_cols(JOINED_COLS)} FROM j",
+    ),
+)
 def metrics_with_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_joined(spark, sf_dir)[1])
 
 
-@query("model_overrides", with_(*JOINED, select="SELECT basin_id, 'global' AS serve_model FROM j WHERE test_R2 < 0 AND persistence_NSE > 0"))
+@query(
+    "model_overrides",
+    with_(
+        *JOINED,
+        select="SELECT basin_id, 'global' AS serve_model FROM j WHERE test_R2 < 0 AND persistence_NSE > 0",
+    ),
+)
 def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_overrides(_joined(spark, sf_dir)[1])
 
@@ -168,7 +180,14 @@ def gating(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query("policy_summary", with_(*JOINED, ("l", LISTS_SQL), select="SELECT basin_id, length(excluded) - length(replace(excluded, '|', '')) + 1 AS excluded_features FROM l WHERE excluded <> ''"))
+@query(
+    "policy_summary",
+    with_(
+        *JOINED, ("l", LISTS_SQL),
+        select="SELECT basin_id, length(excluded) - length(replace(excluded, '|', '')) + 1 AS excluded_features "
+        "FROM l WHERE excluded <> ''",
+    ),
+)
 def excluded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, joined = _joined(spark, sf_dir)
     lists = missing_policy(rows, joined, CHECKED, SPLIT)
@@ -218,7 +237,13 @@ def excluded_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
 COMPARED_COLS = [f"test_{m}_{s}" for s in ("orig", "lite") for m in ("R2", "RMSE", "MAE")] + ["persistence_NSE"]
 
 
-@query("retrained_comparison", with_(*CMP, select=f"SELECT basin_id, suggested_serving, {_cols(COMPARED_COLS)} FROM cp"))
+@query(
+    "retrained_comparison",
+    with_(
+        *CMP,
+        select=f"SELECT basin_id, suggested_serving, {_cols(COMPARED_COLS)} FROM cp",
+    ),
+)
 def retrained_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = smooth(spark, sf_dir)
     scores = metrics(rows)
@@ -265,6 +290,12 @@ def serving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.withColumn("feature_order", F.array_join("feature_order", "|"))
 
 
-@query("metric_modes", with_(*SUM, ("w", STEADY_SQL), select="SELECT basin_id, 'rmse' AS metric_mode FROM w WHERE near_zero_var_test"))
+@query(
+    "metric_modes",
+    with_(
+        *SUM, ("w", STEADY_SQL),
+        select="SELECT basin_id, 'rmse' AS metric_mode FROM w WHERE near_zero_var_test",
+    ),
+)
 def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_modes(_steady(smooth(spark, sf_dir)))

@@ -171,7 +171,13 @@ def previous_value_nse(spark: SparkSession, sf_dir: str) -> DataFrame:
 STAT_COLS = [f"{m}_{s}" for s in ("train", "test") for m in ("mean", "std", "var", "min", "max", "range")]
 
 
-@query("series_stats", with_(*SM, ("st", STATS_SQL), select=f"SELECT basin_id, n_train, n_test, {_cols(STAT_COLS)} FROM st"))
+@query(
+    "series_stats",
+    with_(
+        *SM, ("st", STATS_SQL),
+        select=f"SELECT basin_id, n_train, n_test, {_cols(STAT_COLS)} FROM st",
+    ),
+)
 def target_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = series_stats(smooth(spark, sf_dir), "y_log1p", SPLIT)
     return rounded(rows.select(fixed.KEY, "n_train", "n_test", *STAT_COLS))
@@ -210,14 +216,23 @@ RATE_ROWS_SQL = " UNION ALL ".join(
 )
 
 
-@query("missing_rates", with_(*SM, ("k", RATE_ROWS_SQL), select=f'SELECT basin_id, "column", {r("nan_rate", "nan_rate")} FROM k'))
+@query(
+    "missing_rates",
+    with_(
+        *SM, ("k", RATE_ROWS_SQL),
+        select=f'SELECT basin_id, "column", {r("nan_rate", "nan_rate")} FROM k',
+    ),
+)
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(long_rates(missing_rates(smooth(spark, sf_dir), CHECKED, SPLIT)))
 
 
 @query(
     "mean_missing_rate",
-    with_(*SM, ("k", RATE_ROWS_SQL), select=f"SELECT basin_id, {r('avg(nan_rate)', 'avg_nan_rate_test')} FROM k GROUP BY basin_id"),
+    with_(
+        *SM, ("k", RATE_ROWS_SQL),
+        select=f"SELECT basin_id, {r('avg(nan_rate)', 'avg_nan_rate_test')} FROM k GROUP BY basin_id",
+    ),
 )
 def mean_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mean_rate(missing_rates(smooth(spark, sf_dir), CHECKED, SPLIT)))
@@ -245,7 +260,13 @@ SUMMARY_COLS = [
 ]
 
 
-@query("diagnosis", with_(*SUM, select=f"SELECT basin_id, n_train, n_test, near_zero_var_test, {_cols(SUMMARY_COLS)} FROM su"))
+@query(
+    "diagnosis",
+    with_(
+        *SUM,
+        select=f"SELECT basin_id, n_train, n_test, near_zero_var_test, {_cols(SUMMARY_COLS)} FROM su",
+    ),
+)
 def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(summary(smooth(spark, sf_dir)))
 
@@ -253,14 +274,26 @@ def diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 AUG_COLS = ["test_R2", "test_RMSE", "persistence_NSE"]
 
 
-@query("persistence_augmented", with_(*AUG, select=f"SELECT basin_id, {_cols(AUG_COLS)}, persistence_N, suggested_serving FROM ag"))
+@query(
+    "persistence_augmented",
+    with_(
+        *AUG,
+        select=f"SELECT basin_id, {_cols(AUG_COLS)}, persistence_N, suggested_serving FROM ag",
+    ),
+)
 def persistence_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = smooth(spark, sf_dir)
     out = augment_persistence(metrics(rows), rows, "y_log1p", SPLIT)
     return rounded(out.select(fixed.KEY, *AUG_COLS, "persistence_N", "suggested_serving"))
 
 
-@query("worst_series", with_(*MT, select=f"SELECT basin_id, {r('test_R2', 'test_R2')} FROM mt ORDER BY mt.test_R2 ASC NULLS LAST, basin_id LIMIT 10"))
+@query(
+    "worst_series",
+    with_(
+        *MT,
+        select=f"SELECT basin_id, {r('test_R2', 'test_R2')} FROM mt ORDER BY mt.test_R2 ASC NULLS LAST, basin_id LIMIT 10",
+    ),
+)
 def worst_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bottom_n(metrics(smooth(spark, sf_dir)), 10).select(fixed.KEY, "test_R2"))
 

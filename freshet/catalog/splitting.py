@@ -126,7 +126,13 @@ def series_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gates(spark, sf_dir)
 
 
-@query("gate_counts", with_(*G, ("g", GATE_SQL), select="SELECT gate, count(*) AS series FROM g GROUP BY gate"))
+@query(
+    "gate_counts",
+    with_(
+        *G, ("g", GATE_SQL),
+        select="SELECT gate, count(*) AS series FROM g GROUP BY gate",
+    ),
+)
 def gate_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate_counts(_gates(spark, sf_dir))
 
@@ -237,7 +243,13 @@ MEDIAN_SQL = (
 )
 
 
-@query("train_medians", with_(*S, ("md", MEDIAN_SQL), select="SELECT basin_id, " + ", ".join(r(c, c) for c in MEDIAN_COLUMNS) + " FROM md"))
+@query(
+    "train_medians",
+    with_(
+        *S, ("md", MEDIAN_SQL),
+        select="SELECT basin_id, " + ", ".join(r(c, c) for c in MEDIAN_COLUMNS) + " FROM md",
+    ),
+)
 def medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = temporal_split(master(spark, sf_dir), fixed.TARGET, SPLIT)
     return rounded(train_medians(split.filter("side = 'train'"), MEDIAN_COLUMNS))
@@ -394,13 +406,25 @@ def fixed_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 LISTED_SQL = "SELECT DISTINCT CAST(c_nationkey * 2 AS STRING) AS basin_id FROM customer"
 
 
-@query("listed_series", with_(*M, ("li", LISTED_SQL), select="SELECT basin_id, date, discharge_mm FROM m WHERE basin_id IN (FROM li)"))
+@query(
+    "listed_series",
+    with_(
+        *M, ("li", LISTED_SQL),
+        select="SELECT basin_id, date, discharge_mm FROM m WHERE basin_id IN (FROM li)",
+    ),
+)
 def listed_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = table(spark, sf_dir, "customer").select((F.col("c_nationkey") * 2).cast("string").alias(fixed.KEY))
     return restrict_to(master(spark, sf_dir), listed).select(*KEYS, fixed.TARGET)
 
 
-@query("listed_series_without_rows", with_(*M, ("li", LISTED_SQL), select="SELECT basin_id FROM li WHERE basin_id NOT IN (SELECT basin_id FROM m)"))
+@query(
+    "listed_series_without_rows",
+    with_(
+        *M, ("li", LISTED_SQL),
+        select="SELECT basin_id FROM li WHERE basin_id NOT IN (SELECT basin_id FROM m)",
+    ),
+)
 def listed_without_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = table(spark, sf_dir, "customer").select((F.col("c_nationkey") * 2).cast("string").alias(fixed.KEY))
     return missing_series(listed, master(spark, sf_dir))

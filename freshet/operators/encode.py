@@ -42,7 +42,8 @@ def apply_target_encoding(
     """Look the encoding up; a series without one gets the global mean, or 0 if there is none."""
     value = global_mean if isinstance(global_mean, Column) else F.lit(float(global_mean))
     table = encoding.select(key, F.col("enc").alias("_enc"))
-    return df.join(broadcast_checked(table), key, "left").withColumn(name, F.coalesce("_enc", value, F.lit(0.0))).drop("_enc")
+    found = df.join(broadcast_checked(table), key, "left")
+    return found.withColumn(name, F.coalesce("_enc", value, F.lit(0.0))).drop("_enc")
 
 
 def train_medians(
