@@ -1,7 +1,7 @@
 """Scoring of request tables: mode per request, feature vector in fixed order, prediction, provenance.
 
 Nothing here groups or shuffles requests by series, so a series with a third of all requests is no
-hot task. Requests are ``(basin_id, features map<string,double>)``.
+hot task. Requests are ``(basin_id, features map<string,double>)``; further columns go through.
 """
 
 from __future__ import annotations
@@ -94,9 +94,16 @@ def assemble_request(
     return rows.withColumns({"vector": value, "features_missing": missing})
 
 
-def _response(rows: DataFrame, used: str, encoded: Column, key: str) -> DataFrame:
+def _carried(rows: DataFrame, key: str) -> list[str]:
+    """Columns of the request itself, such as an id: they go through to the response."""
+    own = {key, "features", "mode", "model_path", "feature_order", "notes"}
+    return [c for c in rows.columns if c not in own]
+
+
+def _response(rows: DataFrame, used: str, encoded: Column, carried: list[str], key: str) -> DataFrame:
     return rows.select(
         key,
+        *carried,
         "yhat_log",
         unlog("yhat_log").alias("yhat_mm"),
         F.lit(used).alias("model_used"),
@@ -110,13 +117,14 @@ def _response(rows: DataFrame, used: str, encoded: Column, key: str) -> DataFram
 
 def score_global(rows: DataFrame, model: GlobalModel, *, key: str = fixed.KEY) -> DataFrame:
     """Score with the pooled model, on batch or streaming rows that have a mode."""
+    carried = _carried(rows, key)
     table = model.encoding.select(key, F.col("enc").alias("_enc"))
     rows = rows.join(broadcast_checked(table), key, "left")
     value = F.coalesce("_enc", F.lit(model.global_mean))
     rows = assemble_request(rows, model.order, encoded=value)
     rows = rows.withColumn("_x", array_to_vector("vector"))
     scored = model.booster.transform(rows).withColumnRenamed("yhat", "yhat_log")
-    return _response(scored, "global", value, key)
+    return _response(scored, "global", value, carried, key)
 
 
 def score_local(rows: DataFrame, lite_models: DataFrame, *, key: str = fixed.KEY) -> DataFrame:
@@ -126,6 +134,7 @@ def score_local(rows: DataFrame, lite_models: DataFrame, *, key: str = fixed.KEY
     larger than ``MODEL_BYTES`` together, they go in several rounds, each over its own series.
     """
     spark = rows.sparkSession
+    carried = _carried(rows, key)
     inline = lite_models.filter(F.col("model").isNotNull())
     size = inline.agg(F.sum(F.length("model"))).first()[0] or 0
     rounds = max(1, math.ceil(size / MODEL_BYTES))
@@ -144,7 +153,7 @@ def score_local(rows: DataFrame, lite_models: DataFrame, *, key: str = fixed.KEY
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return _response(out, "local_lite", F.lit(None).cast("double"), key)
+    return _response(out, "local_lite", F.lit(None).cast("double"), carried, key)
 
 
 def _local_batches(models, key: str):

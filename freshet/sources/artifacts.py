@@ -108,9 +108,11 @@ def read_serving_policy(
 
 def artifact_manifest(spark: SparkSession, folder: str, artifacts: dict[str, str]) -> DataFrame:
     """One row per expected artifact: exists, sha256, size and modification time."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = files.makeQualified(place).toString()
     expected = spark.createDataFrame(
-        [(n, f"{folder.rstrip('/')}/{p}", p.rsplit("/", 1)[-1]) for n, p in artifacts.items()],
-        "artifact string, path string, file string",
+        [(n, f"{base}/{p}") for n, p in artifacts.items()], "artifact string, path string"
     )
     names = ",".join(p.rsplit("/", 1)[-1] for p in artifacts.values())
     found = (
@@ -119,14 +121,13 @@ def artifact_manifest(spark: SparkSession, folder: str, artifacts: dict[str, str
         .option("recursiveFileLookup", True)
         .load(folder)
         .select(
-            F.regexp_replace("path", r"^file:(//)?", "").alias("found"),
+            F.col("path").alias("found"),
             F.sha2("content", 256).alias("sha256"),
             F.col("length").alias("size_bytes"),
             F.col("modificationTime").alias("mtime"),
         )
     )
-    plain = F.regexp_replace("path", r"^file:(//)?", "")
-    return expected.join(found, plain == F.col("found"), "left").select(
+    return expected.join(found, F.col("path") == F.col("found"), "left").select(
         "artifact",
         "path",
         F.col("found").isNotNull().alias("exists"),

@@ -61,8 +61,12 @@ def write_scores(
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        responses = score(batch, policy, lite_models, model)
-        responses.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.persist()
+        try:
+            responses = score(batch, policy, lite_models, model)
+            responses.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        finally:
+            batch.unpersist()
 
     return (
         requests.writeStream.foreachBatch(run)

@@ -152,8 +152,9 @@ def policy_of(spark):
 
 def test_scores_of_a_batch(spark, panel, model, lite):
     requests = requests_of(panel)
+    requests = settle(requests.withColumn("request_id", F.monotonically_increasing_id()))
     out = score(requests, policy_of(spark), lite, model).cache()
-    assert out.count() == requests.count()
+    assert out.count() == requests.count() == out.select("request_id").distinct().count()
     used = {r["basin_id"]: r["model_used"] for r in out.select("basin_id", "model_used").distinct().collect()}
     assert used == {"0": "local_lite", "1": "local_lite", "2": "global", "3": "global", "4": "global"}
     assert out.filter("yhat_log is null or isnan(yhat_mm)").count() == 0
