@@ -90,7 +90,8 @@ def basin_gate(
 ) -> DataFrame:
     """Why a series gets no model of its own: ``small``, ``split``, ``no_feats``, or ``ok``.
 
-    The checks run in this order. A feature is usable if the series has a value of it and the policy
+    The checks run in this order. Nothing can be empty after imputation, as rows without a target are
+    not counted in the first place. A feature is usable if the series has a value of it and the policy
     does not exclude it.
     """
     usable = F.col(target).isNotNull()

@@ -114,8 +114,12 @@ def read_wide(
         raise ValueError(f"no date column {date_col!r} in {path}: {names[:10]}")
     at = 0 if date_col is None else names.index(date_col)
     columns = _names(spark, header, sep).select("pos", normal_name("name").alias(fixed.KEY))
+    # A line that ends early lacks its last cells: they are missing values, not missing rows.
+    short = F.greatest(F.lit(0), F.lit(len(names)) - F.size("fields"))
+    padded = F.concat("fields", F.array_repeat(F.lit(None).cast("string"), short)).alias("fields")
     cells = (
         lines.select(split_fields("line", sep).alias("fields"))
+        .select(padded)
         .select(
             to_time(F.trim(F.get("fields", F.lit(at))), time_type).alias(fixed.TIME), "fields"
         )

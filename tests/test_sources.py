@@ -46,6 +46,7 @@ def test_wide_file(spark, tmp_path):
         ("30_5_a", "2000-01-01"): None,
         ("1001", "2000-01-02"): None,
         ("x_2_b", "2000-01-02"): 2.0,
+        ("30_5_a", "2000-01-02"): None,
         ("1001", "2000-01-03"): None,
         ("x_2_b", "2000-01-03"): None,
         ("30_5_a", "2000-01-03"): -3.0,
