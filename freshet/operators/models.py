@@ -220,12 +220,16 @@ def fit_per_series(
     params: dict | None = None,
     prefix: str = "basin",
     model_dir: str | None = None,
+    trainer=trees,
     group_rows: int = GROUP_ROWS,
     key: str = fixed.KEY,
     time: str = fixed.TIME,
 ) -> DataFrame:
     """One boosted-tree model per series with its scores: the model registry.
 
+    ``trainer`` has ``fit(x, y, params, seed)``, ``predict(model, x)``, ``dump(model)`` and
+    ``load(blob)``; pass one around another tree library where the cluster has it.
+
     Series up to ``group_rows`` rows are fitted in grouped tasks, many at a time. A longer one would
     not fit a task; each of those few is fitted as a distributed job on all its rows, and its model
     saved under ``model_dir`` (else in the shared folder).
@@ -259,12 +263,12 @@ def fit_per_series(
         parts = {s: group[group["side"] == s] for s in ("train", "test")}
         x = {s: p[used].to_numpy(dtype=float) for s, p in parts.items()}
         y = {s: p[target].to_numpy(dtype=float) for s, p in parts.items()}
-        model = trees.fit(x["train"], y["train"], params, fixed.SEED)
+        model = trainer.fit(x["train"], y["train"], params, fixed.SEED)
         name = group[key].iloc[0]
         row = {key: name, "rows": int(group["rows"].iloc[0]), "n_features": len(used), "features_used": used}
         for s in ("train", "test"):
-            row.update(_scores(y[s], trees.predict(model, x[s]), f"{s}_", log))
-        row.update({"model_path": f"{prefix}/{name}", "model": trees.dump(model)})
+            row.update(_scores(y[s], trainer.predict(model, x[s]), f"{s}_", log))
+        row.update({"model_path": f"{prefix}/{name}", "model": trainer.dump(model)})
         return pd.DataFrame([row])
 
     fitted = short.groupBy(key).applyInPandas(fit_group, schema)
@@ -329,6 +333,7 @@ def retrain_bottom(
     key: str = fixed.KEY,
     time: str = fixed.TIME,
     model_dir: str | None = None,
+    trainer=trees,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Refit the n worst series on the most important features and suggest how to serve them."""
@@ -345,6 +350,7 @@ def retrain_bottom(
             params=params,
             prefix="lite",
             model_dir=model_dir,
+            trainer=trainer,
             group_rows=group_rows,
             key=key,
             time=time,
@@ -361,7 +367,7 @@ def retrain_bottom(
     )
 
 
-def predict_batches(models: dict[str, tuple[list[str], bytes]], key: str):
+def predict_batches(models: dict[str, bytes], key: str, trainer=trees):
     """Scoring function for ``mapInPandas`` over rows with ``vector`` (values in model order)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -370,9 +376,9 @@ def predict_batches(models: dict[str, tuple[list[str], bytes]], key: str):
             batch["yhat_log"] = np.nan
             for name, at in batch.groupby(key).groups.items():
                 if name not in loaded:
-                    loaded[name] = trees.load(models[name])
+                    loaded[name] = trainer.load(models[name])
                 x = np.stack(batch.loc[at, "vector"].to_numpy()).astype(float)
-                batch.loc[at, "yhat_log"] = trees.predict(loaded[name], x)
+                batch.loc[at, "yhat_log"] = trainer.predict(loaded[name], x)
             yield batch
 
     return run

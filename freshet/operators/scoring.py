@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from freshet import fixed
 from freshet.functions.scalars import unlog
+from freshet.operators import trees
 from freshet.operators.models import GlobalModel, predict_batches
 from freshet.session import broadcast_checked
 
@@ -127,7 +128,9 @@ def score_global(rows: DataFrame, model: GlobalModel, *, key: str = fixed.KEY) -
     return _response(scored, "global", value, carried, key)
 
 
-def score_local(rows: DataFrame, lite_models: DataFrame, *, key: str = fixed.KEY) -> DataFrame:
+def score_local(
+    rows: DataFrame, lite_models: DataFrame, *, trainer=trees, key: str = fixed.KEY
+) -> DataFrame:
     """Score with the retrained models.
 
     Their number is the length of the retrained list, so models travel to the rows. If they are
@@ -147,7 +150,7 @@ def score_local(rows: DataFrame, lite_models: DataFrame, *, key: str = fixed.KEY
         models = spark.sparkContext.broadcast({r[key]: bytes(r["model"]) for r in stored})
         names = inline.filter(turn == i).select(key)
         part = wanted.filter(turn == i).join(broadcast_checked(names), key, "left_semi")
-        parts.append(part.mapInPandas(_local_batches(models, key), schema))
+        parts.append(part.mapInPandas(_local_batches(models, key, trainer), schema))
     for r in lite_models.filter(F.col("model").isNull()).select(key, "model_path").collect():
         parts.append(_score_saved(wanted.filter(F.col(key) == r[key]), r["model_path"], schema))
     out = parts[0]
@@ -156,8 +159,8 @@ def score_local(rows: DataFrame, lite_models: DataFrame, *, key: str = fixed.KEY
     return _response(out, "local_lite", F.lit(None).cast("double"), carried, key)
 
 
-def _local_batches(models, key: str):
-    return lambda batches: predict_batches(models.value, key)(batches)
+def _local_batches(models, key: str, trainer):
+    return lambda batches: predict_batches(models.value, key, trainer)(batches)
 
 
 def _score_saved(rows: DataFrame, path: str, schema: T.StructType) -> DataFrame:
@@ -173,9 +176,10 @@ def score(
     lite_models: DataFrame,
     model: GlobalModel,
     *,
+    trainer=trees,
     key: str = fixed.KEY,
 ) -> DataFrame:
     """Responses for a request table: retrained models where the policy says so, else the pooled one."""
     rows = resolve_mode(requests, policy, lite_models, key=key)
-    local = score_local(rows.filter("mode = 'local_lite'"), lite_models, key=key)
+    local = score_local(rows.filter("mode = 'local_lite'"), lite_models, trainer=trainer, key=key)
     return score_global(rows.filter("mode = 'global'"), model, key=key).unionByName(local)

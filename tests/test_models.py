@@ -183,6 +183,24 @@ def test_saved_models_score_too(spark, panel, model):
     assert out.count() == requests.count()
 
 
+def test_another_trainer(spark, panel, model):
+    """Any object with the four functions can fit and score."""
+
+    class Mean:
+        fit = staticmethod(lambda x, y, params, seed: float(y.mean()))
+        predict = staticmethod(lambda model, x: np.full(len(x), model))
+        dump = staticmethod(lambda model: str(model).encode())
+        load = staticmethod(lambda blob: float(blob))
+
+    some = panel.filter("basin_id = '1'")
+    fitted = settle(fit_per_series(some, "y_log1p", COLUMNS, split_date=SPLIT, prefix="lite", trainer=Mean))
+    mean = some.filter(F.col("date") < SPLIT).agg(F.avg("y_log1p")).first()[0]
+    requests = requests_of(panel).filter("basin_id = '1'")
+    out = score(requests, policy_of(spark), fitted, model, trainer=Mean)
+    got = out.agg(F.min("yhat_log"), F.max("yhat_log"), F.count("*")).first()
+    assert got[0] == got[1] == pytest.approx(mean) and got[2] == requests.count()
+
+
 def test_request_vector(spark):
     df = spark.sql("select 'a' as basin_id, map('x', 1.0D, 'y', double('nan'), 'w', null) as features, 0.7D as te")
     row = assemble_request(df, ["y", "x", "z", "basin_te"], encoded=F.col("te")).first()
