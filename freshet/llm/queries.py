@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import bpe, line_dedup, substring_dedup, token_counts
+from freshet.llm import bpe, fingerprints, language_id, line_dedup, ngram_join, quality_crf, substring_dedup, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -19,6 +19,17 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _remainder(divisor: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learnt from four fifths of them."""
+    docs = _documents(spark, sf_dir)
+    model = language_id.fit(docs, _remainder(5) != 0)
+    return language_id.predict(docs, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document under the word-level file, as digests."""
     coded = bpe.encode_decode(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
@@ -35,6 +46,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by a Jaccard similarity of at least 0.85 of their 4-word shingles."""
+    return ngram_join.jaccard_join(_documents(spark, sf_dir), 4, 85).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document before and after line dedup."""
     docs = _documents(spark, sf_dir)
@@ -42,6 +58,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    compared = fingerprints.compare_edited(_documents(spark, sf_dir))
+    return compared.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document before and after removal of repeated passages."""
     docs = _documents(spark, sf_dir)
@@ -49,9 +71,42 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op3_bpe_encode_decode, op4_token_counts, op6_line_dedup, op8_substring_dedup)}
+def op9_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from three quarters of the labels."""
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_remainder(4) != 2).select("doc_id", F.col("quality").alias("label"))
+    field = quality_crf.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    scored = quality_crf.score(docs, field)
+    return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {q.__name__: q for q in (
+    op2_language_id, op3_bpe_encode_decode, op4_token_counts, op5_ngram_jaccard_join, op6_line_dedup, op7_fingerprints, op8_substring_dedup, op9_quality_crf,
+)}
 
 SQL: dict[str, str] = {
+    "op5_ngram_jaccard_join": r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[s : s + 3], ' ') AS shingle
+    FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS s FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+products AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+    SELECT a, b FROM products JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * o >= 85 * (x.n + y.n - o)),
+reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents
+    UNION
+    SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r.b) AS component_id
+FROM documents d JOIN reach r ON r.a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+""",
     "op6_line_dedup": r"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
