@@ -70,6 +70,24 @@ def with_row(df: DataFrame) -> DataFrame:
     return df.withColumn("row", F.xxhash64("text"))
 
 
+def filter_texts(docs: DataFrame, keep: Callable[[list[str]], list[bool]], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text ``keep`` accepts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text_col).to_pylist()]
+            for begin, end in pieces(texts):
+                yield batch.slice(begin, end - begin).filter(pa.array(keep(texts[begin:end]), type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def rows_in(docs: DataFrame, named: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose id and text are among those named by the stored ``doc_id, row`` (``left_semi``) or not (``left_anti``)."""
+    mark = docs.withColumns({"_named_id": F.col(f"`{id_col}`").cast("long"), "_named_row": F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))})
+    return join_small(mark, named.select(F.col("doc_id").alias("_named_id"), F.col("row").alias("_named_row")), ["_named_id", "_named_row"], how).drop("_named_id", "_named_row")
+
+
 def powers(n: int, base: int = BASE) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
     out = np.empty(n + 1, dtype=np.uint64)

@@ -188,3 +188,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return common.map_texts(
         df, columns, {"lang_pred": ("string", pa.string()), "score": ("double", pa.float64()), "rejected": ("boolean", pa.bool_())}
     )
+
+
+def known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that are not rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return common.filter_texts(docs, lambda texts: [not shared.value.predict(t)[2] for t in texts], text_col)

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from freshet.llm import common, keyed
 from freshet.session import store
@@ -85,3 +86,20 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
                 )
 
     return joined.mapInArrow(run, "doc_id bigint, kept string, n_lines bigint, n_dropped bigint")
+
+
+def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all columns, the texts being those of the kept lines; a null text stays null."""
+    marked = docs.withColumns({"_lines_id": F.col(f"`{id_col}`").cast("long"), "_lines_row": F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))})
+    named = bitmaps.select(F.col("doc_id").alias("_lines_id"), F.col("row").alias("_lines_row"), F.col("keep").alias("_lines_keep"))
+    joined = common.join_small(marked, named, ["_lines_id", "_lines_row"], "left").drop("_lines_id", "_lines_row")
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts, bits = batch.column(text_col).to_pylist(), batch.column("_lines_keep").to_pylist()
+            kept = [t if t is None or b is None else kept_lines(t, b)[0] for t, b in zip(texts, bits)]
+            columns = [pa.array(kept, type=pa.string()) if i == at else batch.column(i) for i in range(len(batch.schema) - 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return joined.mapInArrow(run, docs.schema)

@@ -263,3 +263,18 @@ def _relabel(labels: DataFrame | None, linked: DataFrame) -> DataFrame:
     known = labels.select("class", "label").union(linked.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(labels, "class", "left_anti").select("class", F.col("class").alias("label")))
     out = known.join(merged, known.label == merged.node, "left").select("class", F.coalesce("merged", "label").alias("label"))
     return store(out, "labels")
+
+
+def one_per_component(docs: DataFrame, joined: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that stand first in their component; empty sets all stay.
+
+    ``joined`` is the stored result of ``jaccard_join``. Of rows with equal id and text one stays.
+    """
+    first = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row") == F.col("first_row")))
+    times = first.groupBy("doc_id", "row", "n_shingles").agg(F.count("*").alias("times"))
+    again = store(times.where("times > 1 AND n_shingles > 0").select("doc_id", "row"), "again")
+    if again.isEmpty():
+        return common.rows_in(docs, store(times.select("doc_id", "row"), "first"), "left_semi", id_col, text_col)
+    single = store(times.where("times = 1 OR n_shingles = 0").select("doc_id", "row"), "first")
+    double = common.rows_in(docs, again, "left_semi", id_col, text_col)
+    return common.rows_in(docs, single, "left_semi", id_col, text_col).union(double.dropDuplicates([id_col, text_col]))

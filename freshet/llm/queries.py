@@ -7,7 +7,8 @@ import importlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import bpe, fingerprints, language_id, line_dedup, ngram_join, quality_crf, substring_dedup, token_counts
+from freshet.llm import bpe, common, decontaminate, fingerprints, language_id, line_dedup, ngram_join, pii, quality_crf, substring_dedup, token_counts
+from freshet.session import store
 
 
 def vocabulary(name: str) -> str:
@@ -23,6 +24,19 @@ def _remainder(divisor: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data and of terms that disclose it in every document."""
+    docs = _documents(spark, sf_dir)
+    found = store(pii.digest(pii.spans(docs)), "digest")
+    df = common.with_row(common.documents(docs)).drop("text")
+    joined = common.join_small(df, found, ["doc_id", "row"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return joined.select(
+        "doc_id", *[zero(f"n_{k}") for k in pii.KINDS],
+        F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), zero("n_term"),
+    )
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learnt from four fifths of them."""
     docs = _documents(spark, sf_dir)
@@ -80,8 +94,15 @@ def op9_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, verbatim or paraphrased."""
+    found = decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.drop("row")
+
+
 QUERIES = {q.__name__: q for q in (
-    op2_language_id, op3_bpe_encode_decode, op4_token_counts, op5_ngram_jaccard_join, op6_line_dedup, op7_fingerprints, op8_substring_dedup, op9_quality_crf,
+    op1_pii, op2_language_id, op3_bpe_encode_decode, op4_token_counts, op5_ngram_jaccard_join, op6_line_dedup, op7_fingerprints, op8_substring_dedup, op9_quality_crf,
+    op10_benchmark_decontamination,
 )}
 
 SQL: dict[str, str] = {
