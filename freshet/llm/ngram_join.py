@@ -5,9 +5,9 @@ bounds leave: two sets that reach the threshold share an n-gram among the first
 fixed order of all n-grams, where ``need`` is the smallest overlap that a set of that size allows. Rare n-grams come
 first in the order. Documents with equal sets are one class and enter once.
 
-A column of the matrix can be long, so products within it are not formed at once. A hub of each column is
-multiplied with the rest, in blocks; members that turn out linked share a label, and columns of one label are
-done. When few products between different labels are left they are all formed, so no link between labels is lost.
+Columns are cut into blocks by set size, and only neighbouring blocks meet. The products of short columns are formed
+at once. In long ones a hub of each block is multiplied with the rest; members that turn out linked share a label, and
+what is left between different labels is looked at again until it is short. So no link between labels is lost.
 Overlaps are accumulated over whole sets, and pairs below the bound are discarded.
 
 A null, empty or blank text has an empty set and is linked with nothing. A text with fewer than ``n`` words has one
@@ -17,6 +17,7 @@ digests.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from freshet.llm import common
 from freshet.llm.components import components
@@ -32,9 +34,10 @@ from freshet.session import store
 #: N-grams that repeat inside a block of so many are counted as frequent; the most frequent steer the order.
 BLOCK = 2_000_000
 FREQUENT_KEPT = 500_000
-#: Hub products go on while more than this many products per list entry are left.
-LEFT_PER_ENTRY = 3
-HUB_ROUNDS = 12
+#: Columns with at most this many products per entry between labels are multiplied whole, longer ones by hubs.
+LEFT_PER_ENTRY = 16
+#: After so many rounds of hubs, or one without a new link, the rest of every column is multiplied whole.
+HUB_ROUNDS = 10
 
 
 def ngrams(text: str, n: int) -> np.ndarray | None:
@@ -206,36 +209,39 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     rows = store(members(df, n), "members")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     who = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(place).alias("first")).select("class", "first.doc_id", "first.row")
-    lists = entries(df, n, percent).withColumn("label", F.col("class"))
-    done = None
-    labels = None
+    # sizes that can reach the threshold lie in the same or a neighbouring step of a scale of that ratio
+    step = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("size")
+    lists = entries(df, n, percent).withColumn("step", step).withColumn("label", F.col("class"))
+    fits = (F.col("size") * 100 >= F.col("other_size") * percent) & (F.col("other_size") * 100 >= F.col("size") * percent)
+    done = labels = None
+    stuck = False
     for turn in range(HUB_ROUNDS + 1):
-        sizes = lists.groupBy("gram", "label").agg(F.count("*").alias("m")).groupBy("gram")
-        mixed = sizes.agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"), F.max(F.struct("m", "label"))["label"].alias("main"), F.count("*").alias("n")).where("n > 1")
-        lists = store(lists.join(mixed.select("gram", "main", "m", "own"), "gram"), "lists")
-        left = lists.agg(F.count("*").alias("entries"), F.sum(F.col("m") - F.col("own") / F.col("m")).alias("products")).first()
-        if not left["entries"]:
+        by_label = lists.groupBy("gram", "label").agg(F.count("*").alias("m")).groupBy("gram")
+        mixed = by_label.agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"), F.max(F.struct("m", "label"))["label"].alias("main"), F.count("*").alias("n")).where("n > 1")
+        near = Window.partitionBy("gram").orderBy("step").rangeBetween(0, 1)
+        by_step = lists.groupBy("gram", "step").agg(F.count("*").alias("here")).withColumn("met", F.col("here") * F.sum("here").over(near))
+        products = by_step.groupBy("gram").agg(F.sum("met").alias("met"))
+        mixed = mixed.join(products, "gram").withColumn("heavy", F.col("met") * (1 - F.col("own") / (F.col("m") * F.col("m"))) > LEFT_PER_ENTRY * F.col("m"))
+        if turn == HUB_ROUNDS or stuck:
+            mixed = mixed.withColumn("heavy", F.lit(False))
+        lists = store(lists.join(mixed.select("gram", "main", "heavy"), "gram"), "lists")
+        if lists.isEmpty():
             break
-        fits = (F.col("size") * 100 >= F.col("other_size") * percent) & (F.col("other_size") * 100 >= F.col("size") * percent)
-        last = turn == HUB_ROUNDS or left["products"] <= LEFT_PER_ENTRY * left["entries"]
-        if last:
-            # entries of the main label meet those of other labels only, which are few
-            chosen = lists.where("label <> main")
-        else:
-            mine = lists.where("label = main") if turn else lists
-            hub = F.min_by(F.struct("class", "size", "label"), F.xxhash64("class", F.lit(turn)))
-            chosen = mine.groupBy("gram").agg(hub.alias("hub")).select("gram", "hub.*")
-        other = chosen.select("gram", F.col("class").alias("other"), F.col("size").alias("other_size"), F.col("label").alias("other_label"))
-        met = lists.join(other, "gram").where(fits & (F.col("label") != F.col("other_label")))
+        # short columns: all labels but the main one meet every other; long ones: a hub of each step does
+        whole = lists.where("NOT heavy AND label <> main").select("gram", "class", "size", "label", "step")
+        hub = F.min_by(F.struct("class", "size", "label"), F.struct(F.col("label") != F.col("main"), F.xxhash64("class", F.lit(turn))))
+        hubs = lists.where("heavy").groupBy("gram", "step").agg(hub.alias("hub")).select("gram", "hub.*", "step")
+        around = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step") if percent < 100 else F.col("step")
+        other = whole.union(hubs).select("gram", F.col("class").alias("other"), F.col("size").alias("other_size"), F.col("label").alias("other_label"), around)
+        met = lists.join(other, ["gram", "step"]).where(fits & (F.col("label") != F.col("other_label")))
         pairs = met.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
         pairs = store(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             linked = overlaps(df, pairs, who, n, percent)
+            stuck = linked.isEmpty()
+            labels = labels if stuck else _relabel(labels, linked)
             done = pairs if done is None else done.union(pairs)
-            labels = _relabel(labels, linked)
-        lists = lists.select("gram", "class", "size", "label") if last else _labelled(lists.select("gram", "class", "size"), labels)
-        if last:
-            break
+        lists = _labelled(lists.where("heavy").select("gram", "class", "size", "step"), labels)
     joined = _labelled(rows, labels)
     least = joined.where("label IS NOT NULL").groupBy("label").agg(F.min(place).alias("first"))
     out = joined.join(least, "label", "left")
