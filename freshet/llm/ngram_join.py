@@ -107,7 +107,10 @@ def frequent(df: DataFrame, n: int) -> dict:
 
 
 def entries(df: DataFrame, n: int, percent: int) -> DataFrame:
-    """Entries of the restricted matrix: ``gram, class, size``, columns with one class left out; stored."""
+    """Entries of the restricted matrix: ``gram, class, size, pos``, columns with one class left out; stored.
+
+    ``pos`` is the n-gram's position among those of its set, in the order of all n-grams.
+    """
     order = df.sparkSession.sparkContext.broadcast(frequent(df, n))
 
     def first(found: np.ndarray) -> np.ndarray:
@@ -124,7 +127,7 @@ def entries(df: DataFrame, n: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            grams, classes, sizes = [], [], []
+            grams, classes, sizes, places = [], [], [], []
             for text in batch.column("text"):
                 found = ngrams(text.as_py(), n)
                 if found is None or (d := digest(found)) in seen:
@@ -136,9 +139,10 @@ def entries(df: DataFrame, n: int, percent: int) -> DataFrame:
                 grams.append(part)
                 classes.append(np.full(len(part), d, dtype=np.int64))
                 sizes.append(np.full(len(part), len(found), dtype=np.int32))
+                places.append(np.arange(len(part), dtype=np.int32))
             if grams:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in ([g.view(np.int64) for g in grams], classes, sizes)], names=["gram", "class", "size"]
+                    [pa.array(np.concatenate(x)) for x in ([g.view(np.int64) for g in grams], classes, sizes, places)], names=names
                 )
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,25 +150,25 @@ def entries(df: DataFrame, n: int, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            g, c, s = (batch.column(k).to_numpy() for k in range(3))
+            g, c, s, p = (batch.column(k).to_numpy() for k in range(4))
             hit = np.zeros(len(g), dtype=bool)
             if carry is not None:
-                g, c, s = (np.concatenate([a, b]) for a, b in zip(carry[0], (g, c, s)))
+                g, c, s, p = (np.concatenate([a, b]) for a, b in zip(carry[0], (g, c, s, p)))
                 hit = np.concatenate([[carry[1]], hit])
             again = np.zeros(len(g), dtype=bool)
             again[1:] = (g[1:] == g[:-1]) & (c[1:] == c[:-1])
             keep = ~again
-            g, c, s, hit = g[keep], c[keep], s[keep], hit[keep]
+            g, c, s, p, hit = g[keep], c[keep], s[keep], p[keep], hit[keep]
             if len(g) > 1:
                 near = g[1:] == g[:-1]
                 hit[1:] |= near
                 hit[:-1] |= near
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][hit[:-1]]) for x in (g, c, s)], names=["gram", "class", "size"])
-            carry = ([x[-1:].copy() for x in (g, c, s)], bool(hit[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][hit[:-1]]) for x in (g, c, s, p)], names=names)
+            carry = ([x[-1:].copy() for x in (g, c, s, p)], bool(hit[-1]))
         if carry is not None and carry[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in carry[0]], names=["gram", "class", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in carry[0]], names=names)
 
-    schema = "gram bigint, class bigint, size int"
+    names, schema = ["gram", "class", "size", "pos"], "gram bigint, class bigint, size int, pos int"
     spread = df.select("text").mapInArrow(run, schema).repartition("gram").sortWithinPartitions("gram", "class")
     return store(spread.mapInArrow(shared, schema), "entries")
 
@@ -212,7 +216,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     # sizes that can reach the threshold lie in the same or a neighbouring step of a scale of that ratio
     step = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("size")
     lists = entries(df, n, percent).withColumn("step", step).withColumn("label", F.col("class"))
-    fits = (F.col("size") * 100 >= F.col("other_size") * percent) & (F.col("other_size") * 100 >= F.col("size") * percent)
+    fits = (F.col("size") * 100 >= F.col("other.size") * percent) & (F.col("other.size") * 100 >= F.col("size") * percent)
     done = labels = None
     stuck = False
     for turn in range(HUB_ROUNDS + 1):
@@ -228,20 +232,21 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
         if lists.isEmpty():
             break
         # short columns: all labels but the main one meet every other; long ones: a hub of each step does
-        whole = lists.where("NOT heavy AND label <> main").select("gram", "class", "size", "label", "step")
-        hub = F.min_by(F.struct("class", "size", "label"), F.struct(F.col("label") != F.col("main"), F.xxhash64("class", F.lit(turn))))
-        hubs = lists.where("heavy").groupBy("gram", "step").agg(hub.alias("hub")).select("gram", "hub.*", "step")
+        whole = lists.where("NOT heavy AND label <> main").select("gram", F.struct("class", "size", "label", "pos").alias("other"), "step")
+        hub = F.min_by(F.struct("class", "size", "label", "pos"), F.struct(F.col("label") != F.col("main"), F.xxhash64("class", F.lit(turn))))
+        hubs = lists.where("heavy").groupBy("gram", "step").agg(hub.alias("other")).select("gram", "other", "step")
         around = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step") if percent < 100 else F.col("step")
-        other = whole.union(hubs).select("gram", F.col("class").alias("other"), F.col("size").alias("other_size"), F.col("label").alias("other_label"), around)
-        met = lists.join(other, ["gram", "step"]).where(fits & (F.col("label") != F.col("other_label")))
-        pairs = met.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+        met = lists.join(whole.union(hubs).select("gram", "other", around), ["gram", "step"])
+        met = met.where(fits & (F.col("label") != F.col("other.label")) & (F.col("heavy") | (F.col("label") == F.col("main")) | (F.col("class") < F.col("other.class"))))
+        here, there = F.struct("class", "size", "pos"), F.struct("other.class", "other.size", "other.pos")
+        pairs = _candidates(met.select(F.least(here, there).alias("a"), F.greatest(here, there).alias("b"), "heavy"), lists, percent, turn == 0)
         pairs = store(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             linked = overlaps(df, pairs, who, n, percent)
             stuck = linked.isEmpty()
             labels = labels if stuck else _relabel(labels, linked)
             done = pairs if done is None else done.union(pairs)
-        lists = _labelled(lists.where("heavy").select("gram", "class", "size", "step"), labels)
+        lists = _labelled(lists.where("heavy").select("gram", "class", "size", "pos", "step"), labels)
     joined = _labelled(rows, labels)
     least = joined.where("label IS NOT NULL").groupBy("label").agg(F.min(place).alias("first"))
     out = joined.join(least, "label", "left")
@@ -252,6 +257,28 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     )
 
 
+def _candidates(met: DataFrame, lists: DataFrame, percent: int, complete: bool) -> DataFrame:
+    """Distinct pairs ``a, b`` among the products, without those whose accumulated overlap is bound to stay too small.
+
+    If all products of short columns are there (``complete``), a pair's overlap is at most those, plus its entries in
+    long columns, plus what either set has after the last n-gram that was met.
+    """
+    if not complete:
+        return met.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
+    short = F.when(~F.col("heavy"), True)
+    seen = met.groupBy(F.col("a.class").alias("a"), F.col("b.class").alias("b")).agg(
+        F.count(short).alias("both"), F.max(F.when(short, F.col("a.pos"))).alias("at_a"), F.max(F.when(short, F.col("b.pos"))).alias("at_b"),
+        F.max("a.size").alias("size_a"), F.max("b.size").alias("size_b"),
+    )
+    long = lists.where("heavy").groupBy("class").agg(F.count("*").alias("long"))
+    for side in "ab":
+        seen = seen.join(long.select(F.col("class").alias(side), F.col("long").alias(f"long_{side}")), side, "left")
+    more = F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0)))
+    most = F.col("both") + more + F.least(F.col("size_a") - F.col("at_a") - 1, F.col("size_b") - F.col("at_b") - 1)
+    can = (F.col("both") == 0) | (most * 100 >= (F.col("size_a") + F.col("size_b") - most) * percent)
+    return seen.where(can).select("a", "b")
+
+
 def _labelled(df: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Add the label of each class, the class itself where it has no links."""
     if labels is None:
