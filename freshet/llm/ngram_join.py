@@ -37,7 +37,7 @@ FREQUENT_KEPT = 500_000
 #: Columns with at most this many products per entry between labels are multiplied whole, longer ones by hubs.
 LEFT_PER_ENTRY = 16
 #: After so many rounds of hubs, or one without a new link, the rest of every column is multiplied whole.
-HUB_ROUNDS = 10
+HUB_ROUNDS = 3
 
 
 def ngrams(text: str, n: int) -> np.ndarray | None:
@@ -183,24 +183,15 @@ def overlaps(df: DataFrame, pairs: DataFrame, who: DataFrame, n: int, percent: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [ngrams(t.as_py(), n).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(found, type=pa.binary())], names=["class", "grams"])
+            found = [ngrams(t.as_py(), n).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(found, type=pa.list_(pa.int64()))], names=["class", "grams"])
 
-    sets = store(common.join_small(df, rows, ["doc_id", "row"], "inner").select("class", "text").mapInArrow(run, "class bigint, grams binary"), "sets")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(good, type=pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(mask)
+    sets = store(common.join_small(df, rows, ["doc_id", "row"], "inner").select("class", "text").mapInArrow(run, "class bigint, grams array<bigint>"), "sets")
 
     left, right = sets.select(F.col("class").alias("a"), F.col("grams").alias("x")), sets.select(F.col("class").alias("b"), F.col("grams").alias("y"))
     both = pairs.select("a", "b").join(right.hint("merge"), "b").join(left.hint("merge"), "a")
-    return store(both.select("a", "b", "x", "y").mapInArrow(count, "a bigint, b bigint").distinct(), "linked")
+    counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("sizes"))
+    return store(counted.where(F.col("same") * 100 >= (F.col("sizes") - F.col("same")) * percent).select("a", "b").distinct(), "linked")
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
