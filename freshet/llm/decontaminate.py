@@ -210,13 +210,16 @@ def latent_space(passages: DataFrame, vocabulary: np.ndarray, weight: np.ndarray
                     slot, times = np.unique(np.searchsorted(held, hashes(text.as_py().encode().split())), return_counts=True)
                     row = np.log1p(times) / np.log(2) * w[slot]
                     total[slot] += np.outer(row, row @ side[slot])
-            for k in np.flatnonzero(total.any(axis=1)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int32()), pa.array([total[k].tolist()], type=pa.list_(pa.float64()))], names=["slot", "part"])
-
-        summed = passages.select("passage").mapInArrow(run, "slot int, part array<double>").select("slot", F.posexplode("part").alias("k", "v"))
+            some = np.flatnonzero(total.any(axis=1))
+            for k in range(0, len(some), 500):
+                slot, column = np.meshgrid(some[k : k + 500], np.arange(total.shape[1]), indexing="ij")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(slot.ravel().astype(np.int32)), pa.array(column.ravel().astype(np.int32)), pa.array(total[some[k : k + 500]].ravel())], names=["slot", "k", "v"]
+                )
+
+        summed = passages.select("passage").mapInArrow(run, "slot int, k int, v double").groupBy("slot", "k").agg(F.sum("v").alias("v")).toArrow()
         thin = np.zeros_like(thin)
-        for r in summed.groupBy("slot", "k").agg(F.sum("v").alias("v")).groupBy("slot").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("row")).collect():
-            thin[r["slot"]] = [x["v"] for x in r["row"]]
+        thin[summed["slot"].to_numpy(), summed["k"].to_numpy()] = summed["v"].to_numpy()
     left, strength, _ = np.linalg.svd(thin, full_matrices=False)
     return left[:, strength > 1e-9 * max(strength.max(initial=0), 1e-300)]
 

@@ -100,10 +100,10 @@ def frequent(df: DataFrame, n: int) -> dict:
             yield out()
 
     times = df.select("text").mapInArrow(run, "gram bigint, times bigint").groupBy("gram").agg(F.sum("times").alias("times"))
-    most = times.where("times >= 4").orderBy(F.desc("times"), "gram").limit(FREQUENT_KEPT).toPandas()
-    grams = most["gram"].to_numpy(dtype=np.int64).view(np.uint64)
+    most = times.where("times >= 4").orderBy(F.desc("times"), "gram").limit(FREQUENT_KEPT).toArrow()
+    grams = most["gram"].to_numpy().view(np.uint64)
     order = np.argsort(grams)
-    return {"grams": grams[order], "level": np.log2(most["times"].to_numpy(dtype=float)[order]).astype(np.uint8)}
+    return {"grams": grams[order], "level": np.log2(most["times"].to_numpy().astype(float)[order]).astype(np.uint8)}
 
 
 def entries(df: DataFrame, n: int, percent: int) -> DataFrame:
