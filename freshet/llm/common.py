@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts handled together inside a task: at most this many characters, or one text.
@@ -22,8 +22,24 @@ BASE = 0x9E3779B97F4A7C15
 TABLE = np.frombuffer(b"".join(hashlib.sha256(bytes([i])).digest()[:8] for i in range(256)), dtype="<u8").copy()
 
 
+#: Rows and bytes that Spark hands to Python at a time.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits to ``BATCH``, as whole texts in default batches take much memory.
+
+    Spark reads the limits when a plan runs, so they stay lowered; results do not depend on them.
+    """
+    for name, most in BATCH.items():
+        held = spark.conf.get(name)  # a count, or bytes as "8388608b"; other ways to write bytes are left alone
+        if held.removesuffix("b").isdigit() and not 0 < int(held.removesuffix("b")) <= most:
+            spark.conf.set(name, str(most))
+
+
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id as ``doc_id`` and the text as ``text``, null texts as empty ones."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     )
@@ -72,6 +88,7 @@ def with_row(df: DataFrame) -> DataFrame:
 
 def filter_texts(docs: DataFrame, keep: Callable[[list[str]], list[bool]], text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, whose text ``keep`` accepts."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

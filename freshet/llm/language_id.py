@@ -112,6 +112,7 @@ def cluster(rows: np.ndarray, k: int) -> np.ndarray:
 
 def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Model from the rows where ``learn`` holds and the language is not null."""
+    common.small_batches(docs.sparkSession)
     df = docs.where(learn & F.col(f"`{lang_col}`").isNotNull()).select(
         F.col(f"`{lang_col}`").cast("string").alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     )

@@ -32,7 +32,7 @@ from freshet.llm.components import components
 from freshet.session import store
 
 #: N-grams that repeat inside a block of so many are counted as frequent; the most frequent steer the order.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 FREQUENT_KEPT = 500_000
 #: Columns with at most this many products per entry between labels are multiplied whole, longer ones by hubs.
 LEFT_PER_ENTRY = 16

@@ -214,6 +214,7 @@ def train(features: np.ndarray, sizes: np.ndarray, lines: np.ndarray, labels: np
 
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "label", sample: int = SAMPLE) -> Field | None:
     """Field from rows with a 0/1 label; None if either label is missing."""
+    common.small_batches(docs.sparkSession)
     df = docs.where(F.col(f"`{label_col}`").isin(0, 1)).select(
         F.col(f"`{label_col}`").cast("int").alias("label"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     )
