@@ -26,7 +26,7 @@ PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Fixed value: white space as the tokenizer library's patterns know it.
 WHITE = "\t-\r \x85\xa0  -     　"
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 120_000
 #: Words longer than this many characters are not kept in the cache.
 CACHED_CHARS = 64
 
@@ -162,7 +162,7 @@ class WordBpe:
     def verdicts(self, keys: np.ndarray) -> np.ndarray:
         """Verdict of each pair key; keys not seen before are judged once and kept, the table being bounded."""
         wanted = np.unique(keys)
-        if len(self.seen) > 4_000_000:
+        if len(self.seen) > 1_000_000:
             self.seen, self.good = self.seen[:0], self.good[:0]
         at = np.searchsorted(self.seen, wanted)
         known = np.zeros(len(wanted), dtype=bool)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts handled together inside a task: at most this many characters, or one text.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 
 #: Odd multiplier of the polynomial hashes and the seed of the byte table they use.
 BASE = 0x9E3779B97F4A7C15

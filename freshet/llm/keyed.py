@@ -19,7 +19,7 @@ NAMES = ["h1", "h2", "route", "doc_id", "row", "begin", "end", "decided"]
 KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
 
 #: Places that are combined together inside a task.
-BLOCK = 1_500_000
+BLOCK = 1_000_000
 #: Stands for a null id; it sorts last.
 NO_ID = np.iinfo(np.int64).max
 #: Hashes are uniform, so ranges of equal width hold equal shares and need no sampling pass.

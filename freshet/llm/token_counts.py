@@ -29,8 +29,8 @@ from freshet.llm.bpe import Merger, byte_chars, loaded, share
 
 #: Characters of a chunk; compiled states and remembered words kept at most.
 CHUNK = 256
-MAX_STATES = 400_000
-MAX_WORDS = 400_000
+MAX_STATES = 250_000
+MAX_WORDS = 120_000
 #: Longer words go through exact merging, as their prefixes would not be met again.
 MAX_WORD = 64
 
@@ -152,7 +152,7 @@ class Counter:
         if said is None:
             symbols = [self.single[b] for b in (self.bytes_of[left] if left >= 0 else b"") + self.bytes_of[right]]
             said = self.merger.merge(symbols) == ([left, right] if left >= 0 else [right])
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
             self.fits[key] = said
         return said
