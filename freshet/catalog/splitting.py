@@ -356,7 +356,7 @@ def feature_name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     "common_features",
     with_(
         *F_,
-        ("ids", "SELECT DISTINCT basin_id FROM f ORDER BY basin_id LIMIT 20"),
+        ("ids", "SELECT DISTINCT basin_id FROM f"),
         (
             "k",
             " UNION ALL ".join(
@@ -370,7 +370,7 @@ def feature_name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def shared_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features(spark, sf_dir)
-    return common_features(rows, numeric_features(rows), sample_series=20)
+    return common_features(rows, numeric_features(rows))
 
 
 @query(

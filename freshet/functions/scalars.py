@@ -27,9 +27,24 @@ def to_number(c) -> Column:
     return F.when(~text.rlike(r"(?i)[0-9.][df]$"), nan_to_null(text.try_cast("double")))
 
 
+#: Shapes of dates other than ISO text, and how they are read.
+TIME_FORMATS = [
+    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "y/M/d"),
+    (r"^[0-9]{8}$", "yyyyMMdd"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/y"),
+    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "M-d-y"),
+    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2} [0-9]{1,2}:[0-9]{2}(:[0-9]{2})?$", "y/M/d H:mm[:ss]"),
+]
+
+
 def to_time(c, kind: str = "date") -> Column:
-    """Tolerant date, or ``timestamp_ntz`` for a finer panel: what cannot be read becomes NULL."""
-    return _col(c).try_cast(kind)
+    """Tolerant date, or ``timestamp_ntz`` for a finer panel: what cannot be read becomes NULL.
+
+    Text in one of ``TIME_FORMATS`` is read too; of an ambiguous day and month the month comes first.
+    """
+    text = F.trim(_col(c).cast("string"))
+    other = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(form))).cast(kind) for shape, form in TIME_FORMATS]
+    return F.coalesce(_col(c).try_cast(kind), *other)
 
 
 def repair_id(c) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,46 +55,17 @@ def non_null_counts(df: DataFrame, columns: Sequence[str], *, key: str = fixed.K
     return wide.unpivot(key, list(columns), "column", "n")
 
 
-def common_features(
-    df: DataFrame,
-    columns: Sequence[str],
-    *,
-    sample_series: int = 80,
-    enough: int = 20,
-    at_least: int = 10,
-    key: str = fixed.KEY,
-) -> DataFrame:
-    """Features that every one of the first ``sample_series`` series has, as (column) rows.
+def common_features(df: DataFrame, columns: Sequence[str], *, key: str = fixed.KEY) -> DataFrame:
+    """Features that every series has a value of, as (column) rows; series without any value don't count.
 
-    Reading stops early, as soon as more than ``at_least`` series are read and fewer than ``enough``
-    names (but some) are still common. A name is still common after k series if the first series
-    without it comes later, so the stop is found from one position per column.
+    One mark per series and column, combined before the shuffle, then one aggregate over the marks.
     """
-    first = df.select(key).distinct().orderBy(key).limit(sample_series)
-    seen = settle(
-        non_null_counts(df.join(F.broadcast(first), key, "left_semi"), columns, key=key).filter("n > 0")
-    )
-    # At most sample_series x columns rows from here on.
-    some = seen.select(key).distinct()
-    numbered = some.withColumn("pos", F.row_number().over(Window.orderBy(key)))
-    read = numbered.agg(F.max("pos").alias("read"))
-    # Position of the first gap: the series a column has are numbered; where the running number
-    # falls behind the position, one was missing.
-    placed = seen.join(numbered, key).select("column", "pos")
-    run = Window.partitionBy("column").orderBy("pos")
-    kept_up = placed.withColumn("nth", F.row_number().over(run)).filter(F.col("pos") == F.col("nth"))
-    held = kept_up.groupBy("column").agg(F.max("pos").alias("held"))
-    # After k series the common names are those held for at least k.
-    sizes = (
-        held.select(F.explode(F.sequence(F.lit(1), "held")).alias("pos"))
-        .groupBy("pos")
-        .agg(F.count("*").alias("common"))
-    )
-    stop = sizes.filter((F.col("pos") > at_least) & (F.col("common") < enough)).agg(
-        F.min("pos").alias("stop")
-    )
-    last = F.coalesce(stop.scalar(), read.scalar())
-    return held.filter(F.col("held") >= last).select("column")
+    marks = df.groupBy(key).agg(*[F.coalesce(F.bool_or(F.col(c).isNotNull()), F.lit(False)).alias(c) for c in columns])
+    any_value = F.lit(False)
+    for c in columns:
+        any_value = any_value | F.col(c)
+    everywhere = marks.filter(any_value).agg(*[F.bool_and(c).alias(c) for c in columns])
+    return everywhere.unpivot([], list(columns), "column", "everywhere").filter("everywhere").select("column")
 
 
 def select_core(names: DataFrame, column: str = "column") -> DataFrame:

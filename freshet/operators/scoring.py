@@ -134,7 +134,8 @@ def score_local(
     """Score with the retrained models.
 
     Their number is the length of the retrained list, so models travel to the rows. If they are
-    larger than ``MODEL_BYTES`` together, they go in several rounds, each over its own series.
+    larger than ``MODEL_BYTES`` together, they go in several rounds, each over its own models. A model
+    is named by its path, so several series can share one.
     """
     spark = rows.sparkSession
     carried = _carried(rows, key)
@@ -143,16 +144,16 @@ def score_local(
     rounds = max(1, math.ceil(size / MODEL_BYTES))
     wanted = assemble_request(rows, F.col("feature_order")).drop("features", "feature_order")
     schema = T.StructType([*wanted.schema.fields, T.StructField("yhat_log", T.DoubleType())])
-    turn = F.pmod(F.xxhash64(key), F.lit(rounds))
+    turn = F.pmod(F.xxhash64("model_path"), F.lit(rounds))
     parts = []
     for i in range(rounds):
-        stored = inline.filter(turn == i).select(key, "model").collect()
-        models = spark.sparkContext.broadcast({r[key]: bytes(r["model"]) for r in stored})
-        names = inline.filter(turn == i).select(key)
-        part = wanted.filter(turn == i).join(broadcast_checked(names), key, "left_semi")
-        parts.append(part.mapInPandas(_local_batches(models, key, trainer), schema))
-    for r in lite_models.filter(F.col("model").isNull()).select(key, "model_path").collect():
-        parts.append(_score_saved(wanted.filter(F.col(key) == r[key]), r["model_path"], schema))
+        stored = inline.filter(turn == i).select("model_path", "model").distinct().collect()
+        models = spark.sparkContext.broadcast({r["model_path"]: bytes(r["model"]) for r in stored})
+        names = inline.filter(turn == i).select("model_path").distinct()
+        part = wanted.filter(turn == i).join(broadcast_checked(names), "model_path", "left_semi")
+        parts.append(part.mapInPandas(_local_batches(models, "model_path", trainer), schema))
+    for r in lite_models.filter(F.col("model").isNull()).select("model_path").distinct().collect():
+        parts.append(_score_saved(wanted.filter(F.col("model_path") == r["model_path"]), r["model_path"], schema))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -107,31 +107,34 @@ def read_serving_policy(
 
 
 def artifact_manifest(spark: SparkSession, folder: str, artifacts: dict[str, str]) -> DataFrame:
-    """One row per expected artifact: exists, sha256, size and modification time."""
+    """One row per expected artifact: exists, sha256, size and last modification.
+
+    An artifact is a file, or a folder as Spark writes it: then the digest is that of its parts' names and
+    digests in order, and the size is their sum.
+    """
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     base = files.makeQualified(place).toString()
     expected = spark.createDataFrame(
         [(n, f"{base}/{p}") for n, p in artifacts.items()], "artifact string, path string"
     )
-    names = ",".join(p.rsplit("/", 1)[-1] for p in artifacts.values())
-    found = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", f"{{{names}}}")
-        .option("recursiveFileLookup", True)
-        .load(folder)
-        .select(
-            F.col("path").alias("found"),
-            F.sha2("content", 256).alias("sha256"),
-            F.col("length").alias("size_bytes"),
-            F.col("modificationTime").alias("mtime"),
-        )
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    owner = F.coalesce(
+        *[
+            F.when((F.col("path") == p) | F.col("path").startswith(f"{p}/"), F.lit(p))
+            for p in dict.fromkeys(f"{base}/{p}" for p in artifacts.values())
+        ]
+    )
+    parts = found.withColumn("owner", owner).filter(F.col("owner").isNotNull())
+    part = F.struct(F.expr("substring(path, length(owner) + 1)").alias("name"), F.sha2("content", 256).alias("sha"))
+    listed = F.array_sort(F.collect_list(part))
+    whole = F.sha2(F.array_join(F.transform("parts", lambda x: F.concat_ws(":", x["name"], x["sha"])), ","), 256)
+    single = F.get("parts", 0)
+    told = (
+        parts.groupBy("owner")
+        .agg(listed.alias("parts"), F.sum("length").alias("size_bytes"), F.max("modificationTime").alias("mtime"))
+        .withColumn("sha256", F.when(single["name"] == "", single["sha"]).otherwise(whole))
     )
-    return expected.join(found, F.col("path") == F.col("found"), "left").select(
-        "artifact",
-        "path",
-        F.col("found").isNotNull().alias("exists"),
-        "sha256",
-        "size_bytes",
-        "mtime",
+    return expected.join(told, F.col("path") == F.col("owner"), "left").select(
+        "artifact", "path", F.col("owner").isNotNull().alias("exists"), "sha256", "size_bytes", "mtime"
     )

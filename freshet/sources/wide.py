@@ -27,12 +27,22 @@ def resolve_input(spark: SparkSession, path: str) -> str:
     raise FileNotFoundError(path)
 
 
+#: Marks the cuts of a line with quotes; a control character that texts don't hold.
+CUT = "\x1e"
+
+
 def split_fields(line, sep: str = "\t") -> Column:
     """Fields of a line; a separator inside double quotes does not split."""
     line = F.col(line) if isinstance(line, str) else line
     plain = re.escape(sep)
+    # Between quotes, every second piece is outside of them, counted from the line's end; only there
+    # separators become cuts. No look-ahead: its depth and time would grow with the line.
+    pieces = F.reverse(F.split(F.translate(line, CUT, " "), '"', -1))
+    outside = F.reverse(
+        F.transform(pieces, lambda piece, i: F.when(i % 2 == 0, F.replace(piece, F.lit(sep), F.lit(CUT))).otherwise(piece))
+    )
     quoted = F.transform(
-        F.split(line, plain + r'(?=(?:[^"]*"[^"]*")*[^"]*$)', -1),
+        F.split(F.array_join(outside, '"'), CUT, -1),
         lambda f: F.replace(
             F.regexp_replace(f, r'^\s*"(.*)"\s*$', "$1"), F.lit('""'), F.lit('"')
         ),

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from freshet import fixed
 from freshet.operators.models import GlobalModel
-from freshet.operators.scoring import resolve_mode, score, score_global
+from freshet.operators.scoring import score
 
 REQUEST_SCHEMA = f"{fixed.KEY} string, features map<string,double>"
 
@@ -28,9 +28,8 @@ def read_requests(spark: SparkSession, folder: str, *, files_per_trigger: int =
 def score_stream(
     requests: DataFrame, policy: DataFrame, lite_models: DataFrame, model: GlobalModel
 ) -> DataFrame:
-    """Streaming responses of the pooled model for all requests it serves."""
-    rows = resolve_mode(requests, policy, lite_models)
-    return score_global(rows.filter("mode = 'global'"), model)
+    """Streaming responses to every request, each in its own mode."""
+    return score(requests, policy, lite_models, model)
 
 
 def write_stream(rows: DataFrame, out: str, checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:

@@ -22,7 +22,7 @@ def test_equals_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).schema is not None
+    QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
 
 
 def test_entry(spark):

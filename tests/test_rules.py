@@ -97,21 +97,8 @@ def test_imputation_and_exclusion(spark):
     assert {r["x_lag1"] for r in zeroed} == {0.0} and sorted(r["tmin_c"] or 0 for r in zeroed) == [0, 1.0, 3.0]
 
 
-def reference_common(present: list[set[str]], sample: int, enough: int, at_least: int) -> set[str]:
-    """The early-stopping intersection, read series by series."""
-    common, read = None, 0
-    for names in present[:sample]:
-        if not names:
-            continue
-        read += 1
-        common = names if common is None else common & names
-        if common and len(common) < enough and read > at_least:
-            break
-    return common or set()
-
-
 @pytest.mark.parametrize("seed", range(4))
-def test_common_features_with_early_stop(spark, seed):
+def test_common_features_over_all_series(spark, seed):
     rng = np.random.default_rng(seed)
     names = [f"f{i}" for i in range(8)]
     ids = [f"s{i:02d}" for i in range(14)]
@@ -120,10 +107,8 @@ def test_common_features_with_early_stop(spark, seed):
     has[5] = False
     rows = [(s, *[1.0 if h else None for h in row]) for s, row in zip(ids, has)]
     df = spark.createDataFrame(rows, "basin_id string, " + ", ".join(f"{n} double" for n in names))
-    for sample, enough, at_least in ((14, 7, 4), (14, 3, 9), (6, 20, 10)):
-        want = reference_common([{n for n, h in zip(names, row) if h} for row in has], sample, enough, at_least)
-        got = common_features(df, names, sample_series=sample, enough=enough, at_least=at_least)
-        assert {r[0] for r in got.collect()} == want
+    want = set.intersection(*[{n for n, h in zip(names, row) if h} for row in has if any(row)])
+    assert {r[0] for r in common_features(df, names).collect()} == want
 
 
 def test_core_features_and_order():

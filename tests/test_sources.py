@@ -204,3 +204,18 @@ def test_master_drops_targetless_rows_first(spark):
     rows = build_master(coerce_keys(q), [coerce_keys(p)]).collect()
     assert [(r["basin_id"], r["discharge_mm"], r["prcp_mm_cr2met"]) for r in rows] == [("a", 1.0, None)]
     assert coerce_keys(q.withColumn("basin_id", F.lit(None).cast("string"))).count() == 0
+
+
+def test_many_quoted_fields_and_other_dates(spark, tmp_path):
+    names = ["date"] + [f'"id {i}\t{i}"' for i in range(20_000)]
+    (tmp_path / "wide.txt").write_text("\t".join(names) + "\n2000/01/02\t" + "\t".join(["1"] * 20_000) + "\n20000103\t2\n01-04-2000\t3\n")
+    rows = read_wide(spark, str(tmp_path / "wide.txt"), "v").filter("v is not null")
+    assert rows.count() == 20_002
+    assert sorted(str(r[0]) for r in rows.select("date").distinct().collect()) == ["2000-01-02", "2000-01-03", "2000-01-04"]
+
+
+def test_manifest_of_folders(spark, tmp_path):
+    spark.range(50).repartition(3).write.json(str(tmp_path / "te"))
+    rows = {r["artifact"]: r for r in artifact_manifest(spark, str(tmp_path), {"te": "te", "gone": "t"}).collect()}
+    assert rows["te"]["exists"] and len(rows["te"]["sha256"]) == 64 and not rows["gone"]["exists"]
+    assert rows["te"]["size_bytes"] == sum(p.stat().st_size for p in (tmp_path / "te").iterdir() if p.name[0] not in "._")
