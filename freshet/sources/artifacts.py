@@ -119,13 +119,12 @@ def artifact_manifest(spark: SparkSession, folder: str, artifacts: dict[str, str
         [(n, f"{base}/{p}") for n, p in artifacts.items()], "artifact string, path string"
     )
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    owner = F.coalesce(
-        *[
-            F.when((F.col("path") == p) | F.col("path").startswith(f"{p}/"), F.lit(p))
-            for p in dict.fromkeys(f"{base}/{p}" for p in artifacts.values())
-        ]
-    )
-    parts = found.withColumn("owner", owner).filter(F.col("owner").isNotNull())
+    # A file belongs to every expected artifact that it is or lies in.
+    owners = [
+        F.when((F.col("path") == p) | F.col("path").startswith(f"{p}/"), F.lit(p))
+        for p in dict.fromkeys(f"{base}/{p}" for p in artifacts.values())
+    ]
+    parts = found.withColumn("owner", F.explode(F.array_compact(F.array(*owners))))
     part = F.struct(F.expr("substring(path, length(owner) + 1)").alias("name"), F.sha2("content", 256).alias("sha"))
     listed = F.array_sort(F.collect_list(part))
     whole = F.sha2(F.array_join(F.transform("parts", lambda x: F.concat_ws(":", x["name"], x["sha"])), ","), 256)
