@@ -26,7 +26,7 @@ PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Fixed value: white space as the tokenizer library's patterns know it.
 WHITE = "\t-\r \x85\xa0  -     　"
 
-CACHED_WORDS = 120_000
+CACHED_WORDS = 220_000
 #: Words longer than this many characters are not kept in the cache.
 CACHED_CHARS = 64
 
