@@ -2,7 +2,7 @@
 
 Texts become normalised TF-IDF vectors of hashed character n-grams. Document frequencies cover all labelled rows;
 the centroids come from spherical k-means on a bounded sample of them (``SAMPLE`` rows per language, by hash of
-the text). A text belongs to the language of the centroid with the largest cosine. It is rejected if that cosine
+the text; a text that stands in many rows enters once). A text belongs to the language of the centroid with the largest cosine. It is rejected if that cosine
 is far below those of training texts of its length, or if it has no letter.
 
 Null, empty and letterless texts are ``und`` with score 0 and rejected. Without labelled rows every text is ``und``.
@@ -164,7 +164,8 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
                 floor[c] = REJECT * at_least.min()
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centre": [c.astype(np.float32).tobytes() for c in made], "floor": [floor.tolist()] * len(made)})
 
-    drawn = df.where(draw < share[F.col("lang")]).mapInArrow(vectors, vectors_type)
+    # copies share their draw, so a text in a third of all rows would come with all of them
+    drawn = df.where(draw < share[F.col("lang")]).distinct().mapInArrow(vectors, vectors_type)
     found = drawn.groupBy("lang").applyInPandas(centres, "lang string, centre binary, floor array<double>").collect()
     found.sort(key=lambda r: (r["lang"], r["centre"]))
     names = sorted({r["lang"] for r in found})

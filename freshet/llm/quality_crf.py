@@ -6,7 +6,7 @@ labels turns that share into the probability of label 1.
 
 Labels are known per document only, so training is iterated: lines of good documents are good; lines of bad
 documents start as bad and take the field's own marginals in the next rounds. It uses a bounded sample of labelled
-rows (``SAMPLE`` per label, by hash of the text). Null and empty texts are one empty line. Without labels of both
+rows (``SAMPLE`` per label, by hash of the text; a text that stands in many rows enters once per label). Null and empty texts are one empty line. Without labels of both
 kinds every score is 0.5.
 """
 
@@ -236,7 +236,8 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "label", sampl
                     names=["label", "own", "size"],
                 )
 
-    rows = df.where(draw < chance).mapInArrow(features, "label int, own binary, size binary").collect()
+    # copies share their draw, so a text in a third of all rows would come with all of them
+    rows = df.where(draw < chance).distinct().mapInArrow(features, "label int, own binary, size binary").collect()
     rows.sort(key=lambda r: (r["label"], r["own"]))
     if len({r["label"] for r in rows}) < 2:
         return None
