@@ -118,15 +118,16 @@ def disclosing_terms(df: DataFrame, base: DataFrame) -> DataFrame | None:
     together = store(together.where(F.col("contexts") >= MIN_CONTEXTS), "together")
     if together.isEmpty():
         return None
-    candidates = together.select("term").distinct()
+    candidates = store(together.select("term").distinct(), "candidates")
     n = df.count()
-    holding = df.select("doc_id", "row", F.explode(_terms(F.col("text"))).alias("term")).join(candidates, "term", "left_semi")
+    held = df.select("doc_id", "row", F.explode(_terms(F.col("text"))).alias("term"))
+    holding = common.join_small(held, candidates, ["term"], "left_semi")
     holding = store(holding.distinct(), "holding")
-    n_t = holding.groupBy("term").agg(F.count_distinct("doc_id").alias("n_t"))
-    known = together.join(n_t, "term")
+    n_t = store(holding.groupBy("term").agg(F.count_distinct("doc_id").alias("n_t")), "n-t")
+    known = common.join_small(together, n_t, ["term"], "inner")
     bits = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(n) + 1) / F.col("n_e"))
     shares = known.select("term", bits.alias("share")).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= GENERALISE)
-    return holding.join(shares, "term")
+    return common.join_small(holding, store(shares, "shares"), ["term"], "inner")
 
 
 def term_spans(df: DataFrame, terms: DataFrame) -> DataFrame:
@@ -135,8 +136,8 @@ def term_spans(df: DataFrame, terms: DataFrame) -> DataFrame:
     held = common.join_small(df, per_row, ["doc_id", "row"], "inner").dropDuplicates(["doc_id", "row"])
     any_of = F.concat(F.lit(r"(?<!\p{L})(?iu:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     found = _matches(held, TERM, any_of)
-    shares = terms.select("term", "share").distinct()
-    return found.join(shares, F.lower(found.value) == shares.term).select(*found.columns, "share")
+    shares = store(terms.select("term", "share").distinct(), "shares")
+    return common.join_small(found.withColumn("term", F.lower("value")), shares, ["term"], "inner").select(*found.columns, "share")
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
