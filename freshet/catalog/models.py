@@ -11,9 +11,12 @@ from freshet.catalog.fixture import (
     DV,
     P,
     SPLIT,
+    TRAIN,
     features,
     master,
+    nse_sql,
     r,
+    rmse_sql,
     rounded,
     table,
     with_,
@@ -21,6 +24,7 @@ from freshet.catalog.fixture import (
 from freshet.operators.encode import apply_target_encoding, fit_target_encoding
 from freshet.operators.metrics import regression_metrics
 from freshet.operators.models import (
+    RIDGE,
     GlobalModel,
     fit_baseline,
     fit_global,
@@ -61,13 +65,31 @@ def linear_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fit_linear_per_series(rows.na.drop(), "y", "x"))
 
 
-@query("per_series_models")
+@query(
+    "per_series_models",
+    with_(
+        *P,
+        ("n", f"SELECT basin_id, count(*)::BIGINT AS total FROM p GROUP BY basin_id HAVING count(*) >= {fixed.MIN_ROWS}"),
+        ("s", f"SELECT basin_id, {TRAIN} AS tr, y_log1p AS y, prcp_mm_cr2met_sum_7d AS given, coalesce(prcp_mm_cr2met_sum_7d, 0) AS x "
+              "FROM p WHERE y_log1p IS NOT NULL"),
+        ("v", "SELECT basin_id FROM s GROUP BY basin_id HAVING count(*) FILTER (WHERE tr) > 0 AND count(*) FILTER (WHERE NOT tr) > 0 AND count(given) > 0"),
+        ("c", f"SELECT basin_id, avg(x) AS mx, avg(y) AS my, CASE WHEN var_pop(x) > 0 THEN covar_pop(x, y) / (var_pop(x) * (1 + {RIDGE})) ELSE 0 END AS b "
+              "FROM s WHERE tr GROUP BY basin_id"),
+        ("g", "SELECT s.*, b, my, mx, my + b * (x - mx) AS yhat FROM s JOIN c USING (basin_id)"),
+        select=f"""
+SELECT basin_id, any_value(total) AS "rows", 1::BIGINT AS n_features, {r('any_value(b)', 'slope', 4)}, {r('any_value(my - b * mx)', 'intercept', 4)},
+  {r(rmse_sql('y', 'yhat', 'tr'), 'train_RMSE', 4)}, {r(rmse_sql('y', 'yhat', 'NOT tr'), 'test_RMSE', 4)}, {r(nse_sql('y', 'yhat', 'NOT tr'), 'test_R2', 4)}
+FROM g JOIN v USING (basin_id) JOIN n USING (basin_id) GROUP BY basin_id
+""",
+    ),
+)
 def per_series_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One boosted model per series; scores only, the models stay in the registry."""
+    """One linear model per series on last week's rain, which SQL can fit as well."""
     registry = fit_per_series(
-        features(spark, sf_dir, attrs=False), "y_log1p", LITE, split_date=SPLIT, params=SMALL
+        features(spark, sf_dir, attrs=False), "y_log1p", [f"{fixed.PRECIP}_sum_7d"], split_date=SPLIT, min_features=1
     )
-    return rounded(registry.select(fixed.KEY, "rows", "n_features", "train_RMSE", "test_RMSE", "test_R2"), 4)
+    shown = registry.withColumns({"slope": F.col("model.coefficients")[0], "intercept": F.col("model.intercept")})
+    return rounded(shown.select(fixed.KEY, "rows", "n_features", "slope", "intercept", "train_RMSE", "test_RMSE", "test_R2"), 4)
 
 
 def _global(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, GlobalModel]:
@@ -105,7 +127,7 @@ def retrained_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel, model = _global(spark, sf_dir)
     scores = _naive_scores(panel)
     top = top_features(named_importance(spark, model.booster, model.order), 3)
-    out = retrain_bottom(panel, scores, top, "y_log1p", n=6, split_date=SPLIT, params=SMALL)
+    out = retrain_bottom(panel, scores, top, "y_log1p", n=6, split_date=SPLIT)
     return rounded(out.select(fixed.KEY, "n_features", "test_R2", "persistence_NSE", "suggested_serving"), 4)
 
 
@@ -233,7 +255,7 @@ def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All test rows as requests, some series served by retrained models, the rest by the global one."""
     panel, model = _global(spark, sf_dir)
     scores = _naive_scores(panel)
-    lite = store(retrain_bottom(panel, scores, LITE, "y_log1p", n=4, split_date=SPLIT, params=SMALL), "lite")
+    lite = store(retrain_bottom(panel, scores, LITE, "y_log1p", n=4, split_date=SPLIT), "lite")
     policy = lite.select(
         fixed.KEY, F.lit("local_lite").alias("mode"), "model_path", F.col("features_used").alias("feature_order")
     )

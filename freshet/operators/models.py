@@ -1,4 +1,4 @@
-"""Model fitting: one global boosted-tree model, one model per series, retraining of the worst."""
+"""Model fitting: one global boosted-tree model, one linear model per series, retraining of the worst."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet import fixed
-from freshet.operators import trees
 from freshet.operators.columns import ensure_columns, exclude_columns
 from freshet.operators.encode import (
     apply_target_encoding,
@@ -39,9 +38,7 @@ from freshet.operators.split import (
     restrict_to,
     temporal_split,
 )
-from freshet.session import broadcast_checked, scratch_path, settle, store
-
-GROUP_ROWS = 200_000
+from freshet.session import BROADCAST_CELLS, broadcast_checked, settle, store
 
 
 def _doubles(columns: Sequence[str]) -> list[Column]:
@@ -188,24 +185,61 @@ def top_features(importance: DataFrame, k: int = fixed.TOP_K) -> list[str]:
     return [r["feature"] for r in rows.orderBy(F.desc("gain"), "feature").limit(k).collect()]
 
 
-_FIT_SCHEMA = (
-    "{key} string, rows bigint, n_features bigint, features_used array<string>, "
-    "train_MAE double, train_RMSE double, train_R2 double, train_logNSE double, "
-    "test_MAE double, test_RMSE double, test_R2 double, test_logNSE double, "
-    "model_path string, model binary"
-)
+#: A per-series model: the value of a row is the intercept plus its values times the coefficients.
+MODEL_TYPE = "struct<intercept:double,coefficients:array<double>>"
+#: Ridge penalty on standardised coefficients, as a share of the number of training rows.
+RIDGE = 0.01
+#: A column whose spread is below this share of its size counts as constant and gets no coefficient.
+LEAST_SPREAD = 1e-7
+#: Series whose sums a task holds before it passes them on.
+HELD_SERIES = 256
+
 
+def product_sums(rows: DataFrame, columns: Sequence[str], key: str = fixed.KEY) -> DataFrame:
+    """``key, sums``: per series, the sums over its rows of all products of two of (1, columns).
 
-def _scores(y: np.ndarray, yhat: np.ndarray, prefix: str, log: bool) -> dict:
-    e = y - yhat
-    total = float(((y - y.mean()) ** 2).sum())
-    r2 = 1.0 - float((e**2).sum()) / total if total > 0 else None
-    return {
-        f"{prefix}MAE": float(np.abs(e).mean()),
-        f"{prefix}RMSE": float(np.sqrt((e**2).mean())),
-        f"{prefix}R2": r2,
-        f"{prefix}logNSE": r2 if log else None,
-    }
+    ``sums`` is the square matrix row by row. Tasks add up their own rows; their parts are then added per series and
+    cell, so a series of any length is no large task. A missing value counts as 0.
+    """
+    width = len(columns) + 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            x = np.column_stack([np.ones(len(batch)), np.nan_to_num(batch[list(columns)].to_numpy(dtype=float))])
+            for name, at in batch.groupby(key, sort=False).indices.items():
+                held[name] = held.get(name, 0.0) + x[at].T @ x[at]
+                if len(held) >= HELD_SERIES:
+                    yield pd.DataFrame({key: list(held), "part": [m.ravel() for m in held.values()]})
+                    held = {}
+        if held:
+            yield pd.DataFrame({key: list(held), "part": [m.ravel() for m in held.values()]})
+
+    parts = rows.select(key, *columns).mapInPandas(run, f"{key} string, part array<double>")
+    cells = parts.select(key, F.posexplode("part").alias("cell", "v")).groupBy(key, "cell").agg(F.sum("v").alias("v"))
+    ordered = F.sort_array(F.collect_list(F.struct("cell", "v")))
+    return cells.groupBy(key).agg(F.transform(ordered, lambda c: c["v"]).alias("sums"), F.lit(width).alias("width"))
+
+
+def solve_ridge(sums: np.ndarray, used: Sequence[int], penalty: float) -> tuple[float, np.ndarray]:
+    """Intercept and one coefficient per used column; the last row and column of ``sums`` are the target's."""
+    n, mean = sums[0, 0], sums[0] / sums[0, 0]
+    spread = sums / n - np.outer(mean, mean)
+    size = np.sqrt(np.maximum(np.diag(sums) / n, 0.0))
+    scale = np.sqrt(np.maximum(np.diag(spread), 0.0))
+    at = np.asarray(used, dtype=int) + 1
+    moving = at[scale[at] > LEAST_SPREAD * size[at]]
+    slope = np.zeros(len(sums))
+    if len(moving):
+        r = spread[np.ix_(moving, moving)] / np.outer(scale[moving], scale[moving])
+        slope[moving] = np.linalg.solve(r + penalty * np.eye(len(moving)), spread[moving, -1] / scale[moving]) / scale[moving]
+    return float(mean[-1] - slope[at] @ mean[at]), slope[at]
+
+
+def linear_value(model: Column, vector: Column) -> Column:
+    """Value of a model for a vector of its features, in the order of its coefficients."""
+    products = F.zip_with(vector, model["coefficients"], lambda x, w: x * w)
+    return F.aggregate(products, model["intercept"], lambda total, v: total + v)
 
 
 def fit_per_series(
@@ -217,94 +251,60 @@ def fit_per_series(
     split_date: str = fixed.SPLIT_DATE,
     min_rows: int = fixed.MIN_ROWS,
     min_features: int = fixed.MIN_FEATURES,
-    params: dict | None = None,
+    penalty: float = RIDGE,
     prefix: str = "basin",
-    model_dir: str | None = None,
-    trainer=trees,
-    group_rows: int = GROUP_ROWS,
     key: str = fixed.KEY,
     time: str = fixed.TIME,
 ) -> DataFrame:
-    """One boosted-tree model per series with its scores: the model registry.
-
-    ``trainer`` has ``fit(x, y, params, seed)``, ``predict(model, x)``, ``dump(model)`` and
-    ``load(blob)``; pass one around another tree library where the cluster has it.
+    """One ridge regression per series with its scores: the model registry.
 
-    Series up to ``group_rows`` rows are fitted in grouped tasks, many at a time. A longer one would
-    not fit a task; each of those few is fitted as a distributed job on all its rows, and its model
-    saved under ``model_dir`` (else in the shared folder).
+    Series of every length are fitted the same way, from one aggregate over their training rows; then one small
+    system is solved per series. ``model`` holds the intercept and the coefficients of ``features_used``. ``features``
+    should be stored, as it is read several times.
     """
-    params = {**fixed.BOOSTING, **(params or {})}
     columns = list(columns)
     sizes = features.groupBy(key).agg(F.count("*").alias("rows"))
     sizes = broadcast_checked(settle(sizes.filter(F.col("rows") >= min_rows)))
     rows = temporal_split(features, target, split_date, key=key, time=time)
-    rows = rows.join(sizes, key).select(key, time, "side", "rows", target, *_doubles(columns))
+    rows = rows.join(sizes, key).select(key, time, "side", "rows", F.col(target).cast("double").alias(target), *_doubles(columns))
     if exclusions is not None:
         rows = exclude_columns(rows, exclusions, columns, fill=None, key=key)
     middle = median_columns(columns)
     medians = train_medians(rows.filter("side = 'train'"), middle, key=key) if middle else None
     # What a series may use is decided before imputation fills the gaps: one mark per column.
     marks = F.concat(*[F.when(F.count(c) > 0, "1").otherwise("0") for c in columns])
-    usable = rows.groupBy(key).agg(marks.alias("used"))
+    usable = rows.groupBy(key).agg(F.first("rows").alias("rows"), marks.alias("used"))
     usable = settle(usable.filter(F.length(F.replace("used", F.lit("0"), F.lit(""))) >= min_features))
-    rows = impute_rules(rows, columns, medians, key=key).join(broadcast_checked(usable), key)
-    rows = store(rows, "fit-rows")
+    rows = impute_rules(rows.drop("rows"), columns, medians, key=key)
+    rows = store(rows.join(broadcast_checked(usable.select(key)), key, "left_semi").na.fill(0.0, subset=columns), "fit-rows")
+
+    sums = product_sums(rows.filter("side = 'train'"), [*columns, target], key)
+    schema = f"{key} string, rows bigint, n_features bigint, features_used array<string>, model {MODEL_TYPE}, weights array<double>"
 
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, n, marked, flat, width in batch[[key, "rows", "used", "sums", "width"]].itertuples(index=False):
+                used = [i for i, mark in enumerate(marked) if mark == "1"]
+                intercept, found = solve_ridge(np.asarray(flat, dtype=float).reshape(width, width), used, penalty)
+                weights = np.zeros(len(columns))
+                weights[used] = found
+                out.append((name, n, len(used), [columns[i] for i in used], {"intercept": intercept, "coefficients": found.tolist()}, weights.tolist()))
+            yield pd.DataFrame(out, columns=[key, "rows", "n_features", "features_used", "model", "weights"])
+
+    fitted = store(sums.join(usable, key).mapInPandas(solve, schema), "fits")
+    whole = F.struct(F.col("model.intercept").alias("intercept"), F.col("weights").alias("coefficients"))
+    weights = fitted.select(key, whole.alias("model"))
+    limit = BROADCAST_CELLS // (len(columns) + 2)  # an array counts as its cells
+    scored = rows.join(broadcast_checked(weights, 2 * limit), key).withColumn("yhat", linear_value(F.col("model"), F.array(*columns)))
     log = target == "y_log1p"
-    short = rows.filter(F.col("rows") <= group_rows)
-    long = rows.filter(F.col("rows") > group_rows)
-    ids = [r[0] for r in long.select(key).distinct().orderBy(key).collect()]
-    schema = _FIT_SCHEMA.format(key=key)
-
-    def fit_group(group: pd.DataFrame) -> pd.DataFrame:
-        used = _marked(columns, group["used"].iloc[0])
-        group = group.sort_values(time)
-        parts = {s: group[group["side"] == s] for s in ("train", "test")}
-        x = {s: p[used].to_numpy(dtype=float) for s, p in parts.items()}
-        y = {s: p[target].to_numpy(dtype=float) for s, p in parts.items()}
-        model = trainer.fit(x["train"], y["train"], params, fixed.SEED)
-        name = group[key].iloc[0]
-        row = {key: name, "rows": int(group["rows"].iloc[0]), "n_features": len(used), "features_used": used}
-        for s in ("train", "test"):
-            row.update(_scores(y[s], trainer.predict(model, x[s]), f"{s}_", log))
-        row.update({"model_path": f"{prefix}/{name}", "model": trainer.dump(model)})
-        return pd.DataFrame([row])
-
-    fitted = short.groupBy(key).applyInPandas(fit_group, schema)
-    for name in ids:
-        path = f"{model_dir}/{prefix}/{name}" if model_dir else scratch_path(rows.sparkSession, prefix)
-        one = long.filter(F.col(key) == name)
-        fitted = fitted.unionByName(_fit_long(one, columns, target, params, path, log, key))
-    return fitted
-
-
-def _marked(columns: Sequence[str], marks: str) -> list[str]:
-    return [c for c, mark in zip(columns, marks) if mark == "1"]
-
-
-def _fit_long(
-    rows: DataFrame, columns: Sequence[str], target: str, params: dict, path: str, log: bool, key: str
-) -> DataFrame:
-    """A model for one very long series as a distributed job; the model is saved, not inlined."""
-    used = _marked(columns, rows.select("used").first()[0])
-    filled = rows.na.fill(0.0, subset=used)
-    pipeline = _fit_boosted(filled.filter("side = 'train'"), used, target, params)
-    pipeline.write().overwrite().save(path)
-    scored = pipeline.transform(filled)
-    y, yhat = target, "yhat"
-    out = scored.groupBy(key).agg(
-        F.first("rows").alias("rows"),
-        *score_columns(y, yhat, when=F.col("side") == "train", prefix="train_", log=log),
-        *score_columns(y, yhat, when=F.col("side") == "test", prefix="test_", log=log),
+    scores = scored.groupBy(key).agg(
+        *score_columns(target, "yhat", when=F.col("side") == "train", prefix="train_", log=log),
+        *score_columns(target, "yhat", when=F.col("side") == "test", prefix="test_", log=log),
     )
-    return out.withColumns(
-        {
-            "n_features": F.lit(len(used)).cast("bigint"),
-            "features_used": F.array(*[F.lit(c) for c in used]),
-            "model_path": F.lit(path),
-            "model": F.lit(None).cast("binary"),
-        }
+    path = F.concat(F.lit(f"{prefix}/"), F.col(key)).alias("model_path")
+    return fitted.drop("weights").join(scores, key).select(
+        key, "rows", "n_features", "features_used", *[c for c in scores.columns if c != key], path, "model"
     )
 
 
@@ -329,12 +329,9 @@ def retrain_bottom(
     *,
     n: int = fixed.N_BOTTOM,
     split_date: str = fixed.SPLIT_DATE,
-    params: dict | None = None,
+    penalty: float = RIDGE,
     key: str = fixed.KEY,
     time: str = fixed.TIME,
-    model_dir: str | None = None,
-    trainer=trees,
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Refit the n worst series on the most important features and suggest how to serve them."""
     worst = settle(bottom_n(metrics, n, key=key).select(key))
@@ -347,11 +344,8 @@ def retrain_bottom(
             exclusions,
             split_date=split_date,
             min_rows=0,
-            params=params,
+            penalty=penalty,
             prefix="lite",
-            model_dir=model_dir,
-            trainer=trainer,
-            group_rows=group_rows,
             key=key,
             time=time,
         ),
@@ -365,20 +359,3 @@ def retrain_bottom(
             "suggested_serving": suggest_retrained(),
         }
     )
-
-
-def predict_batches(models: dict[str, bytes], key: str, trainer=trees):
-    """Scoring function for ``mapInPandas`` over rows with ``vector`` (values in model order)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loaded: dict[str, dict] = {}
-        for batch in batches:
-            batch["yhat_log"] = np.nan
-            for name, at in batch.groupby(key).groups.items():
-                if name not in loaded:
-                    loaded[name] = trainer.load(models[name])
-                x = np.stack(batch.loc[at, "vector"].to_numpy()).astype(float)
-                batch.loc[at, "yhat_log"] = trainer.predict(loaded[name], x)
-            yield batch
-
-    return run

@@ -6,22 +6,19 @@ hot task. Requests are ``(basin_id, features map<string,double>)``; further colu
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from freshet import fixed
 from freshet.functions.scalars import unlog
-from freshet.operators import trees
-from freshet.operators.models import GlobalModel, predict_batches
+from freshet.operators.models import GlobalModel, linear_value
 from freshet.session import broadcast_checked
 
-MODEL_BYTES = 64 * 1024 * 1024
+#: Cells of the table of model paths and models up to which it is broadcast; a model has some tens of numbers.
+MODEL_CELLS = 100_000
 GLOBAL_PATH = "global"
 
 # Notes of the fallbacks.
@@ -128,47 +125,17 @@ def score_global(rows: DataFrame, model: GlobalModel, *, key: str = fixed.KEY) -
     return _response(scored, "global", value, carried, key)
 
 
-def score_local(
-    rows: DataFrame, lite_models: DataFrame, *, trainer=trees, key: str = fixed.KEY
-) -> DataFrame:
-    """Score with the retrained models.
+def score_local(rows: DataFrame, lite_models: DataFrame, *, key: str = fixed.KEY) -> DataFrame:
+    """Score with the retrained models, joined by path, so several series can share one.
 
-    Their number is the length of the retrained list, so models travel to the rows. If they are
-    larger than ``MODEL_BYTES`` together, they go in several rounds, each over its own models. A model
-    is named by its path, so several series can share one.
+    Batch and streaming rows take the same expressions. ``lite_models`` should be stored.
     """
-    spark = rows.sparkSession
     carried = _carried(rows, key)
-    inline = lite_models.filter(F.col("model").isNotNull())
-    size = inline.agg(F.sum(F.length("model"))).first()[0] or 0
-    rounds = max(1, math.ceil(size / MODEL_BYTES))
-    wanted = assemble_request(rows, F.col("feature_order")).drop("features", "feature_order")
-    schema = T.StructType([*wanted.schema.fields, T.StructField("yhat_log", T.DoubleType())])
-    turn = F.pmod(F.xxhash64("model_path"), F.lit(rounds))
-    parts = []
-    for i in range(rounds):
-        stored = inline.filter(turn == i).select("model_path", "model").distinct().collect()
-        models = spark.sparkContext.broadcast({r["model_path"]: bytes(r["model"]) for r in stored})
-        names = inline.filter(turn == i).select("model_path").distinct()
-        part = wanted.filter(turn == i).join(broadcast_checked(names), "model_path", "left_semi")
-        parts.append(part.mapInPandas(_local_batches(models, "model_path", trainer), schema))
-    for r in lite_models.filter(F.col("model").isNull()).select("model_path").distinct().collect():
-        parts.append(_score_saved(wanted.filter(F.col("model_path") == r["model_path"]), r["model_path"], schema))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return _response(out, "local_lite", F.lit(None).cast("double"), carried, key)
-
-
-def _local_batches(models, key: str, trainer):
-    return lambda batches: predict_batches(models.value, key, trainer)(batches)
-
-
-def _score_saved(rows: DataFrame, path: str, schema: T.StructType) -> DataFrame:
-    """Rows of a long series, whose model is a saved pipeline."""
-    booster = PipelineModel.load(path).stages[-1]
-    scored = booster.transform(rows.withColumn("_x", array_to_vector("vector")))
-    return scored.withColumnRenamed("yhat", "yhat_log").select(*schema.fieldNames())
+    models = lite_models.filter(F.col("model").isNotNull()).select("model_path", "model").dropDuplicates(["model_path"])
+    rows = rows.join(broadcast_checked(models, MODEL_CELLS), "model_path", "left")
+    rows = assemble_request(rows, F.col("feature_order"))
+    rows = rows.withColumn("yhat_log", linear_value(F.col("model"), F.col("vector")))
+    return _response(rows, "local_lite", F.lit(None).cast("double"), carried, key)
 
 
 def score(
@@ -177,10 +144,9 @@ def score(
     lite_models: DataFrame,
     model: GlobalModel,
     *,
-    trainer=trees,
     key: str = fixed.KEY,
 ) -> DataFrame:
     """Responses for a request table: retrained models where the policy says so, else the pooled one."""
     rows = resolve_mode(requests, policy, lite_models, key=key)
-    local = score_local(rows.filter("mode = 'local_lite'"), lite_models, trainer=trainer, key=key)
+    local = score_local(rows.filter("mode = 'local_lite'"), lite_models, key=key)
     return score_global(rows.filter("mode = 'global'"), model, key=key).unionByName(local)

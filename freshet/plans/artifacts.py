@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet import fixed
-from freshet.operators.models import GlobalModel
+from freshet.operators.models import MODEL_TYPE, GlobalModel
 from freshet.operators.policy import policy_entries, policy_summary
 from freshet.operators.scoring import score
 from freshet.plans.review import Review, Training
@@ -101,7 +101,7 @@ def load_serving(spark: SparkSession, folder: str) -> Serving:
     )
     policy = settle(read_serving_policy(spark, f"{folder}/{SERVING}", lines=True))
     if policy.isEmpty():
-        lite = spark.createDataFrame([], f"{fixed.KEY} string, model_path string, model binary")
+        lite = spark.createDataFrame([], f"{fixed.KEY} string, model_path string, model {MODEL_TYPE}")
     else:
         lite = spark.read.parquet(f"{folder}/{LITE}").select(fixed.KEY, "model_path", "model")
     return Serving(model, policy, lite)

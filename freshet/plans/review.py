@@ -45,7 +45,6 @@ def train(
     split_date: str = fixed.SPLIT_DATE,
     min_rows: int = fixed.MIN_ROWS,
     params: dict | None = None,
-    model_dir: str | None = None,
 ) -> Training:
     """Per-series models, then the global one; an earlier policy feeds its exclusions back in."""
     target = pick_target(features.columns)
@@ -61,8 +60,6 @@ def train(
             exclusions,
             split_date=split_date,
             min_rows=min_rows,
-            params=params,
-            model_dir=model_dir,
         ),
         "registry",
     )
@@ -93,8 +90,6 @@ def review(
     n_bottom: int = fixed.N_BOTTOM,
     top_k: int = fixed.TOP_K,
     r2_good: float = 0.0,
-    params: dict | None = None,
-    model_dir: str | None = None,
 ) -> Review:
     """Diagnose the weak series, set the gating policy, retrain the worst and merge what serves."""
     spark = features.sparkSession
@@ -113,8 +108,6 @@ def review(
         gating.exclusions,
         n=n_bottom,
         split_date=split_date,
-        params=params,
-        model_dir=model_dir,
     )
     lite = store(lite, "lite")
     compared = compare_retrained(metrics, lite)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet import fixed
-from freshet.operators import scoring, trees
+from freshet.operators import scoring
 from freshet.operators.features import build_features
 from freshet.operators.models import (
     fit_baseline,
@@ -52,27 +52,8 @@ def model(panel):
     return fit_global(panel, "y_log1p", [*COLUMNS, fixed.ENCODED], split_date=SPLIT, params=SMALL)
 
 
-def test_trees_learn_and_reload():
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(600, 4))
-    x[:, 3] = np.nan
-    y = np.where(x[:, 0] > 0.3, 2.0, -1.0) + 0.5 * x[:, 1]
-    params = {**fixed.BOOSTING, "rounds": 60, "rate": 0.2, "depth": 3}
-    model = trees.fit(x[:400], y[:400], params, 1)
-    guess = trees.predict(model, x[400:])
-    assert ((guess - y[400:]) ** 2).mean() < 0.1 * y[400:].var()
-    again = trees.predict(trees.load(trees.dump(trees.fit(x[:400], y[:400], params, 1))), x[400:])
-    assert (again == guess).all()
-
-
-def test_constant_target():
-    x = np.ones((20, 2))
-    model = trees.fit(x, np.full(20, 3.0), {**fixed.BOOSTING, "rounds": 3}, 0)
-    assert trees.predict(model, x) == pytest.approx(np.full(20, 3.0))
-
-
 def test_per_series_models(panel):
-    fitted = fit_per_series(panel, "y_log1p", COLUMNS, split_date=SPLIT, params=SMALL).collect()
+    fitted = fit_per_series(panel, "y_log1p", COLUMNS, split_date=SPLIT).collect()
     got = {r["basin_id"]: r for r in fitted}
     assert set(got) == {"0", "1", "2", "3"}
     for r in got.values():
@@ -80,14 +61,42 @@ def test_per_series_models(panel):
         assert r["features_used"] == COLUMNS and r["model_path"] == f"basin/{r['basin_id']}"
 
 
-def test_a_series_too_long_for_a_task_is_fitted_as_a_job(panel):
+def test_ridge_equals_a_plain_solution(panel):
+    """Also with a column that never changes, one with gaps and rows spread over many tasks."""
+    rows = panel.withColumn("flat", F.lit(3000.0)).repartition(7)
+    columns = [*COLUMNS, "flat"]
+    fitted = {r["basin_id"]: r for r in fit_per_series(rows, "y_log1p", columns, split_date=SPLIT).collect()}
+    for name in ("0", "3"):
+        frame = panel.filter(F.col("basin_id") == name).filter("y_log1p is not null").orderBy("date").toPandas()
+        train = pd.to_datetime(frame["date"]) < SPLIT
+        x = frame[COLUMNS].fillna(0.0).to_numpy(dtype=float)
+        y = frame["y_log1p"].to_numpy(dtype=float)
+        mean, scale = x[train].mean(axis=0), x[train].std(axis=0)
+        z = (x - mean) / scale
+        n = train.sum()
+        slope = np.linalg.solve(z[train].T @ z[train] / n + 0.01 * np.eye(4), z[train].T @ (y[train] - y[train].mean()) / n)
+        got = fitted[name]["model"]
+        assert got["coefficients"] == pytest.approx([*(slope / scale), 0.0], abs=1e-8)
+        guess = y[train].mean() + z @ slope
+        rmse = np.sqrt(((y - guess)[~train] ** 2).mean())
+        assert fitted[name]["test_RMSE"] == pytest.approx(rmse, abs=1e-8)
+
+
+def test_a_long_series_is_fitted_like_a_short_one(panel):
+    """The rows of one series many times over weigh the same: same model, and other series do not change."""
+    some = panel.filter("basin_id in ('2', '3')")
+    hot = some.withColumn("k", F.explode(F.sequence(F.lit(1), F.when(F.col("basin_id") == "3", 20).otherwise(1)))).drop("k")
+    once, often = ({r["basin_id"]: r for r in fit_per_series(df, "y_log1p", COLUMNS, split_date=SPLIT).collect()} for df in (some, hot))
+    for name in ("2", "3"):
+        assert often[name]["model"]["coefficients"] == pytest.approx(once[name]["model"]["coefficients"])
+        assert often[name]["test_R2"] == pytest.approx(once[name]["test_R2"])
+
+
+def test_excluded_columns_are_not_used(panel):
     left_out = panel.sparkSession.createDataFrame([("3", "tmin_c")], "basin_id string, column string")
-    some = panel.filter("basin_id in ('2', '3')").filter("basin_id = '3' or date < '2002-11-30'")
-    fitted = fit_per_series(some, "y_log1p", COLUMNS, left_out, split_date=SPLIT, params=SMALL, group_rows=1080)
-    got = {r["basin_id"]: r for r in fitted.collect()}
-    assert got["2"]["model"] is not None and got["2"]["n_features"] == 4
-    assert got["3"]["model"] is None and got["3"]["n_features"] == 3
-    assert got["3"]["test_R2"] > 0.8 and got["2"]["test_R2"] > 0.8
+    got = {r["basin_id"]: r for r in fit_per_series(panel, "y_log1p", COLUMNS, left_out, split_date=SPLIT).collect()}
+    assert got["2"]["n_features"] == 4 and got["3"]["n_features"] == 3
+    assert len(got["3"]["model"]["coefficients"]) == 3 and "tmin_c" not in got["3"]["features_used"]
 
 
 def test_global_model(model, spark):
@@ -116,7 +125,7 @@ def test_linear_fit(spark):
 def test_retraining(panel):
     scores = panel.groupBy("basin_id").agg(F.lit(-1.0).alias("test_R2"))
     scores = scores.withColumn("test_R2", F.when(F.col("basin_id") == "1", -3.0).otherwise(F.col("test_R2")))
-    out = retrain_bottom(panel, scores, [*COLUMNS, "absent"], "y_log1p", n=2, split_date=SPLIT, params=SMALL)
+    out = retrain_bottom(panel, scores, [*COLUMNS, "absent"], "y_log1p", n=2, split_date=SPLIT)
     got = {r["basin_id"]: r for r in out.collect()}
     assert set(got) == {"0", "1"}
     assert {r["suggested_serving"] for r in got.values()} == {"local_lite"}
@@ -136,7 +145,7 @@ def requests_of(panel):
 @pytest.fixture(scope="module")
 def lite(panel):
     some = panel.filter("basin_id in ('0', '1')")
-    return settle(fit_per_series(some, "y_log1p", COLUMNS, split_date=SPLIT, params=SMALL, prefix="lite"))
+    return settle(fit_per_series(some, "y_log1p", COLUMNS, split_date=SPLIT, prefix="lite"))
 
 
 def policy_of(spark):
@@ -165,40 +174,12 @@ def test_scores_of_a_batch(spark, panel, model, lite):
     assert out.filter("model_used = 'local_lite' and basin_te is not null").count() == 0
 
 
-def test_many_models_go_in_rounds(spark, panel, model, lite, monkeypatch):
+def test_series_can_share_a_model(spark, panel, model, lite):
+    rows = [(b, "local_lite", "lite/1", COLUMNS) for b in ("0", "1")]
+    policy = spark.createDataFrame(rows, "basin_id string, mode string, model_path string, feature_order array<string>")
     requests = requests_of(panel).filter("basin_id in ('0', '1')")
-    args = (requests, policy_of(spark), lite, model)
-    once = sorted(map(str, score(*args).collect()))
-    monkeypatch.setattr(scoring, "MODEL_BYTES", 500)
-    assert sorted(map(str, score(*args).collect())) == once
-
-
-def test_saved_models_score_too(spark, panel, model):
-    some = panel.filter("basin_id = '0'")
-    saved = settle(fit_per_series(some, "y_log1p", COLUMNS, split_date=SPLIT, params=SMALL, prefix="lite", group_rows=10))
-    policy = saved.select("basin_id", F.lit("local_lite").alias("mode"), "model_path", F.col("features_used").alias("feature_order"))
-    requests = requests_of(panel).filter("basin_id in ('0', '2')")
-    out = score(requests, policy, saved, model)
-    assert {(r[0], r[1]) for r in out.select("basin_id", "model_used").distinct().collect()} == {("0", "local_lite"), ("2", "global")}
-    assert out.count() == requests.count()
-
-
-def test_another_trainer(spark, panel, model):
-    """Any object with the four functions can fit and score."""
-
-    class Mean:
-        fit = staticmethod(lambda x, y, params, seed: float(y.mean()))
-        predict = staticmethod(lambda model, x: np.full(len(x), model))
-        dump = staticmethod(lambda model: str(model).encode())
-        load = staticmethod(lambda blob: float(blob))
-
-    some = panel.filter("basin_id = '1'")
-    fitted = settle(fit_per_series(some, "y_log1p", COLUMNS, split_date=SPLIT, prefix="lite", trainer=Mean))
-    mean = some.filter(F.col("date") < SPLIT).agg(F.avg("y_log1p")).first()[0]
-    requests = requests_of(panel).filter("basin_id = '1'")
-    out = score(requests, policy_of(spark), fitted, model, trainer=Mean)
-    got = out.agg(F.min("yhat_log"), F.max("yhat_log"), F.count("*")).first()
-    assert got[0] == got[1] == pytest.approx(mean) and got[2] == requests.count()
+    out = score(requests, policy, lite, model)
+    assert out.count() == requests.count() == out.filter("model_path = 'lite/1' and yhat_log is not null").count()
 
 
 def test_request_vector(spark):
@@ -261,7 +242,7 @@ def test_from_files_to_policy(spark, panel, tmp_path):
     trained = train(stored, split_date=SPLIT, params=params)
     assert trained.target == "y_log1p" and trained.metrics.count() == 4
     assert trained.model.order[-1] == fixed.ENCODED and "area_km2" in trained.model.order
-    done = review(stored, trained, split_date=SPLIT, n_bottom=2, top_k=5, params=params)
+    done = review(stored, trained, split_date=SPLIT, n_bottom=2, top_k=5)
     assert done.summary.count() == 2 and done.lite.count() == 2
     modes = {r["basin_id"]: r["mode"] for r in done.serving.collect()}
     assert set(modes) == set("0123") and set(modes.values()) <= {"global", "local", "local_lite"}
