@@ -16,6 +16,7 @@ from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -26,7 +27,9 @@ PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: Fixed value: white space as the tokenizer library's patterns know it.
 WHITE = "\t-\r \x85\xa0  -     　"
 
-CACHED_WORDS = 220_000
+#: Words remembered at most, and their ids; beyond either, a worker forgets them all.
+CACHED_WORDS = 400_000
+CACHED_IDS = 4_000_000
 #: Words longer than this many characters are not kept in the cache.
 CACHED_CHARS = 64
 
@@ -43,6 +46,9 @@ NONE = 1 << 62
 LOW = 20
 #: Longer sequences are merged with a heap.
 SHORT = 48
+#: Sequences merged together have at most this many symbols each, and are so many at most.
+WIDTHS = [4, 8, 12, 16, 24, 32, SHORT]
+TOGETHER = 20_000
 
 
 class Merger:
@@ -53,6 +59,10 @@ class Merger:
         for i, pair in enumerate(merges):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.rank.setdefault((vocab[left], vocab[right]), i << LOW | vocab[left + right])
+        pairs = np.array([a << LOW | b for a, b in self.rank], dtype=np.int64)
+        order = np.argsort(pairs)
+        self.pairs = np.append(pairs[order], NONE)
+        self.packed = np.append(np.fromiter(self.rank.values(), dtype=np.int64, count=len(pairs))[order], NONE)
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Merge the leftmost pair of the lowest rank until no pair has one."""
@@ -68,6 +78,52 @@ class Merger:
             symbols[i : i + 2] = [best & ((1 << LOW) - 1)]
         return symbols
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Packed rank of each pair of symbols; ``NONE`` where it has none or ``right`` is -1."""
+        keys = np.where(right < 0, NONE, left << LOW | right)
+        at = np.searchsorted(self.pairs, keys)
+        return np.where(self.pairs[at] == keys, self.packed[at], NONE)
+
+    def merge_many(self, rows: list[list[int]]) -> list[list[int]]:
+        """``merge`` of many sequences: every round merges the lowest pair of each sequence at once."""
+        out: list = [None] * len(rows)
+        sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            out[i] = self.merge_long(rows[i])
+        least = -1
+        for width in WIDTHS:
+            some = np.flatnonzero((sizes > least) & (sizes <= width))
+            least = width
+            for k in range(0, len(some), TOGETHER):
+                self._merge_block(rows, some[k : k + TOGETHER], sizes, width, out)
+        return out
+
+    def _merge_block(self, rows: list[list[int]], who: np.ndarray, sizes: np.ndarray, width: int, out: list) -> None:
+        """Merge the sequences ``who`` of at most ``width`` symbols; their last column stays empty."""
+        symbols = np.full((len(who), width + 1), -1, dtype=np.int64)
+        filled = np.arange(width + 1) < sizes[who, None]
+        symbols[filled] = np.fromiter(chain.from_iterable([rows[i] for i in who]), dtype=np.int64, count=int(sizes[who].sum()))
+        rank = self.ranks(symbols[:, :-1], symbols[:, 1:])
+        columns = np.arange(width + 1)
+        while len(who):
+            best = rank.argmin(axis=1)
+            value = rank[np.arange(len(who)), best]
+            going = value < NONE
+            if not going.all():
+                ended = symbols[~going]
+                for i, row, n in zip(who[~going].tolist(), ended.tolist(), (ended >= 0).sum(axis=1).tolist()):
+                    out[i] = row[:n]
+                who, symbols, rank, best, value = (x[going] for x in (who, symbols, rank, best, value))
+            row = np.arange(len(who))
+            source = np.minimum(columns + (columns > best[:, None]), width)
+            symbols = np.take_along_axis(symbols, source, axis=1)
+            symbols[row, best] = value & ((1 << LOW) - 1)
+            rank = np.take_along_axis(rank, np.minimum(source[:, :-1], width - 1), axis=1)
+            rank[row, best] = self.ranks(symbols[row, best], symbols[row, best + 1])
+            inner = row[best > 0]
+            before = best[inner] - 1
+            rank[inner, before] = self.ranks(symbols[inner, before], symbols[inner, before + 1])
+
     def merge_long(self, symbols: list[int]) -> list[int]:
         """The same with a heap of candidate pairs over a linked list."""
         n, rank = len(symbols), self.rank
@@ -115,12 +171,19 @@ class WordBpe:
         for token in self.vocab:
             bare = token.removesuffix(self.suffix)
             self.longest[bare[:3]] = max(self.longest.get(bare[:3], 1), len(bare))
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.names = pa.array(self.tokens, type=pa.string())
+        self.forget()
+        self.own: dict[int, list[int]] = {}
         self.seen = np.zeros(0, dtype=np.int64)
         self.good = np.zeros(0, dtype=bool)
         self.exact_words = self.proposed_words = 0
 
+    def forget(self) -> None:
+        """Remember special tokens only: the number of each white-space separated part, and its ids by number."""
+        self.number: dict = {i: k for k, i in enumerate(self.special.values())}
+        self.ids = np.array(list(self.special.values()), dtype=np.int32)
+        self.begin = np.arange(len(self.ids) + 1)
+
     def symbols(self, piece: str, last: bool) -> list[int]:
         """First symbols of a piece in byte characters; those that the vocabulary lacks are left out."""
         units = list(piece)
@@ -129,35 +192,43 @@ class WordBpe:
         return [self.vocab[u] for u in units if u in self.vocab]
 
     def token_symbols(self, token: int) -> list[int]:
-        text = self.tokens[token]
-        ends = bool(self.suffix) and text.endswith(self.suffix)
-        return self.symbols(text[: -len(self.suffix)] if ends else text, ends)
-
-    def propose(self, word: str) -> list[int]:
-        """Longest vocabulary entry at each place; -1 marks a place where none fits."""
-        get, longest, n, i, out = self.vocab.get, self.longest.get, len(word), 0, []
-        ended = word + self.suffix
-        while i < n:
-            most = longest(word[i : i + 3], 2)
-            token, j = -1, i + 1
-            if i + most >= n:
-                token, j = get(ended[i:], -1), n
-                most = n - i - 1
-            if token < 0:
-                for j in range(i + most, i, -1):
-                    if (token := get(word[i:j], -1)) >= 0:
-                        break
-                else:
-                    j = i + 1
-            out.append(token)
-            i = j
-        return out
-
-    def compatible(self, left: int, right: int) -> bool:
-        """Whether exact merging of the two tokens' symbols gives the two tokens; right -1: whether left gives itself."""
-        if right < 0:
-            return self.merger.merge(self.token_symbols(left)) == [left]
-        return self.merger.merge(self.token_symbols(left) + self.token_symbols(right)) == [left, right]
+        if (held := self.own.get(token)) is None:
+            text = self.tokens[token]
+            ends = bool(self.suffix) and text.endswith(self.suffix)
+            held = self.own[token] = self.symbols(text[: -len(self.suffix)] if ends else text, ends)
+        return held
+
+    def propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Longest vocabulary entry at each place of each word, and how many a word has; -1 marks a place where none fits."""
+        get, longest, out, upto = self.vocab.get, self.longest.get, [], [0]
+        for word in words:
+            n, i = len(word), 0
+            ended = word + self.suffix
+            while i < n:
+                most = longest(word[i : i + 3], 2)
+                token, j = -1, i + 1
+                if i + most >= n:
+                    token, j = get(ended[i:], -1), n
+                    most = n - i - 1
+                if token < 0:
+                    for j in range(i + most, i, -1):
+                        if (token := get(word[i:j], -1)) >= 0:
+                            break
+                    else:
+                        j = i + 1
+                out.append(token)
+                i = j
+            upto.append(len(out))
+        return np.array(out, dtype=np.int64), np.diff(np.array(upto))
+
+    def compatible(self, keys: list[int]) -> list[bool]:
+        """Whether exact merging of two tokens' symbols gives the two tokens; right 0: whether left gives itself.
+
+        A key holds the left token and, in its low bits, one more than the right token.
+        """
+        pairs = [(k >> LOW, (k & ((1 << LOW) - 1)) - 1) for k in keys]
+        merged = self.merger.merge_many([self.token_symbols(a) + (self.token_symbols(b) if b >= 0 else []) for a, b in pairs])
+        return [m == ([a, b] if b >= 0 else [a]) for m, (a, b) in zip(merged, pairs)]
 
     def verdicts(self, keys: np.ndarray) -> np.ndarray:
         """Verdict of each pair key; keys not seen before are judged once and kept, the table being bounded."""
@@ -170,34 +241,41 @@ class WordBpe:
         known[inside] = self.seen[at[inside]] == wanted[inside]
         fresh = wanted[~known]
         if len(fresh):
-            said = np.fromiter((self.compatible(int(k) >> 20, (int(k) & 0xFFFFF) - 1) for k in fresh), dtype=bool, count=len(fresh))
+            said = np.array(self.compatible(fresh.tolist()), dtype=bool)
             keys_all = np.concatenate([self.seen, fresh])
             order = np.argsort(keys_all, kind="stable")
             self.seen, self.good = keys_all[order], np.concatenate([self.good, said])[order]
         return self.good[np.searchsorted(self.seen, keys)]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of pre-split words, speculating first."""
-        mapped = ["".join([self.chars[b] for b in common.encode(w)]) for w in words]
-        proposals = [self.propose(w) for w in mapped]
-        sizes = np.fromiter(map(len, proposals), dtype=np.int64, count=len(proposals))
-        flat = np.fromiter(chain.from_iterable(proposals), dtype=np.int64, count=int(sizes.sum()))
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-split words, speculating first, and how many each word has."""
+        plain = lambda w: w.isascii() and w.isprintable() and " " not in w  # such characters stand for themselves
+        mapped = [w if plain(w) else "".join([self.chars[b] for b in common.encode(w)]) for w in words]
+        flat, sizes = self.propose(mapped)
+        if not len(flat):
+            return flat, sizes
         following = np.empty_like(flat)
         following[:-1] = flat[1:]
         ends = np.cumsum(sizes) - 1
         following[ends] = -1
         holes = flat < 0
-        keys = (np.where(holes, 0, flat) << 20) | (np.where(holes | (following < 0), -1, following) + 1)
+        keys = (np.where(holes, 0, flat) << LOW) | (np.where(holes | (following < 0), -1, following) + 1)
         ok = self.verdicts(keys) & ~holes
         inner = following >= 0
-        own = self.verdicts(flat[inner & ~holes] << 20)
+        own = self.verdicts(flat[inner & ~holes] << LOW)
         ok[np.flatnonzero(inner & ~holes)] &= own
-        failing = np.flatnonzero(~np.logical_and.reduceat(ok, ends - sizes + 1)) if len(flat) else []
-        for i in failing:
-            proposals[i] = self.merger.merge(self.symbols(mapped[i], True))
+        failing = np.flatnonzero(~np.logical_and.reduceat(ok, ends - sizes + 1))
+        exact = self.merger.merge_many([self.symbols(mapped[i], True) for i in failing.tolist()])
+        # exact sequences go behind the proposals, from where each word takes its own
+        first = ends - sizes + 1
+        many = np.fromiter(map(len, exact), dtype=np.int64, count=len(exact))
+        first[failing] = len(flat) + np.cumsum(many) - many
+        sizes[failing] = many
+        flat = np.concatenate([flat, np.fromiter(chain.from_iterable(exact), dtype=np.int64, count=int(many.sum()))])
+        upto = np.cumsum(sizes)
         self.proposed_words += len(words)
         self.exact_words += len(failing)
-        return proposals
+        return flat[np.arange(upto[-1]) + np.repeat(first - (upto - sizes), sizes)], sizes
 
     def chunks(self, text: str) -> list:
         """White-space separated parts of the normalised text; ids of special tokens stand as integers."""
@@ -215,32 +293,39 @@ class WordBpe:
                 out.extend(part.split())
         return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def learn(self, parts: list[str]) -> None:
+        """Encode and number parts not seen before."""
+        words = list(map(self.words.findall, parts))
+        fresh, sizes = self.encode_words(list(chain.from_iterable(words)))
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ends = upto[np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))]
+        first = len(self.begin) - 1
+        self.number.update(zip(parts, range(first, first + len(parts))))
+        self.begin = np.concatenate([self.begin, len(self.ids) + ends])
+        self.ids = np.concatenate([self.ids, fresh.astype(np.int32)])
+
+    def encode(self, texts: list[str]) -> pa.ListArray:
         """Ids of each text."""
-        if len(self.cache) > CACHED_WORDS:
-            self.cache, self.older = {}, self.cache
-        cache, older = self.cache, self.older
+        if len(self.number) > CACHED_WORDS or len(self.ids) > CACHED_IDS:
+            self.forget()
         cut = [self.chunks(t) for t in texts]
-        cache.update((i, (i,)) for i in self.special.values())
-        missing = []
-        for c in set().union(*cut).difference(cache):
-            if (held := older.get(c)) is not None:
-                cache[c] = held
-            else:
-                missing.append(c)
-        words = list(map(self.words.findall, missing))
-        ids = iter(self.encode_words(list(chain.from_iterable(words))))
-        for c, parts in zip(missing, words):
-            cache[c] = tuple(next(ids)) if len(parts) == 1 else tuple(chain.from_iterable([next(ids) for _ in parts]))
-        out = [list(chain.from_iterable(map(cache.__getitem__, parts))) for parts in cut]
-        for c in missing:
-            if len(c) > CACHED_CHARS:
-                del cache[c]
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        """Tokens joined by spaces, as the file names no decoder."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+        missing = list(set().union(*cut).difference(self.number))
+        if missing:
+            self.learn(missing)
+        many = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(many.sum()))
+        size = self.begin[which + 1] - self.begin[which]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = self.ids[np.arange(ends[-1]) + np.repeat(self.begin[which] - ends[:-1], size)]
+        offsets = ends[np.concatenate([[0], np.cumsum(many)])]
+        for part in missing:
+            if len(part) > CACHED_CHARS:
+                del self.number[part]
+        return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(flat))
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The tokens of each list of ids joined by spaces, as the file names no decoder."""
+        return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.names.take(ids.values)), " ")
 
 
 _loaded: dict[str, object] = {}
@@ -269,9 +354,6 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def columns(texts: list[str]) -> dict:
         bpe = loaded(WordBpe, shared)
         ids = bpe.encode(texts)
-        offsets = np.zeros(len(ids) + 1, dtype=np.int32)
-        np.cumsum([len(x) for x in ids], out=offsets[1:])
-        flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))
-        return {"ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), "decoded": [bpe.decode(x) for x in ids]}
+        return {"ids": ids, "decoded": bpe.decode(ids)}
 
     return common.map_texts(df, columns, {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())})
