@@ -68,3 +68,12 @@ def test_chunk_maps_do_not_depend_on_the_chunks(rows, monkeypatch, chunk):
     whole = counter.count(texts)
     monkeypatch.setattr(token_counts, "CHUNK", chunk)
     assert counter.count(texts) == whole
+
+
+def test_merging_together_equals_merging_alone(rows):
+    with open(queries.vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
+        coder = bpe.WordBpe(f.read())
+    words = ["", "a", "zz" * 40, "abc" * 16, *{w for _, t in rows for w in (t or "").split() if w.isascii()}]
+    symbols = [coder.symbols(w, True) for w in words]
+    assert coder.merger.merge_many([list(s) for s in symbols]) == [coder.merger.merge(list(s)) for s in symbols]
+    assert coder.merger.merge_many([]) == []
