@@ -6,7 +6,9 @@ are projected into it and searched by cosine. A candidate is confirmed if the lo
 covers enough of the passage, or somewhat less of it and also the answer: the item's own answer column if it has one,
 else the last sentence.
 
-Items go in blocks of bounded size; documents are scanned whole, once per block. Words are lower-cased, ASCII
+Passages go in blocks of bounded size by their running number; the latent space of a block keeps all directions of its
+passages. Documents are scanned whole, once per block, and an item's best window over all blocks counts. A passage that
+stands verbatim in a document always becomes a candidate (``HALF_COVER``). Words are lower-cased, ASCII
 punctuation separates them. Null and empty texts and items match nothing. Items that are equal match the same
 documents. Rows may repeat: each is judged by itself, and the result has a row per id, text and item.
 """
@@ -31,12 +33,14 @@ STRETCH = 2048
 #: Words of a window; windows begin every half. Words of a passage at most.
 WINDOW = 64
 PASSAGE = 48
-#: Items of at most this many passages together form a block.
-BLOCK = 512
-RANK = 256
+#: Passages of a block.
+BLOCK = 248
 #: Cosine, and share of a passage's own weight, at which a window becomes a candidate.
 COSINE = 0.45
 COVER = 0.35
+#: Share of a passage's own weight that makes a window a candidate whatever else it holds. Of the windows over a verbatim
+#: copy, one has half of its weight at least, but heavier words beside a copy of common ones bring the cosine down.
+HALF_COVER = 0.49
 #: Weight from which a word tells passages apart; lighter ones can't make a candidate by themselves.
 TELLING = 1.5
 #: Share of a passage's words that must be common, alone and together with the answer.
@@ -146,7 +150,7 @@ class Block:
             here = (np.log1p(times) / np.log(2) * self.weight[own]) @ self.basis[own]
             dots = self.latent @ here
             near = dots / (self.norm * max(float(np.linalg.norm(here)), 1e-12))
-            for k in np.flatnonzero((near >= COSINE) & (dots >= COVER * self.norm**2)):
+            for k in np.flatnonzero(((near >= COSINE) & (dots >= COVER * self.norm**2)) | (dots >= HALF_COVER * self.norm**2)):
                 begin = max(0, part * half - half)
                 around = words[begin : part * half + WINDOW + half]
                 share = common_words(self.passages[k], around) / len(self.passages[k])
@@ -193,9 +197,9 @@ def latent_space(passages: DataFrame, vocabulary: np.ndarray, weight: np.ndarray
     """Basis of the latent space: randomised SVD of the passages' TF-IDF matrix with one power step.
 
     Tasks form their rows' part of the product of the matrix, its transpose and a thin matrix; the sum has the
-    vocabulary's size by the rank.
+    vocabulary's size by the rank. The rank is that of the passages, so none of them loses a part.
     """
-    rank = min(RANK, count + 8, len(vocabulary))
+    rank = min(count + 8, len(vocabulary))
     context = passages.sparkSession.sparkContext
     thin = np.random.default_rng(7).standard_normal((len(vocabulary), rank))
     for _ in range(2):
@@ -221,7 +225,7 @@ def latent_space(passages: DataFrame, vocabulary: np.ndarray, weight: np.ndarray
         thin = np.zeros_like(thin)
         thin[summed["slot"].to_numpy(), summed["k"].to_numpy()] = summed["v"].to_numpy()
     left, strength, _ = np.linalg.svd(thin, full_matrices=False)
-    return left[:, strength > 1e-9 * max(strength.max(initial=0), 1e-300)]
+    return left[:, strength > 1e-12 * max(strength.max(initial=0), 1e-300)]
 
 
 def passages_of(items: DataFrame, item_col: str, text_col: str, answer_col: str | None) -> DataFrame:
@@ -247,9 +251,22 @@ def passages_of(items: DataFrame, item_col: str, text_col: str, answer_col: str
     return df.mapInArrow(run, "item_id bigint, passage string, answer string")
 
 
+def numbered(passages: DataFrame) -> DataFrame:
+    """The distinct passages with their running ``number``, stored; no task sees all of them."""
+    ordered = passages.distinct().orderBy("item_id", "passage", "answer")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+    held = store(ordered.withColumns({"part": F.spark_partition_id(), "place": place}), "passages")
+    sizes = sorted((r["part"], r["count"]) for r in held.groupBy("part").count().collect())
+    before, first = 0, [F.lit(-1), F.lit(0).cast("long")]
+    for part, size in sizes:
+        first += [F.lit(part), F.lit(before).cast("long")]
+        before += size
+    return held.select("item_id", "passage", "answer", (F.create_map(*first)[F.col("part")] + F.col("place")).alias("number"))
+
+
 def make_block(df: DataFrame, passages: DataFrame) -> Block | None:
     """Latent space of one block of passages, with weights from all documents ``df``."""
-    rows = passages.distinct().orderBy("item_id", "passage").collect()
+    rows = passages.orderBy("number").collect()
     if not rows:
         return None
     cut = [r["passage"].encode().split() for r in rows]
@@ -270,15 +287,14 @@ def contaminated(
 ) -> DataFrame:
     """``doc_id, row, item_id, first_word, cosine, common_share, answer_found`` for each document and item found in it."""
     df = common.with_row(common.documents(docs, id_col, text_col))
-    passages = store(passages_of(items, item_col, item_text_col, answer_col), "passages")
+    passages = numbered(passages_of(items, item_col, item_text_col, answer_col))
     blocks = -(-passages.count() // BLOCK)
-    spread = F.pmod(F.xxhash64("item_id"), F.lit(max(blocks, 1)))
     schema = "doc_id bigint, row bigint, item_id bigint, first_word int, cosine double, common_share double, answer_found boolean"
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.bool_()]
     names = ["doc_id", "row", "item_id", "first_word", "cosine", "common_share", "answer_found"]
     out = None
     for k in range(blocks):
-        block = make_block(df, passages.where(spread == k))
+        block = make_block(df, passages.where(F.col("number").between(k * BLOCK, (k + 1) * BLOCK - 1)))
         if block is None:
             continue
         shared = df.sparkSession.sparkContext.broadcast(block)
@@ -295,4 +311,7 @@ def contaminated(
         out = part if out is None else out.union(part)
     if out is None:
         return df.sparkSession.createDataFrame([], schema)
-    return out.distinct()
+    # passages of one item may be in several blocks
+    best = F.max(F.struct("common_share", "cosine", (-F.col("first_word")).alias("place"), "answer_found")).alias("best")
+    grouped = out.groupBy("doc_id", "row", "item_id").agg(best)
+    return grouped.select("doc_id", "row", "item_id", (-F.col("best.place")).alias("first_word"), "best.cosine", "best.common_share", "best.answer_found")

@@ -170,6 +170,23 @@ def test_decontamination_finds_every_verbatim_item(spark):
     assert exact <= got and len(got - exact) <= 0.05 * len(exact) + 1
 
 
+def test_decontamination_finds_verbatim_copies_of_common_and_rare_items(spark):
+    """500 passages, each in some document; ten of them in a third of all, partly beside rare ones."""
+    made = [(i, " ".join(f"p{i}w{k}" if k % 3 else f"shared{(i * 7 + k) % 90}" for k in range(38))) for i in range(500)]
+    made += [(900, " ".join(f"long{k}" for k in range(48 * 300)))]
+    texts, expected = [], set()
+    for d in range(300):
+        held = [i for i in range(500) if i % 300 == d]
+        order = [x for pair in zip(range(10), held * 10) for x in pair] if d % 3 == 0 else held
+        texts.append((d, prose(d, d % 50) + " " + " ".join(made[i][1] for i in order) + " " + prose(d + 1000, 30)))
+        expected |= {(d, i) for i in order}
+    texts.append((900, made[500][1]))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    found = decontaminate.contaminated(df, spark.createDataFrame(made, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in found}
+    assert expected | {(900, 900)} == got and len(found) == len(got)
+
+
 def test_common_words():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
