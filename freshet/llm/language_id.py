@@ -3,7 +3,8 @@
 Texts become normalised TF-IDF vectors of hashed character n-grams. Document frequencies cover all labelled rows;
 the centroids come from spherical k-means on a bounded sample of them (``SAMPLE`` rows per language, by hash of
 the text; a text that stands in many rows enters once). A text belongs to the language of the centroid with the largest cosine. It is rejected if that cosine
-is far below those of training texts of its length, or if it has no letter.
+is far below those of training texts of its length, or if it has no letter. Texts of one word repeated over and over are
+unlike other texts of their length and may be rejected too.
 
 Null, empty and letterless texts are ``und`` with score 0 and rejected. Without labelled rows every text is ``und``.
 """
@@ -26,8 +27,12 @@ CENTROIDS = 4
 #: Labelled rows per language that the centroids are fitted on, about.
 SAMPLE = 800
 ROUNDS = 12
-#: A cosine below this share of the smallest of training texts of the same length class is rejected.
+#: A cosine below this share of a low quantile of training texts of the same length class is rejected. The smallest would
+#: be that of a single odd text.
 REJECT = 0.5
+LOW = 0.05
+#: Training texts that a quantile needs; a class with fewer takes those of the nearest classes along.
+LEAST = 20
 LENGTHS = 20
 #: Texts of fewer than 2 ** SHORT n-grams are too short to be told from other languages, so they are not rejected.
 SHORT = 7
@@ -110,6 +115,15 @@ def cluster(rows: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
+def floors(near: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Smallest cosine accepted by length class, from the cosines and length classes of training texts."""
+    floor = np.zeros(LENGTHS)
+    for c in range(SHORT, LENGTHS):
+        away = np.abs(size - c)
+        floor[c] = REJECT * np.quantile(near[away <= np.sort(away)[min(LEAST, len(away)) - 1]], LOW)
+    return floor
+
+
 def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Model from the rows where ``learn`` holds and the language is not null."""
     common.small_batches(docs.sparkSession)
@@ -156,12 +170,7 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
         pdf = pdf.sort_values(["vector"])
         rows = np.stack([np.frombuffer(v, dtype=np.float32) for v in pdf["vector"]])
         made = cluster(rows, CENTROIDS)
-        near = (rows @ made.T).max(axis=1)
-        floor = np.zeros(LENGTHS)
-        for c in range(LENGTHS):
-            at_least = near[pdf["size"].to_numpy() <= c]
-            if len(at_least) and c >= SHORT:
-                floor[c] = REJECT * at_least.min()
+        floor = floors((rows @ made.T).max(axis=1), pdf["size"].to_numpy())
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centre": [c.astype(np.float32).tobytes() for c in made], "floor": [floor.tolist()] * len(made)})
 
     # copies share their draw, so a text in a third of all rows would come with all of them

@@ -71,6 +71,33 @@ def test_language_id(spark, docs, nothing):
     assert language_id.known(noise, model).count() < 2
 
 
+def test_language_id_rejects_long_noise_and_keeps_clean_texts(spark):
+    import random
+    import string
+
+    sample = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = language_id.fit(sample, ~held_out)
+    rng = random.Random(5)
+    kinds = [string.ascii_lowercase, *("".join(chr(a + i) for i in range(n)) for a, n in ((0x430, 32), (0x3B1, 24), (0x3042, 80), (0x4E00, 3000), (0x905, 50)))]
+    for letters in kinds:
+        for n in (300, 1000):
+            for _ in range(5):
+                assert model.predict(" ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(n)))[2], (letters[0], n)
+    texts = [r["text"] for r in sample.where(held_out).select("text").collect()]
+    clean = [t for t in texts if any(c.isalpha() for c in t) and len(set(t.lower().split())) >= 0.35 * len(t.split())]
+    assert len(clean) > 0.9 * len(texts)
+    assert [t[:80] for t in clean if model.predict(t)[2]] == []
+
+
+def test_language_id_floor_is_that_of_the_length():
+    import numpy as np
+
+    near, size = np.array([0.05] * 30 + [0.8] * 40 + [0.1]), np.array([2] * 30 + [12] * 40 + [12])
+    floor = language_id.floors(near, size)
+    assert floor[12] == floor[19] == 0.4 and floor[: language_id.SHORT].max() == 0
+
+
 def test_quality(spark, docs, nothing):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     scored = queries.op9_quality_crf(spark, SF).join(labels, "doc_id").where("held_out")
