@@ -2,9 +2,10 @@
 
 Base entities are e-mail addresses, IP addresses, payment cards and phone numbers, found by pattern and validated.
 Terms that reveal an entity are found from how they occur with it in the corpus: with n documents, n_t of them holding
-term t, n_e entity e and n_te the term next to the entity, the term discloses log(n n_te / (n_t n_e)) of the entity's
-log(n / n_e) bits. Terms over ``REMOVE`` of that are removed, over ``GENERALISE`` replaced by a general word. A term
-needs three different contexts of the entity, so that copies of one document are not evidence.
+term t, n_e entity e and n_te both, wherever they stand in it, the term discloses log(n n_te / (n_t n_e)) of the entity's
+log(n / n_e) bits. Terms are runs of letters and digits of any length that are not part of an entity. Terms over ``REMOVE``
+of that are removed, over ``GENERALISE`` replaced by a general word. A term needs three different contexts of the entity: three
+that hold the term, or three documents that do and differ in their context, so that copies of one document are not evidence.
 
 A null or empty text has no spans. Rows with equal id and text are one document and get the same spans.
 """
@@ -32,12 +33,12 @@ TRIGGERS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 ORDER = [*KINDS, TERM]
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 MARK, PLAIN = "\x01", "\x02"
-#: Code points on either side of an entity, within its line, whose words count as occurring with it.
+#: Code points on either side of an entity that tell its contexts apart.
 AROUND = 120
 MIN_CONTEXTS = 3
 GENERALISE = 0.85
 REMOVE = 0.95
-WORD = r"\p{L}{4,}"
+WORD = r"[\p{L}\p{N}]++"
 #: Stands for a generalised term.
 GENERAL_WORD = "[WORD]"
 
@@ -54,7 +55,7 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _matches(df: DataFrame, kind: str, pattern: Column) -> DataFrame:
-    """Every match in ``text`` with its place and up to ``AROUND`` code points of its line on both sides.
+    """Every match in ``text`` with its place and up to ``AROUND`` code points on both sides.
 
     Matches are set between marks and the text is split there, so every second part is a match; a part's place is
     the running sum of the lengths before it.
@@ -67,8 +68,8 @@ def _matches(df: DataFrame, kind: str, pattern: Column) -> DataFrame:
             lambda x, i: F.struct(
                 F.length(x).alias("n"),
                 F.when(i % 2 == 1, x).alias("value"),
-                F.when(i % 2 == 1, F.substring_index(F.right(F.element_at("parts", i), F.lit(AROUND)), "\n", -1)).alias("before"),
-                F.when(i % 2 == 1, F.substring_index(F.left(F.element_at("parts", i + 2), F.lit(AROUND)), "\n", 1)).alias("after"),
+                F.when(i % 2 == 1, F.right(F.element_at("parts", i), F.lit(AROUND))).alias("before"),
+                F.when(i % 2 == 1, F.left(F.element_at("parts", i + 2), F.lit(AROUND))).alias("after"),
             ),
         )
     ).alias("i", "part")
@@ -110,12 +111,24 @@ def disclosing_terms(df: DataFrame, base: DataFrame) -> DataFrame | None:
     ``share`` is the largest part of an entity's information that the term gives.
     """
     entity = F.when(F.col("kind") == "email", F.lower("value")).otherwise(F.regexp_replace("value", "[^0-9.]", ""))
-    near = base.select("doc_id", "kind", entity.alias("entity"), F.xxhash64("context").alias("at"), "context")
+    near = base.select("doc_id", "row", "kind", entity.alias("entity"), F.xxhash64("context").alias("at"), "context")
     entities = near.groupBy("kind", "entity").agg(F.count_distinct("doc_id").alias("n_e"), F.count_distinct("at").alias("contexts"))
-    entities = entities.where(F.col("contexts") >= MIN_CONTEXTS)
-    together = near.join(entities.select("kind", "entity", "n_e"), ["kind", "entity"]).select("kind", "entity", "n_e", "doc_id", "at", F.explode(_terms(F.col("context"))).alias("term"))
-    together = together.groupBy("kind", "entity", "n_e", "term").agg(F.count_distinct("doc_id").alias("n_te"), F.count_distinct("at").alias("contexts"))
-    together = store(together.where(F.col("contexts") >= MIN_CONTEXTS), "together")
+    entities = store(entities.where(F.col("contexts") >= MIN_CONTEXTS).select("kind", "entity", "n_e"), "entities")
+    near = common.join_small(near, entities, ["kind", "entity"], "inner")
+    beside = near.select("kind", "entity", "n_e", "at", F.explode(_terms(F.col("context"))).alias("term"))
+    beside = beside.groupBy("kind", "entity", "n_e", "term").agg(F.count_distinct("at").alias("contexts"))
+    # An entity's several places in a row are one context of the whole text.
+    rows = store(near.groupBy("doc_id", "row", "kind", "entity", "n_e").agg(F.min("at").alias("at")), "entity-rows")
+    inside = common.join_small(base, store(rows.select("doc_id", "row").distinct(), "entity-texts"), ["doc_id", "row"], "left_semi")
+    inside = store(inside.groupBy("doc_id", "row").agg(F.array_join(F.collect_set("value"), MARK).alias("inside")), "inside")
+    texts = common.join_small(df, inside, ["doc_id", "row"], "inner").dropDuplicates(["doc_id", "row"])
+    outside = F.aggregate(F.split("inside", MARK), F.col("text"), lambda text, value: F.replace(text, value, F.lit("\n")))
+    texts = texts.select("doc_id", "row", _terms(outside).alias("terms"))
+    whole = common.join_small(texts, rows, ["doc_id", "row"], "inner").select("doc_id", "kind", "entity", "n_e", "at", F.explode("terms").alias("term"))
+    whole = whole.groupBy("kind", "entity", "n_e", "term").agg(F.count_distinct("doc_id").alias("n_te"), F.count_distinct("at").alias("apart"))
+    together = whole.join(beside, ["kind", "entity", "n_e", "term"], "left")
+    enough = (F.least("n_te", "apart") >= MIN_CONTEXTS) | (F.col("contexts") >= MIN_CONTEXTS)
+    together = store(together.where(enough).select("kind", "entity", "n_e", "term", "n_te"), "together")
     if together.isEmpty():
         return None
     candidates = store(together.select("term").distinct(), "candidates")
@@ -134,7 +147,7 @@ def term_spans(df: DataFrame, terms: DataFrame) -> DataFrame:
     """Spans of disclosing terms, like those of ``base_spans``; ``value`` is the term, ``share`` what it discloses."""
     per_row = store(terms.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("term")).alias("terms")), "terms")
     held = common.join_small(df, per_row, ["doc_id", "row"], "inner").dropDuplicates(["doc_id", "row"])
-    any_of = F.concat(F.lit(r"(?<!\p{L})(?iu:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
+    any_of = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?iu:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     found = _matches(held, TERM, any_of)
     shares = store(terms.select("term", "share").distinct(), "shares")
     return common.join_small(found.withColumn("term", F.lower("value")), shares, ["term"], "inner").select(*found.columns, "share")

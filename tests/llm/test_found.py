@@ -56,6 +56,18 @@ def test_pii_terms_and_sanitising(spark):
     assert out[101] == rows[7][1] and out[201] == ""
 
 
+def test_pii_terms_anywhere_in_the_document(spark):
+    """Names on another line, of two or three letters, with digits, and far from the entity disclose it too."""
+    rows = [(i, f"{prose(i * 31, 5)}\nDr Li Zyx\njane@corp.org\n{prose(i * 17 + 300, 60)}\nroom B7, case 83321") for i in range(5)]
+    rows += [(100 + i, f"{prose(i + 50, 20)} at the corp room") for i in range(300)] + [(900 + i, "same copy Qux1 of joe@corp.org") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = pii.spans(df).where("kind = 'term' AND doc_id < 5").collect()
+    assert {"Dr", "Li", "Zyx", "B7", "case", "83321"} <= {r["value"] for r in found}
+    assert {"room", "corp", "org", "jane"}.isdisjoint(r["value"] for r in found)
+    out = {r["doc_id"]: r["sanitised"] for r in pii.sanitise(df, pii.spans(df)).collect()}
+    assert not any(w in out[0] for w in ("Li", "Zyx", "83321", "jane")) and "Qux1" in out[900] and out[100] == rows[5][1]
+
+
 def test_language_id(spark, docs, nothing):
     sample = spark.read.parquet(f"{SF}/documents.parquet")
     scored = queries.op2_language_id(spark, SF).join(sample.select("doc_id", "lang"), "doc_id").where("held_out")
