@@ -32,8 +32,7 @@ from freshet.operators.metrics import (
 from freshet.operators.policy import suggest_retrained
 from freshet.operators.split import (
     cap_per_series,
-    cap_total,
-    capped_counts,
+    fitting_cap,
     pooled_split,
     restrict_to,
     temporal_split,
@@ -93,16 +92,17 @@ def global_rows(
     split_date: str = fixed.SPLIT_DATE,
     caps: dict[str, int] | None = None,
     max_train: int = fixed.MAX_TRAIN,
-    max_test: int = fixed.MAX_TEST,
     key: str = fixed.KEY,
     time: str = fixed.TIME,
 ) -> tuple[DataFrame, DataFrame]:
     """Training table of the pooled model, and the encoding.
 
-    Encoding and medians use all train rows; the caps per series and in total then bound the table.
+    Encoding and medians use all train rows. ``caps`` then bound the rows per series of the sides they name, by
+    default of the train side only: all test rows stay. The train cap is lowered, for every series alike, until
+    at most ``max_train`` train rows are left.
     Excluded columns are set to zero and take no part in imputation.
     """
-    caps = caps or {"train": fixed.CAP_TRAIN, "test": fixed.CAP_TEST}
+    caps = caps or {"train": fixed.CAP_TRAIN}
     base = [c for c in order if c != fixed.ENCODED]
     rows = ensure_columns(temporal_split(features, target, split_date, key=key, time=time), base)
     rows = rows.select(key, time, "side", target, *_doubles(base))
@@ -110,13 +110,12 @@ def global_rows(
     encoding = settle(fit_target_encoding(train, target, key=key))
     middle = median_columns(base)
     medians = train_medians(train, middle, key=key) if middle else None
-    counts = rows.groupBy(key).agg(
-        F.count_if(F.col("side") == "train").alias("n_train"),
-        F.count_if(F.col("side") == "test").alias("n_test"),
-    )
-    taken = cap_total(capped_counts(counts, caps["train"], caps["test"]), max_train, max_test, key=key)
+    if "train" in caps:
+        counts = train.groupBy(key).agg(F.count("*").alias("n_train"))
+        caps = {**caps, "train": fitting_cap(counts, caps["train"], max_train)}
     # Caps first: what follows works on the rows that stay.
-    rows = cap_per_series(restrict_to(rows, taken, key=key), caps, key=key, time=time)
+    capped = F.col("side").isin(*caps)
+    rows = cap_per_series(rows.filter(capped), caps, key=key, time=time).unionByName(rows.filter(~capped))
     if exclusions is not None:
         rows = exclude_columns(rows, exclusions, base, fill=0.0, key=key)
     rows = impute_rules(rows, base, medians, key=key)

@@ -176,6 +176,15 @@ def capped_counts(counts: DataFrame, cap_train: int, cap_test: int) -> DataFrame
     )
 
 
+def fitting_cap(counts: DataFrame, cap: int, total: int) -> int:
+    """The largest cap per series, up to ``cap``, with which all series together have at most ``total`` rows; 1 at least."""
+    sizes = settle(counts.groupBy(F.least("n_train", F.lit(cap)).alias("n")).agg(F.count("*").alias("series")))
+    held = {r["n"]: r["series"] for r in sizes.collect()}  # one row per size up to the cap
+    while cap > 1 and sum(min(n, cap) * series for n, series in held.items()) > total:
+        cap -= 1
+    return cap
+
+
 def cap_total(
     counts: DataFrame,
     max_train: int = fixed.MAX_TRAIN,

@@ -60,9 +60,7 @@ def training_summary(training: Training) -> DataFrame:
             "num_basin_models": count,
             "target": F.lit(training.target),
             "cap_train": F.lit(fixed.CAP_TRAIN),
-            "cap_test": F.lit(fixed.CAP_TEST),
             "max_train": F.lit(fixed.MAX_TRAIN),
-            "max_test": F.lit(fixed.MAX_TEST),
         }
     )
 

@@ -11,6 +11,7 @@ from freshet.operators.features import build_features
 from freshet.operators.models import (
     fit_baseline,
     fit_global,
+    global_rows,
     fit_linear_per_series,
     fit_per_series,
     named_importance,
@@ -52,6 +53,19 @@ def model(panel):
     return fit_global(panel, "y_log1p", [*COLUMNS, fixed.ENCODED], split_date=SPLIT, params=SMALL)
 
 
+def test_global_rows_keep_every_series_and_all_test_rows(panel):
+    options = {"split_date": "2001-01-01"}
+    valid = panel.filter("y_log1p is not null").withColumn("side", F.when(F.col("date") < "2001-01-01", "train").otherwise("test"))
+    test_rows = {r["basin_id"]: r["count"] for r in valid.filter("side = 'test'").groupBy("basin_id").count().collect()}
+    assert max(test_rows.values()) > fixed.CAP_TEST
+    for most, cap in ((10**6, 366), (40, 10)):
+        rows, _ = global_rows(panel, "y_log1p", [*COLUMNS, fixed.ENCODED], max_train=most, **options)
+        got = {(r["basin_id"], r["side"]): r["count"] for r in rows.groupBy("basin_id", "side").count().collect()}
+        assert {b: n for (b, side), n in got.items() if side == "test"} == test_rows
+        assert {b for b, side in got if side == "train"} == set(test_rows)
+        assert all(n <= cap for (_, side), n in got.items() if side == "train")
+
+
 def test_per_series_models(panel):
     fitted = fit_per_series(panel, "y_log1p", COLUMNS, split_date=SPLIT).collect()
     got = {r["basin_id"]: r for r in fitted}
