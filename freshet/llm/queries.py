@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import importlib
+import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm import bpe, common, decontaminate, fingerprints, language_id, line_dedup, ngram_join, pii, quality_crf, substring_dedup, token_counts
+from freshet.llm import bpe, common, decontaminate, fingerprints, language_id, line_dedup, merkle, ngram_join, pii, quality_crf, substring_dedup, token_codes, token_counts, whitening
 from freshet.session import store
 
 
@@ -100,12 +102,77 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.drop("row")
 
 
+def op11_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and ids, read back from the written code segments."""
+    written = token_codes.write(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end=1)
+    return token_codes.read(written, lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), "ids_crc32", ("bigint", pa.int64()))
+
+
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and what a claimed leaf folds to."""
+    lowered = F.translate("text", merkle.UPPER, merkle.LOWER)
+    rows = merkle.leaves(_documents(spark, sf_dir), MANIFEST_FIELDS, _remainder(5) == 0, lowered)
+    proved = merkle.manifest(rows)
+    return proved.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding, whitened on the first 16 components."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 16)
+
+
 QUERIES = {q.__name__: q for q in (
     op1_pii, op2_language_id, op3_bpe_encode_decode, op4_token_counts, op5_ngram_jaccard_join, op6_line_dedup, op7_fingerprints, op8_substring_dedup, op9_quality_crf,
-    op10_benchmark_decontamination,
+    op10_benchmark_decontamination, op11_token_codes, op12_merkle_manifest, op13_whitening,
 )}
 
+def _manifest_sql(levels: int = 6) -> str:
+    """SQL of the manifest for groups of up to 16 ** ``levels`` rows, and as many groups."""
+    mark = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    fields = [f"d.{c}" for c in MANIFEST_FIELDS]
+    lowered = f"translate(d.text, '{merkle.UPPER}', '{merkle.LOWER}')"
+    plain, other = (f"sha256({' || '.join(map(mark, x))})" for x in (fields, [*fields[:-1], lowered]))
+    # CRC-32 of the decimal id, bit by bit
+    bits = "list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: CAST(0 AS BIGINT))), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    held = (
+        f"mod(xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(d.doc_id AS VARCHAR), ''), "
+        f"lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: {bits})), 5) = 0"
+    )
+    parts = [
+        f"""rows AS (SELECT d.doc_id, d.source AS g, {plain} AS leaf, CASE WHEN {held} THEN {other} ELSE {plain} END AS claimed FROM documents d),
+a0 AS (SELECT g, leaf AS node, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n, doc_id, claimed FROM rows)"""
+    ]
+
+    def tree(name: str, key: str) -> None:
+        for k in range(levels):
+            parts.append(
+                f"""{name}{k + 1} AS (SELECT {key}, CASE WHEN n > 1 THEN sha256(string_agg(node, '' ORDER BY pos)) ELSE max(node) END AS node,
+    pos // 16 AS pos, CAST(ceil(n / 16.0) AS BIGINT) AS n FROM {name}{k} GROUP BY {key}, pos // 16, n),
+{name}s{k} AS (SELECT x.{key}, x.pos, coalesce(string_agg(y.node, '' ORDER BY y.pos) FILTER (WHERE y.pos < x.pos), '') AS l,
+    coalesce(string_agg(y.node, '' ORDER BY y.pos) FILTER (WHERE y.pos > x.pos), '') AS r, x.n
+    FROM {name}{k} x JOIN {name}{k} y ON x.{key} IS NOT DISTINCT FROM y.{key} AND x.pos // 16 = y.pos // 16 GROUP BY x.{key}, x.pos, x.n)"""
+            )
+
+    tree("a", "g")
+    parts.append(f"b0 AS (SELECT 1 AS u, g, node, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM a{levels})")
+    tree("b", "u")
+    parts.append(f"f0 AS (SELECT a.doc_id, a.node AS leaf, a.g, a.pos, b.node AS subroot, b.pos AS gpos, t.node AS root, a.claimed AS h, '' AS proof FROM a0 a JOIN b0 b ON a.g IS NOT DISTINCT FROM b.g, b{levels} t)")
+    step = 0
+    for name, pos, key in (("a", "pos", "s.g IS NOT DISTINCT FROM f.g AND "), ("b", "gpos", "")):
+        for k in range(levels):
+            parts.append(
+                f"f{step + 1} AS (SELECT f.* REPLACE (CASE WHEN s.n > 1 THEN sha256(s.l || f.h || s.r) ELSE f.h END AS h, f.proof || s.l || s.r AS proof) "
+                f"FROM f{step} f JOIN {name}s{k} s ON {key}s.pos = f.{pos} // {16**k})"
+            )
+            step += 1
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified FROM f{step}"
+
+
 SQL: dict[str, str] = {
+    "op12_merkle_manifest": _manifest_sql(),
     "op5_ngram_jaccard_join": r"""
 WITH RECURSIVE words AS (
     SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
