@@ -185,7 +185,8 @@ def descend(rounds: list[DataFrame], ends: list[DataFrame], tops: DataFrame, fin
         if below is not None:
             outer = outer.union(below)
         last, made = (finish, schema) if turn == 0 else (handed, f"group string, block bigint, {PATH}")
-        given = rounds[turn].groupBy(*_KEY).cogroup(outer.groupBy(*_KEY))
+        outer = outer.select(F.col("group").alias("outer_group"), F.col("block").alias("outer_block"), "path", "subroot", "root")
+        given = rounds[turn].groupBy(*_KEY).cogroup(outer.groupBy("outer_group", "outer_block"))
         below = given.applyInPandas(joined(last), made)
         if turn:
             below = store(below, "outer")
