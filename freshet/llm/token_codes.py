@@ -16,10 +16,13 @@ table has no segments. A text of any length is one document of one segment.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
+import unicodedata
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +41,15 @@ CHUNK_BITS = 8
 MAGIC = b"DAC1"
 WORDS = 8
 
-#: White-space separated words remembered at most, and their ids; beyond either, a worker forgets them all.
-CACHED_WORDS = 100_000
-CACHED_IDS = 1_000_000
-#: Words longer than this many characters are not kept.
+#: White-space separated words remembered at most, their pieces and ids; beyond any, a worker forgets them all.
+CACHED_WORDS = 300_000
+CACHED_IDS = 3_000_000
+#: Words and pieces longer than this many characters are not kept.
 CACHED_CHARS = 64
+#: New pieces are handed to the library so many at a time.
+TOGETHER = 256
+#: Characters tried for agreement: Latin ones and general punctuation.
+TRIED = [9, 10, 13, *range(0x20, 0x250), *range(0x2010, 0x2028)]
 
 
 def encode_codes(ids: np.ndarray) -> bytes:
@@ -108,60 +115,144 @@ class Codes:
         return out
 
 
+def _gather(ids: np.ndarray, begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the given entries in a row, and how many each has."""
+    size = begin[which + 1] - begin[which]
+    upto = np.cumsum(size)
+    return ids[np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin[which] - (upto - size), size)], size
+
+
+_NONE = (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))
+
+
 class Library:
-    """The tokenizer library's ids, each distinct word being encoded once where white space separates words."""
+    """The tokenizer library's ids. Each distinct word, and each piece that the file's own pattern cuts it into, is encoded once.
+
+    Cutting is done here for characters on whose class and lower case the library and Python's pattern are found to
+    agree; words with any other character, or with a special token, go to the library as they are.
+    """
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = sorted({f(t[:2]) for t in special for f in (str, str.lower, str.upper)})
-        self.odd = regex.compile(f"[{bpe.WHITE}]+")
-        one = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
-        #: Whether the file drops white space and looks at each word alone.
-        self.by_word = one("The  end\n") == one("The") + one("end") and not one(" \n")
+        self.white = regex.compile(f"[{bpe.WHITE}]+")
+        self.chars = bpe.byte_chars()
+        self.pattern = self._pattern(json.loads(spec))
+        # the same model without normalising and cutting
+        self.merger = Tokenizer(self.tokenizer.model)
+        self.merger.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.forget()
 
+    def _pattern(self, whole: dict) -> regex.Pattern | None:
+        """The pattern that cuts a text into pieces, if the file drops all else; also sets ``odd``."""
+        steps = whole["pre_tokenizer"].get("pretokenizers", [])
+        if [p["type"] for p in steps] != ["Split", "ByteLevel"] or steps[0]["behavior"] != "Removed" or not steps[0]["invert"] or steps[1]["use_regex"] or steps[1]["add_prefix_space"]:
+            return None
+        suffix = whole["model"].get("end_of_word_suffix")
+        if not suffix:
+            return None
+        vocab = whole["model"]["vocab"]
+        self.is_end = np.zeros(1 + max(vocab.values()), dtype=bool)
+        self.is_end[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        pattern = regex.compile(steps[0]["pattern"]["Regex"].replace(r"\s", bpe.WHITE))
+
+        def agreed(c: str) -> bool:
+            for text in (c, f"a{c}b", f"1{c}1", f"#{c}#", c + c):
+                normal = self.tokenizer.normalizer.normalize_str(text)
+                if [normal[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)] != pattern.findall(text.lower()):
+                    return False
+            return not unicodedata.combining(c)
+
+        plain = [c for c in map(chr, TRIED) if agreed(c)]
+        self.odd = re.compile("|".join([f"[^{''.join(map(re.escape, plain))}]", *map(re.escape, self.marks)]))
+        return regex.compile(f"{pattern.pattern}|\n")
+
     def forget(self) -> None:
+        """Remember nothing but the line break between words, which is piece 0 and has no ids."""
         self.number: dict[str, int] = {}
         self.ids = np.zeros(0, dtype=np.int32)
         self.begin = np.zeros(1, dtype=np.int64)
+        self.pieces: dict[str, int] = {"\n": 0}
+        self.piece_ids = np.zeros(0, dtype=np.int32)
+        self.piece_begin = np.zeros(2, dtype=np.int64)
 
-    def _add(self, parts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        first = len(self.begin) - 1
-        self.number.update(zip(parts, range(first, first + len(parts))))
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(sizes.sum()))])
-
-    def _parts(self, text: str) -> list[str]:
-        if not self.by_word or any(m in text for m in self.marks):
+    def _words(self, text: str) -> list[str]:
+        if self.pattern is None:
             return [text]
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to the library
-            return [p for p in self.odd.split(text) if p]
+            return [w for w in self.white.split(text) if w]
         return text.split()
 
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that the library cuts itself."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(sizes.sum())), sizes
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode and number pieces not seen before, many in one call: a piece's last id, and no other, is a word end."""
+        mapped = [p if p.isascii() else "".join([self.chars[b] for b in p.encode()]) for p in pieces]
+        joined = [" ".join(mapped[i : i + TOGETHER]) for i in range(0, len(mapped), TOGETHER)]
+        flat = np.array(list(chain.from_iterable([e.ids for e in self.merger.encode_batch_fast(joined)])), dtype=np.int32)
+        ends = np.flatnonzero(self.is_end[flat]) + 1
+        if len(ends) != len(pieces):
+            raise ValueError("pieces do not come apart at word ends")
+        first = len(self.piece_begin) - 1
+        self.pieces.update(zip(pieces, range(first, first + len(pieces))))
+        self.piece_begin = np.concatenate([self.piece_begin, len(self.piece_ids) + ends])
+        self.piece_ids = np.concatenate([self.piece_ids, flat])
+
+    def _cut(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are cut here."""
+        cut = self.pattern.findall("\n".join(words).lower() + "\n")
+        fresh = list(set(cut).difference(self.pieces))
+        if fresh:
+            self._learn(fresh)
+        which = np.fromiter(map(self.pieces.__getitem__, cut), dtype=np.int64, count=len(cut))
+        flat, size = _gather(self.piece_ids, self.piece_begin, which)
+        at = np.concatenate([[0], np.cumsum(size)])
+        return flat, np.diff(np.concatenate([[0], at[np.flatnonzero(which == 0)]]))
+
+    def _add(self, words: list[str]) -> None:
+        """Encode and number words not seen before."""
+        if self.pattern is None:
+            odd = words
+        else:
+            odd = [w for w in words if self.odd.search(w)] if self.odd.search("\n".join(words)) else []
+        if odd:
+            held = set(odd)
+            words = [w for w in words if w not in held] + odd
+        (a, m), (b, n) = self._cut(words[: len(words) - len(odd)]) if len(odd) < len(words) else _NONE, self._alone(odd) if odd else _NONE
+        first = len(self.begin) - 1
+        self.number.update(zip(words, range(first, first + len(words))))
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(np.concatenate([m, n]))])
+        self.ids = np.concatenate([self.ids, a, b])
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
-        if len(self.number) > CACHED_WORDS or len(self.ids) > CACHED_IDS:
+        if len(self.number) > CACHED_WORDS or len(self.ids) > CACHED_IDS or len(self.pieces) > CACHED_WORDS:
             self.forget()
-        cut = list(map(self._parts, texts))
-        missing = list(set().union(*cut).difference(self.number))
+        cut = list(map(self._words, texts))
+        many = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+        words = list(chain.from_iterable(cut))
+        which = np.fromiter(map(self.number.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(which < 0).tolist()
+        missing = list({words[i] for i in new})
         if missing:
             self._add(missing)
-        many = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=int(many.sum()))
-        size = self.begin[which + 1] - self.begin[which]
+            which[new] = [self.number[words[i]] for i in new]
+        flat, size = _gather(self.ids, self.begin, which)
         ends = np.concatenate([[0], np.cumsum(size)])
-        flat = self.ids[np.arange(ends[-1]) + np.repeat(self.begin[which] - ends[:-1], size)]
         for part in missing:
             if len(part) > CACHED_CHARS:
                 del self.number[part]
+                self.pieces.pop(part.lower(), None)
         return flat, np.diff(ends[np.concatenate([[0], np.cumsum(many)])])
 
 
