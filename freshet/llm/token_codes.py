@@ -26,6 +26,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -46,10 +47,12 @@ CACHED_WORDS = 300_000
 CACHED_IDS = 3_000_000
 #: Words and pieces longer than this many characters are not kept.
 CACHED_CHARS = 64
+#: Texts encoded together have at most this many characters, or are one text.
+BATCH_CHARS = 2_000_000
 #: New pieces are handed to the library so many at a time.
 TOGETHER = 256
 #: Characters tried for agreement: Latin ones and general punctuation.
-TRIED = [9, 10, 13, *range(0x20, 0x250), *range(0x2010, 0x2028)]
+TRIED = [9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x250), *range(0x2010, 0x2028)]
 
 
 def encode_codes(ids: np.ndarray) -> bytes:
@@ -100,6 +103,25 @@ class Codes:
     def __len__(self) -> int:
         return len(self.levels[0][0])
 
+    def span(self, begin: int, end: int) -> np.ndarray:
+        """The ids from ``begin`` to before ``end``: on every level they stand side by side."""
+        out, who, a, b = np.zeros(end - begin, dtype=np.uint32), None, begin, end
+        for k, (chunk, words, upper, lower) in enumerate(self.levels):
+            part = chunk[a:b].astype(np.uint32) << np.uint32(CHUNK_BITS * k)
+            if who is None:
+                out[:] = part
+            else:
+                out[who] |= part
+            if words is None or a >= b:
+                break
+            first, last = a >> 6, (b + 63) >> 6
+            more = np.unpackbits(words[first:last].view(np.uint8), bitorder="little")[a - (first << 6) : b - (first << 6)].view(bool)
+            who = np.flatnonzero(more) if who is None else who[more]
+            word = words[first] & ((np.uint64(1) << np.uint64(a & 63)) - np.uint64(1))
+            a = int(upper[a >> 9]) + int(lower[first]) + int(np.bitwise_count(word))
+            b = a + len(who)
+        return out
+
     def get(self, at: np.ndarray) -> np.ndarray:
         """The ids at these places, in any order."""
         out, who = np.zeros(len(at), dtype=np.uint32), np.arange(len(at))
@@ -148,8 +170,9 @@ class Library:
         self.merger = Tokenizer(self.tokenizer.model)
         self.merger.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.forget()
+        self.forget_pieces()
 
-    def _pattern(self, whole: dict) -> regex.Pattern | None:
+    def _pattern(self, whole: dict) -> re.Pattern | None:
         """The pattern that cuts a text into pieces, if the file drops all else; also sets ``odd``."""
         steps = whole["pre_tokenizer"].get("pretokenizers", [])
         if [p["type"] for p in steps] != ["Split", "ByteLevel"] or steps[0]["behavior"] != "Removed" or not steps[0]["invert"] or steps[1]["use_regex"] or steps[1]["add_prefix_space"]:
@@ -171,23 +194,32 @@ class Library:
 
         plain = [c for c in map(chr, TRIED) if agreed(c)]
         self.odd = re.compile("|".join([f"[^{''.join(map(re.escape, plain))}]", *map(re.escape, self.marks)]))
-        return regex.compile(f"{pattern.pattern}|\n")
+        # the same with the classes written out, for a faster engine; a line break parts words
+        written = pattern.pattern
+        for name in "LN":
+            own = [c for c in plain if regex.match(rf"\p{{{name}}}", c)]
+            written = written.replace(rf"\p{{{name}}}", "".join(map(re.escape, own)))
+        return re.compile(f"{written}|\n")
 
     def forget(self) -> None:
-        """Remember nothing but the line break between words, which is piece 0 and has no ids."""
+        """Remember no words."""
         self.number: dict[str, int] = {}
         self.ids = np.zeros(0, dtype=np.int32)
         self.begin = np.zeros(1, dtype=np.int64)
+
+    def forget_pieces(self) -> None:
+        """Remember no piece but the line break between words, which is number 0 and has no ids."""
         self.pieces: dict[str, int] = {"\n": 0}
         self.piece_ids = np.zeros(0, dtype=np.int32)
         self.piece_begin = np.zeros(2, dtype=np.int64)
 
-    def _words(self, text: str) -> list[str]:
-        if self.pattern is None:
-            return [text]
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to the library
-            return [w for w in self.white.split(text) if w]
-        return text.split()
+    def _normal(self, text: str) -> str:
+        """The text in lower case, but for words with characters that the library has to look at."""
+        if not self.odd.search(text):
+            return text.lower()
+        words = [w for w in self.white.split(text) if w]
+        self.strange.update([w for w in words if self.odd.search(w)])
+        return " ".join([w if w in self.strange else w.lower() for w in words])
 
     def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words that the library cuts itself."""
@@ -210,7 +242,7 @@ class Library:
 
     def _cut(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words that are cut here."""
-        cut = self.pattern.findall("\n".join(words).lower() + "\n")
+        cut = self.pattern.findall("\n".join(words) + "\n")
         fresh = list(set(cut).difference(self.pieces))
         if fresh:
             self._learn(fresh)
@@ -221,13 +253,9 @@ class Library:
 
     def _add(self, words: list[str]) -> None:
         """Encode and number words not seen before."""
-        if self.pattern is None:
-            odd = words
-        else:
-            odd = [w for w in words if self.odd.search(w)] if self.odd.search("\n".join(words)) else []
-        if odd:
-            held = set(odd)
-            words = [w for w in words if w not in held] + odd
+        odd = words if self.pattern is None else [w for w in words if w in self.strange] if self.strange else []
+        if odd and self.pattern is not None:
+            words = [w for w in words if w not in self.strange] + odd
         (a, m), (b, n) = self._cut(words[: len(words) - len(odd)]) if len(odd) < len(words) else _NONE, self._alone(odd) if odd else _NONE
         first = len(self.begin) - 1
         self.number.update(zip(words, range(first, first + len(words))))
@@ -236,24 +264,31 @@ class Library:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
-        if len(self.number) > CACHED_WORDS or len(self.ids) > CACHED_IDS or len(self.pieces) > CACHED_WORDS:
+        if len(self.number) > CACHED_WORDS or len(self.ids) > CACHED_IDS:
             self.forget()
-        cut = list(map(self._words, texts))
-        many = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-        words = list(chain.from_iterable(cut))
-        which = np.fromiter(map(self.number.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        if len(self.pieces) > CACHED_WORDS:
+            self.forget_pieces()
+        self.strange: set[str] = set()
+        if self.pattern is None:
+            words, upto = pa.array(texts, type=pa.string()), np.arange(len(texts) + 1)
+        else:
+            cut = pc.ascii_split_whitespace(pa.array(list(map(self._normal, texts)), type=pa.string()))
+            words, upto = cut.flatten(), cut.offsets.to_numpy()
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        which = np.fromiter(map(self.number.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
         new = np.flatnonzero(which < 0).tolist()
-        missing = list({words[i] for i in new})
+        missing = [distinct[i] for i in new]
         if missing:
             self._add(missing)
-            which[new] = [self.number[words[i]] for i in new]
-        flat, size = _gather(self.ids, self.begin, which)
+            which[new] = [self.number[w] for w in missing]
+        flat, size = _gather(self.ids, self.begin, which[coded.indices.to_numpy()])
         ends = np.concatenate([[0], np.cumsum(size)])
         for part in missing:
             if len(part) > CACHED_CHARS:
                 del self.number[part]
-                self.pieces.pop(part.lower(), None)
-        return flat, np.diff(ends[np.concatenate([[0], np.cumsum(many)])])
+                self.pieces.pop(part, None)
+        return flat, np.diff(ends[upto])
 
 
 NAMES = ["part", "segment", "first", "n", "doc_ids", "starts", "codes"]
@@ -273,7 +308,7 @@ def write(docs: DataFrame, path: str, end: int | None = None, out: str | None =
     spread = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Library(shared.value[1])
+        coder = bpe.loaded(Library, shared)
         part, segment, first = TaskContext.get().partitionId(), 0, 0
         held: list[tuple] = []
 
@@ -288,7 +323,7 @@ def write(docs: DataFrame, path: str, end: int | None = None, out: str | None =
         count = 0
         for batch in batches:
             texts, names = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for begin, upto in common.pieces(texts):
+            for begin, upto in common.pieces(texts, BATCH_CHARS):
                 flat, sizes = coder.encode(texts[begin:upto])
                 at = np.cumsum(sizes)
                 for name, a, b in zip(names[begin:upto], at - sizes, at):
@@ -332,7 +367,7 @@ def read(segments: DataFrame, digest: Callable[[np.ndarray], object], name: str,
         for batch in batches:
             for begin, docs, starts, block in zip(*[batch.column(c) for c in ("begin", "doc_ids", "starts", "codes")]):
                 codes, starts = Codes(block.as_py()), starts.values.to_numpy()
-                ids = codes.get(np.arange(len(codes)))
+                ids = codes.span(0, len(codes))
                 made = [digest(ids[a:b]) for a, b in zip(starts[:-1], starts[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [docs.values, pa.array(begin.as_py() + starts[:-1]), pa.array(np.diff(starts)), pa.array(made, type=kind[1])], names=["doc_id", "start", "n_tokens", "made"]

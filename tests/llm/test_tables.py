@@ -58,6 +58,8 @@ def test_codes_round_trip(top):
         assert codes.get(np.arange(n)).tolist() == ids.tolist()
         at = rng.integers(0, n, 100) if n else np.zeros(0, dtype=np.int64)
         assert codes.get(at).tolist() == ids[at].tolist()
+        for a, b in rng.integers(0, n + 1, (20, 2)):
+            assert codes.span(min(a, b), max(a, b)).tolist() == ids[min(a, b) : max(a, b)].tolist()
     with pytest.raises(ValueError):
         token_codes.Codes(b"other bytes")
 
