@@ -65,31 +65,55 @@ def linear_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fit_linear_per_series(rows.na.drop(), "y", "x"))
 
 
+#: Today's rain (with gaps, filled by the median), last week's rain and yesterday's target (gaps become 0).
+THREE = [fixed.PRECIP, f"{fixed.PRECIP}_sum_7d", f"{fixed.TARGET}_lag1"]
+
+
+def _ridge_sql(a: str) -> dict[str, str]:
+    """Coefficients of the ridge on three standardised columns by cofactors; ``a`` stands on the diagonal."""
+    det = f"({a} * {a} * {a} + 2 * r12 * r13 * r23 - {a} * (r12 * r12 + r13 * r13 + r23 * r23))"
+    rows = [
+        (f"({a} * {a} - r23 * r23)", f"(r13 * r23 - {a} * r12)", f"(r12 * r23 - {a} * r13)"),
+        (f"(r13 * r23 - {a} * r12)", f"({a} * {a} - r13 * r13)", f"(r12 * r13 - {a} * r23)"),
+        (f"(r12 * r23 - {a} * r13)", f"(r12 * r13 - {a} * r23)", f"({a} * {a} - r12 * r12)"),
+    ]
+    return {f"b{i}": f"CASE WHEN s{i} > 0 THEN ({' + '.join(f'c{j} * {x}' for j, x in enumerate(row, 1))}) / {det} / s{i} ELSE 0 END" for i, row in enumerate(rows, 1)}
+
+
+_pair = lambda i, j: f"CASE WHEN stddev_pop(x{i}) > 0 AND stddev_pop(x{j}) > 0 THEN covar_pop(x{i}, x{j}) / (stddev_pop(x{i}) * stddev_pop(x{j})) ELSE 0 END AS r{i}{j}"
+
+
 @query(
     "per_series_models",
     with_(
         *P,
-        ("n", f"SELECT basin_id, count(*)::BIGINT AS total FROM p GROUP BY basin_id HAVING count(*) >= {fixed.MIN_ROWS}"),
-        ("s", f"SELECT basin_id, {TRAIN} AS tr, y_log1p AS y, prcp_mm_cr2met_sum_7d AS given, coalesce(prcp_mm_cr2met_sum_7d, 0) AS x "
-              "FROM p WHERE y_log1p IS NOT NULL"),
-        ("v", "SELECT basin_id FROM s GROUP BY basin_id HAVING count(*) FILTER (WHERE tr) > 0 AND count(*) FILTER (WHERE NOT tr) > 0 AND count(given) > 0"),
-        ("c", f"SELECT basin_id, avg(x) AS mx, avg(y) AS my, CASE WHEN var_pop(x) > 0 THEN covar_pop(x, y) / (var_pop(x) * (1 + {RIDGE})) ELSE 0 END AS b "
-              "FROM s WHERE tr GROUP BY basin_id"),
-        ("g", "SELECT s.*, b, my, mx, my + b * (x - mx) AS yhat FROM s JOIN c USING (basin_id)"),
+        ("n", f"SELECT basin_id, count(*)::BIGINT AS total FROM p GROUP BY basin_id HAVING count(*) >= {fixed.MIN_ROWS} "
+              f"AND count({THREE[0]}) > 0 AND count({THREE[1]}) > 0 AND count({THREE[2]}) > 0"),
+        ("g0", f"SELECT basin_id, {TRAIN} AS tr, y_log1p AS y, {THREE[0]} AS x1, coalesce({THREE[1]}, 0) AS x2, coalesce({THREE[2]}, 0) AS x3 "
+               "FROM p WHERE y_log1p IS NOT NULL"),
+        ("md", "SELECT basin_id, median(x1) AS mid FROM g0 WHERE tr GROUP BY basin_id"),
+        ("s", "SELECT g0.* REPLACE (coalesce(x1, mid, 0) AS x1) FROM g0 LEFT JOIN md USING (basin_id)"),
+        ("v", "SELECT basin_id FROM s GROUP BY basin_id HAVING count(*) FILTER (WHERE tr) > 0 AND count(*) FILTER (WHERE NOT tr) > 0"),
+        ("c", "SELECT basin_id, avg(y) AS my, " + ", ".join(
+                  [f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}, CASE WHEN stddev_pop(x{i}) > 0 THEN covar_pop(x{i}, y) / stddev_pop(x{i}) ELSE 0 END AS c{i}" for i in (1, 2, 3)]
+                  + [_pair(1, 2), _pair(1, 3), _pair(2, 3)]) + " FROM s WHERE tr GROUP BY basin_id"),
+        ("b", "SELECT *, " + ", ".join(f"{x} AS {name}" for name, x in _ridge_sql(f"(1 + {RIDGE})").items()) + " FROM c"),
+        ("g", "SELECT s.*, b1, b2, b3, my - b1 * m1 - b2 * m2 - b3 * m3 AS b0, my - b1 * m1 - b2 * m2 - b3 * m3 + b1 * x1 + b2 * x2 + b3 * x3 AS yhat "
+              "FROM s JOIN b USING (basin_id)"),
         select=f"""
-SELECT basin_id, any_value(total) AS "rows", 1::BIGINT AS n_features, {r('any_value(b)', 'slope', 4)}, {r('any_value(my - b * mx)', 'intercept', 4)},
-  {r(rmse_sql('y', 'yhat', 'tr'), 'train_RMSE', 4)}, {r(rmse_sql('y', 'yhat', 'NOT tr'), 'test_RMSE', 4)}, {r(nse_sql('y', 'yhat', 'NOT tr'), 'test_R2', 4)}
+SELECT basin_id, any_value(total) AS "rows", 3::BIGINT AS n_features, {', '.join(r(f'any_value(b{i})', f'slope{i}', 4) for i in (1, 2, 3))},
+  {r('any_value(b0)', 'intercept', 4)}, {r(rmse_sql('y', 'yhat', 'tr'), 'train_RMSE', 4)}, {r(rmse_sql('y', 'yhat', 'NOT tr'), 'test_RMSE', 4)},
+  {r(nse_sql('y', 'yhat', 'NOT tr'), 'test_R2', 4)}
 FROM g JOIN v USING (basin_id) JOIN n USING (basin_id) GROUP BY basin_id
 """,
     ),
-)
+)
 def per_series_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One linear model per series on last week's rain, which SQL can fit as well."""
-    registry = fit_per_series(
-        features(spark, sf_dir, attrs=False), "y_log1p", [f"{fixed.PRECIP}_sum_7d"], split_date=SPLIT, min_features=1
-    )
-    shown = registry.withColumns({"slope": F.col("model.coefficients")[0], "intercept": F.col("model.intercept")})
-    return rounded(shown.select(fixed.KEY, "rows", "n_features", "slope", "intercept", "train_RMSE", "test_RMSE", "test_R2"), 4)
+    """One linear model per series on three features, two of them with gaps."""
+    registry = fit_per_series(features(spark, sf_dir, attrs=False), "y_log1p", THREE, split_date=SPLIT)
+    slopes = {f"slope{i + 1}": F.col("model.coefficients")[i] for i in range(3)}
+    shown = registry.withColumns({**slopes, "intercept": F.col("model.intercept")})
+    return rounded(shown.select(fixed.KEY, "rows", "n_features", *slopes, "intercept", "train_RMSE", "test_RMSE", "test_R2"), 4)
 
 
 def _global(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, GlobalModel]:

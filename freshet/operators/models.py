@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,12 +29,14 @@ from freshet.operators.metrics import (
     regression_metrics,
     score_columns,
 )
+from freshet.operators.moments import State, clustered, merge_all, states
 from freshet.operators.policy import suggest_retrained
 from freshet.operators.split import (
     cap_per_series,
     fitting_cap,
     pooled_split,
     restrict_to,
+    series_use,
     temporal_split,
 )
 from freshet.session import BROADCAST_CELLS, broadcast_checked, settle, store
@@ -190,45 +192,16 @@ MODEL_TYPE = "struct<intercept:double,coefficients:array<double>>"
 RIDGE = 0.01
 #: A column whose spread is below this share of its size counts as constant and gets no coefficient.
 LEAST_SPREAD = 1e-7
-#: Series whose sums a task holds before it passes them on.
-HELD_SERIES = 256
 
 
-def product_sums(rows: DataFrame, columns: Sequence[str], key: str = fixed.KEY) -> DataFrame:
-    """``key, sums``: per series, the sums over its rows of all products of two of (1, columns).
-
-    ``sums`` is the square matrix row by row. Tasks add up their own rows; their parts are then added per series and
-    cell, so a series of any length is no large task. A missing value counts as 0.
-    """
-    width = len(columns) + 1
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, np.ndarray] = {}
-        for batch in batches:
-            x = np.column_stack([np.ones(len(batch)), np.nan_to_num(batch[list(columns)].to_numpy(dtype=float))])
-            for name, at in batch.groupby(key, sort=False).indices.items():
-                held[name] = held.get(name, 0.0) + x[at].T @ x[at]
-                if len(held) >= HELD_SERIES:
-                    yield pd.DataFrame({key: list(held), "part": [m.ravel() for m in held.values()]})
-                    held = {}
-        if held:
-            yield pd.DataFrame({key: list(held), "part": [m.ravel() for m in held.values()]})
-
-    parts = rows.select(key, *columns).mapInPandas(run, f"{key} string, part array<double>")
-    cells = parts.select(key, F.posexplode("part").alias("cell", "v")).groupBy(key, "cell").agg(F.sum("v").alias("v"))
-    ordered = F.sort_array(F.collect_list(F.struct("cell", "v")))
-    return cells.groupBy(key).agg(F.transform(ordered, lambda c: c["v"]).alias("sums"), F.lit(width).alias("width"))
-
-
-def solve_ridge(sums: np.ndarray, used: Sequence[int], penalty: float) -> tuple[float, np.ndarray]:
-    """Intercept and one coefficient per used column; the last row and column of ``sums`` are the target's."""
-    n, mean = sums[0, 0], sums[0] / sums[0, 0]
-    spread = sums / n - np.outer(mean, mean)
-    size = np.sqrt(np.maximum(np.diag(sums) / n, 0.0))
+def solve_ridge(state: State, used: Sequence[int], penalty: float) -> tuple[float, np.ndarray]:
+    """Intercept and one coefficient per used column; the state's last column is the target."""
+    mean, spread = state.mean, state.square / state.n
     scale = np.sqrt(np.maximum(np.diag(spread), 0.0))
-    at = np.asarray(used, dtype=int) + 1
+    size = np.sqrt(scale**2 + mean**2)
+    at = np.asarray(used, dtype=int)
     moving = at[scale[at] > LEAST_SPREAD * size[at]]
-    slope = np.zeros(len(sums))
+    slope = np.zeros(len(mean))
     if len(moving):
         r = spread[np.ix_(moving, moving)] / np.outer(scale[moving], scale[moving])
         slope[moving] = np.linalg.solve(r + penalty * np.eye(len(moving)), spread[moving, -1] / scale[moving]) / scale[moving]
@@ -257,41 +230,38 @@ def fit_per_series(
 ) -> DataFrame:
     """One ridge regression per series with its scores: the model registry.
 
-    Series of every length are fitted the same way, from one aggregate over their training rows; then one small
-    system is solved per series. ``model`` holds the intercept and the coefficients of ``features_used``. ``features``
+    Series that pass the gate are fitted the same way whatever their length: rows are clustered by series once, tasks
+    fold them into co-moments, and one small system is solved per series from its merged state. ``model`` holds the intercept and the coefficients of ``features_used``. ``features``
     should be stored, as it is read several times.
     """
     columns = list(columns)
-    sizes = features.groupBy(key).agg(F.count("*").alias("rows"))
-    sizes = broadcast_checked(settle(sizes.filter(F.col("rows") >= min_rows)))
+    use = series_use(features, target, columns, exclusions, split_date=split_date, min_rows=min_rows, min_features=min_features, key=key, time=time)
+    usable = settle(use.filter("gate = 'ok'").select(key, "rows", F.col("usable").alias("used")))
     rows = temporal_split(features, target, split_date, key=key, time=time)
-    rows = rows.join(sizes, key).select(key, time, "side", "rows", F.col(target).cast("double").alias(target), *_doubles(columns))
+    rows = rows.join(broadcast_checked(usable.select(key, "rows")), key).select(
+        key, time, "side", "rows", F.col(target).cast("double").alias(target), *_doubles(columns)
+    )
     if exclusions is not None:
         rows = exclude_columns(rows, exclusions, columns, fill=None, key=key)
     middle = median_columns(columns)
     medians = train_medians(rows.filter("side = 'train'"), middle, key=key) if middle else None
-    # What a series may use is decided before imputation fills the gaps: one mark per column.
-    marks = F.concat(*[F.when(F.count(c) > 0, "1").otherwise("0") for c in columns])
-    usable = rows.groupBy(key).agg(F.first("rows").alias("rows"), marks.alias("used"))
-    usable = settle(usable.filter(F.length(F.replace("used", F.lit("0"), F.lit(""))) >= min_features))
-    rows = impute_rules(rows.drop("rows"), columns, medians, key=key)
-    rows = store(rows.join(broadcast_checked(usable.select(key)), key, "left_semi").na.fill(0.0, subset=columns), "fit-rows")
-
-    sums = product_sums(rows.filter("side = 'train'"), [*columns, target], key)
-    schema = f"{key} string, rows bigint, n_features bigint, features_used array<string>, model {MODEL_TYPE}, weights array<double>"
+    rows = impute_rules(rows, columns, medians, key=key).na.fill(0.0, subset=columns)
+    rows = store(clustered(rows, "rows", key, time).drop("rows"), "fit-rows")
 
-    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for name, n, marked, flat, width in batch[[key, "rows", "used", "sums", "width"]].itertuples(index=False):
-                used = [i for i, mark in enumerate(marked) if mark == "1"]
-                intercept, found = solve_ridge(np.asarray(flat, dtype=float).reshape(width, width), used, penalty)
-                weights = np.zeros(len(columns))
-                weights[used] = found
-                out.append((name, n, len(used), [columns[i] for i in used], {"intercept": intercept, "coefficients": found.tolist()}, weights.tolist()))
-            yield pd.DataFrame(out, columns=[key, "rows", "n_features", "features_used", "model", "weights"])
-
-    fitted = store(sums.join(usable, key).mapInPandas(solve, schema), "fits")
+    used = {c: i for i, c in enumerate(columns)}
+    schema = f"{key} string, rows bigint, n_features bigint, features_used array<string>, model {MODEL_TYPE}, weights array<double>"
+    parts = store(states(rows.filter("side = 'train'"), [*columns, target], key), "states").join(usable, key)
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        state = merge_all([State.read(*x) for x in sorted(zip(group["n"], map(tuple, group["mean"]), map(tuple, group["triangle"])))])
+        names = list(group["used"].iat[0])
+        intercept, found = solve_ridge(state, [used[c] for c in names], penalty)
+        weights = np.zeros(len(columns))
+        weights[[used[c] for c in names]] = found
+        row = (group[key].iat[0], group["rows"].iat[0], len(names), names, {"intercept": intercept, "coefficients": found.tolist()}, weights.tolist())
+        return pd.DataFrame([row], columns=[key, "rows", "n_features", "features_used", "model", "weights"])
+
+    fitted = store(parts.groupBy(key).applyInPandas(solve, schema), "fits")
     whole = F.struct(F.col("model.intercept").alias("intercept"), F.col("weights").alias("coefficients"))
     weights = fitted.select(key, whole.alias("model"))
     limit = BROADCAST_CELLS // (len(columns) + 2)  # an array counts as its cells

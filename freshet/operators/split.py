@@ -91,8 +91,29 @@ def basin_gate(
     """Why a series gets no model of its own: ``small``, ``split``, ``no_feats``, or ``ok``.
 
     The checks run in this order. Nothing can be empty after imputation, as rows without a target are
-    not counted in the first place. A feature is usable if the series has a value of it and the policy
-    does not exclude it.
+    not counted in the first place.
+    """
+    use = series_use(
+        df, target, features, exclusions, split_date=split_date, min_rows=min_rows, min_features=min_features, key=key, time=time
+    )
+    return use.select(key, "rows", "n_train", "n_test", "n_features", "gate")
+
+
+def series_use(
+    df: DataFrame,
+    target: str,
+    features: Sequence[str],
+    exclusions: DataFrame | None = None,
+    *,
+    split_date: str = fixed.SPLIT_DATE,
+    min_rows: int = fixed.MIN_ROWS,
+    min_features: int = fixed.MIN_FEATURES,
+    key: str = fixed.KEY,
+    time: str = fixed.TIME,
+) -> DataFrame:
+    """The gate of every series, as fits and reports apply it, with the names of its ``usable`` features.
+
+    A feature is usable if the series has a value of it and the policy does not exclude it. One pass over ``df``.
     """
     usable = F.col(target).isNotNull()
     where = side(time, split_date)
@@ -111,14 +132,15 @@ def basin_gate(
         lists = exclusions.groupBy(key).agg(F.collect_set("column").alias("excluded"))
         table = table.join(lists, key, "left")
         left_out = F.coalesce("excluded", left_out)
-    table = table.withColumn("n_features", F.size(F.array_except("present", left_out)).cast("bigint"))
+    table = table.withColumn("usable", F.array_except("present", left_out))
+    table = table.withColumn("n_features", F.size("usable").cast("bigint"))
     gate = (
         F.when(F.col("rows") < min_rows, "small")
         .when((F.col("n_train") == 0) | (F.col("n_test") == 0), "split")
         .when(F.col("n_features") < min_features, "no_feats")
         .otherwise("ok")
     )
-    return table.select(key, "rows", "n_train", "n_test", "n_features", gate.alias("gate"))
+    return table.select(key, "rows", "n_train", "n_test", "n_features", "usable", gate.alias("gate"))
 
 
 def gate_counts(gates: DataFrame) -> DataFrame:
