@@ -339,6 +339,12 @@ def loaded(kind, shared):
     return _loaded[key]
 
 
+def release() -> None:
+    """Drop the worker's tokenizers with their caches: workers are reused, and later stages need the memory."""
+    _loaded.clear()
+    common.release()
+
+
 def share(df: DataFrame, path: str):
     """Broadcast a vocabulary file, whose size does not depend on the data."""
     with open(path, encoding="utf-8") as f:
@@ -356,4 +362,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         ids = bpe.encode(texts)
         return {"ids": ids, "decoded": bpe.decode(ids)}
 
-    return common.map_texts(df, columns, {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())})
+    return common.map_texts(df, columns, {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}, release)

@@ -57,9 +57,11 @@ def pieces(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
         yield begin, len(texts)
 
 
-def map_texts(df: DataFrame, columns: Callable[[list[str]], dict], fields: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+def map_texts(df: DataFrame, columns: Callable[[list[str]], dict], fields: dict[str, tuple[str, pa.DataType]], done: Callable[[], None] | None = None) -> DataFrame:
     """Add columns computed from ``text``; ``columns`` maps a list of texts to arrays by name.
 
+    ``done`` is called when a task has seen all its rows, to let go of what it held.
+
     ``fields`` gives each new column's Spark and Arrow type. All other columns but ``text`` pass through.
     """
     kept = [c for c in df.columns if c != "text"]
@@ -77,6 +79,8 @@ def map_texts(df: DataFrame, columns: Callable[[list[str]], dict], fields: dict[
                     + [v if isinstance(v := made[n], pa.Array) else pa.array(v, type=t[1]) for n, t in fields.items()],
                     names=kept + list(fields),
                 )
+        if done is not None:
+            done()
 
     return df.mapInArrow(run, schema)
 
@@ -122,6 +126,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def release() -> None:
+    """Give back what a worker process keeps between tasks: grown tables and Arrow's unused memory."""
+    _grown.clear()
+    pa.default_memory_pool().release_unused()
+
+
 INVERSE = pow(BASE, -1, 2**64)
 _grown: dict[str, np.ndarray] = {}
 

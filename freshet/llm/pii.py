@@ -134,13 +134,27 @@ def disclosing_terms(df: DataFrame, base: DataFrame) -> DataFrame | None:
     candidates = store(together.select("term").distinct(), "candidates")
     n = df.count()
     held = df.select("doc_id", "row", F.explode(_terms(F.col("text"))).alias("term"))
-    holding = common.join_small(held, candidates, ["term"], "left_semi")
-    holding = store(holding.distinct(), "holding")
-    n_t = store(holding.groupBy("term").agg(F.count_distinct("doc_id").alias("n_t")), "n-t")
+    n_t = store(_holders(df, common.join_small(held, candidates, ["term"], "left_semi")), "n-t")
     known = common.join_small(together, n_t, ["term"], "inner")
     bits = F.log(F.lit(float(n)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(float(n) + 1) / F.col("n_e"))
     shares = known.select("term", bits.alias("share")).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= GENERALISE)
-    return common.join_small(holding, store(shares, "shares"), ["term"], "inner")
+    # only the few terms that disclose something are listed with where they stand
+    return store(common.join_small(held, store(shares, "shares"), ["term"], "inner").distinct(), "occurrences")
+
+
+def _holders(df: DataFrame, held: DataFrame) -> DataFrame:
+    """``term, n_t``: the number of distinct ids with each term of ``doc_id, row, term``.
+
+    Rows whose id stands alone in ``df`` are counted where they are, so only counts are shuffled; the rows of repeated
+    ids, if there are any, are told apart by their id.
+    """
+    held = held.where("doc_id IS NOT NULL")
+    again = store(df.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return held.groupBy("term").agg(F.count("*").alias("n_t"))
+    once = common.join_small(held, again, ["doc_id"], "left_anti").groupBy("term").agg(F.count("*").alias("n_t"))
+    more = common.join_small(held, again, ["doc_id"], "left_semi").groupBy("term").agg(F.count_distinct("doc_id").alias("n_t"))
+    return once.union(more).groupBy("term").agg(F.sum("n_t").alias("n_t"))
 
 
 def term_spans(df: DataFrame, terms: DataFrame) -> DataFrame:
