@@ -147,7 +147,8 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     n = by_slot.pop(-1, 0)
     idf = np.array([np.log((1 + n) / (1 + by_slot.get(i, 0))) + 0.01 for i in range(DIMS)])
 
-    sizes = {r["lang"]: r["count"] for r in df.groupBy("lang").count().collect()}
+    # distinct texts, as the draw is one of texts: a language of copies of a few keeps them all
+    sizes = {r["lang"]: r["count"] for r in df.select("lang", F.xxhash64("text").alias("text")).distinct().groupBy("lang").count().collect()}
     if not sizes:
         return Model(idf, np.zeros((0, DIMS), np.float32), np.zeros(0, np.intp), [], np.zeros((0, LENGTHS)))
     share = F.create_map(*[F.lit(x) for lang, size in sizes.items() for x in (lang, min(1.0, sample / size))])

@@ -218,7 +218,8 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "label", sampl
     df = docs.where(F.col(f"`{label_col}`").isin(0, 1)).select(
         F.col(f"`{label_col}`").cast("int").alias("label"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     )
-    count = {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
+    # distinct texts, as the draw is one of texts: a label of copies of a few keeps them all
+    count = {r["label"]: r["count"] for r in df.select("label", F.xxhash64("text").alias("text")).distinct().groupBy("label").count().collect()}
     if len(count) < 2:
         return None
     # both labels are drawn with the same share, so that the curve sees them as often as they are
