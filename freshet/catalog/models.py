@@ -36,8 +36,10 @@ from freshet.operators.models import (
 )
 from freshet.operators.scoring import assemble_request, resolve_mode, score
 from freshet.operators.split import restrict_to, temporal_split
+from freshet.plans.artifacts import Serving
+from freshet.plans.versions import publish
 from freshet.session import scratch_path, settle, store
-from freshet.streaming.scoring import write_stream
+from freshet.streaming.scoring import read_scores, write_stream, write_versioned_scores
 
 # Small settings: the queries check the flow; the defaults are in ``fixed.BOOSTING``.
 SMALL = {"rounds": 5, "depth": 3, "rate": 0.3}
@@ -292,3 +294,60 @@ def scored_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.col("yhat_mm").isNull() | F.isnan("yhat_mm")).alias("without_value"),
         F.round(F.avg("yhat_log"), 4).alias("mean_log"),
     )
+
+
+WEEK = f"{fixed.PRECIP}_sum_7d"
+
+
+@query(
+    "streamed_scores",
+    with_(
+        *P,
+        ("l", f"SELECT basin_id, CASE WHEN var_pop(x) > 0 THEN regr_slope(y, x) END AS b, CASE WHEN var_pop(x) > 0 THEN regr_intercept(y, x) END AS a "
+              f"FROM (SELECT basin_id, y_log1p AS y, {WEEK} AS x FROM p WHERE y_log1p IS NOT NULL AND {WEEK} IS NOT NULL) GROUP BY basin_id"),
+        ("q", f"SELECT basin_id, CAST(basin_id AS INT) AS k, CASE WHEN {TRAIN} THEN 1 ELSE 2 END AS version, coalesce({WEEK}, 0) AS x FROM p WHERE y_log1p IS NOT NULL"),
+        ("w", "SELECT q.*, a, b, CASE WHEN version = 1 THEN k % 2 = 0 ELSE k % 3 = 0 END AND b IS NOT NULL AS lite, "
+              "CASE WHEN version = 1 THEN k % 2 = 0 ELSE k % 3 = 0 END AND b IS NULL AS absent, version = 2 AND k % 3 = 1 AS gap FROM q LEFT JOIN l USING (basin_id)"),
+        select=f"""
+SELECT basin_id, version, CASE WHEN lite THEN 'local_lite' ELSE 'global' END AS mode, CASE WHEN lite THEN 'local_lite' ELSE 'global' END AS model_used,
+  CASE WHEN gap THEN 'local_lite chosen but model_path or feature_order is missing; using global.'
+    WHEN absent THEN 'local_lite model not found; using global.' ELSE '' END AS notes,
+  count(*)::BIGINT AS requests, 0::BIGINT AS without_value, {r('avg(CASE WHEN lite THEN a + b * x END)', 'mean_log', 4)}
+FROM w GROUP BY basin_id, version, lite, gap, absent
+""",
+    ),
+)
+def streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request stream meets two versions of the artifacts, the second published while it rests.
+
+    Series with a line of their own are served by it where the version's policy says so; values of the global trees
+    are counted only, as SQL has none.
+    """
+    panel = features(spark, sf_dir, attrs=False)
+    lines = fit_linear_per_series(panel.select(fixed.KEY, F.col("y_log1p").alias("y"), F.col(WEEK).alias("x")).na.drop(), "y", "x")
+    model = F.struct(F.col("intercept"), F.array("slope").alias("coefficients"))
+    lite = store(lines.filter("slope IS NOT NULL").select(fixed.KEY, F.concat(F.lit("lite/"), fixed.KEY).alias("model_path"), model.alias("model")), "lines")
+    trees = fit_global(panel, "y_log1p", [WEEK, fixed.ENCODED], split_date=SPLIT, params={"rounds": 1, "depth": 2})
+    number = F.col(fixed.KEY).cast("int")
+    keys = panel.select(fixed.KEY).distinct()
+    path, order = F.concat(F.lit("lite/"), fixed.KEY).alias("model_path"), F.array(F.lit(WEEK))
+    first = keys.filter(number % 2 == 0).select(fixed.KEY, F.lit("local_lite").alias("mode"), path, order.alias("feature_order"))
+    second = keys.filter(number % 3 < 2).select(fixed.KEY, F.lit("local_lite").alias("mode"), path, F.when(number % 3 == 0, order).alias("feature_order"))
+
+    base = scratch_path(spark, "versioned")
+    schema = f"{fixed.KEY} string, features map<string,double>"
+    load = lambda spark, folder: Serving(trees, spark.read.parquet(f"{folder}/policy"), lite)
+    requests = panel.filter("y_log1p IS NOT NULL").select(fixed.KEY, fixed.TIME, F.create_map(F.lit(WEEK), F.col(WEEK)).alias("features"))
+    before = F.col(fixed.TIME) < F.lit(SPLIT).cast("date")
+    for policy, rows in ((first, requests.filter(before)), (second, requests.filter(~before))):
+        publish(spark, f"{base}/artifacts", lambda folder, policy=policy: policy.write.parquet(f"{folder}/policy"))
+        rows.select(fixed.KEY, "features").write.mode("append").json(f"{base}/requests", ignoreNullFields=False)
+        stream = spark.readStream.schema(schema).json(f"{base}/requests")
+        write_versioned_scores(stream, f"{base}/artifacts", f"{base}/scores", f"{base}/log", load=load).awaitTermination()
+    local = F.when(F.col("model_used") == "local_lite", F.col("yhat_log"))
+    out = read_scores(spark, f"{base}/scores").groupBy(fixed.KEY, "version", "mode", "model_used", F.array_join("notes", "|").alias("notes")).agg(
+        F.count("*").alias("requests"),
+        F.count_if(F.col("yhat_mm").isNull() | F.isnan("yhat_mm")).alias("without_value"),
+        F.avg(local).alias("mean_log"),
+    )
+    return rounded(out, 4, ["mean_log"])

@@ -32,6 +32,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in any file system that Spark reads, in order."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute once and keep on reliable storage, so later plans start from the stored rows."""
     spark = df.sparkSession
