@@ -29,12 +29,14 @@ from freshet.sources.artifacts import (
     read_encoding,
     write_artifact,
 )
+from freshet.sources.ledger import Ledger
 from freshet.sources.tables import read_metrics, read_panel, write_csv, write_panel
 from freshet.sources.wide import (
     clean_lines,
     melt_wide,
     pivot_attributes,
     read_attributes,
+    read_lines,
     read_wide,
 )
 
@@ -74,6 +76,53 @@ def wide_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_wide(spark, path[: -len(".txt")], fixed.TARGET)
 
 
+#: Options of a CSV writer that leave a line as it is.
+PLAIN = {"sep": "\u0001", "quote": "\u0000", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+LINES_SQL = "SELECT o_orderkey AS k, o_orderdate::DATE AS d, o_totalprice AS v, o_orderpriority AS p FROM orders"
+
+
+@query(
+    "reading_ledger",
+    f"""
+SELECT 'orders' AS source, count(*)::BIGINT AS lines, 0::BIGINT AS damaged_lines, count(*) FILTER (WHERE k % 11 = 0)::BIGINT AS unreadable_dates,
+  count(*) FILTER (WHERE k % 7 = 0)::BIGINT AS short_lines, (2 * count(*) FILTER (WHERE k % 11 <> 0))::BIGINT AS cells,
+  count(*) FILTER (WHERE k % 11 <> 0 AND k % 7 <> 0 AND k % 5 <> 0)::BIGINT AS unreadable_cells
+FROM ({LINES_SQL})
+""",
+)
+def reading_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a wide file with words for dates and numbers and lines that end early: what its reading loses."""
+    k = F.col("o_orderkey")
+    day = F.when(k % 11 == 0, "soon").otherwise(F.col("o_orderdate").cast("date").cast("string"))
+    last = F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("\t"), F.when(k % 5 == 0, "-9999").otherwise(F.col("o_orderpriority"))))
+    lines = table(spark, sf_dir, "orders").select(F.concat(day, F.lit("\t"), F.col("o_totalprice").cast("string"), last).alias("date\tprice\tpriority"))
+    path = scratch_path(spark, "orders")
+    lines.write.csv(path, header=True, **PLAIN)
+    ledger = Ledger("orders")
+    read_wide(spark, path, "value", ledger=ledger).write.format("noop").mode("overwrite").save()
+    ledger.check()
+    return ledger.table(spark)
+
+
+@query(
+    "mixed_encodings",
+    """
+SELECT doc_id, length(line) AS chars, md5(line) AS digest
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^A-Za-zÀ-ÖØ-öø-ÿ ]', '', 'g') AS line FROM documents)
+""",
+)
+def mixed_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents' letters in UTF-8 files, half in Latin-1 ones of the same folder, told apart by their bytes."""
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-zÀ-ÖØ-öø-ÿ ]", "")
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("|"), letters).alias("line"))
+    path = scratch_path(spark, "encodings")
+    lines.filter("doc_id % 2 = 0").select("line").write.text(path)
+    lines.filter("doc_id % 2 = 1").select("line").write.mode("append").csv(path, encoding="ISO-8859-1", **PLAIN)
+    got = read_lines(spark, path, fallback="ISO-8859-1")
+    letters = F.substring_index("line", "|", -1)
+    return got.select(F.substring_index("line", "|", 1).cast("bigint").alias("doc_id"), F.length(letters).cast("bigint").alias("chars"), F.md5(letters).alias("digest"))
+
+
 @query("wide_melt", with_(SD, select=GRID_SQL))
 def wide_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return melt_wide(_wide(spark, sf_dir, fixed.TARGET), fixed.TARGET, time=fixed.TIME)

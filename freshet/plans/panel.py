@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from freshet import fixed
 from freshet.operators.features import build_features
 from freshet.operators.master import build_master
+from freshet.sources.ledger import Ledger
 from freshet.sources.tables import read_panel, write_panel
 from freshet.sources.wide import read_attributes, read_wide
 
@@ -23,21 +24,39 @@ def master_from_files(
     *,
     target_col: str = fixed.TARGET,
     sep: str = "\t",
+    fallback: str | None = None,
+    ledgers: dict[str, Ledger] | None = None,
 ) -> DataFrame:
-    """Master panel of wide files; ``forcings`` maps a variable to its file."""
+    """Master panel of wide files; ``forcings`` maps a variable to its file.
+
+    ``ledgers`` is filled with one ledger per file; they hold counts once the panel has been written.
+    """
+    ledgers = {} if ledgers is None else ledgers
+    ledgers.update({name: Ledger(path) for name, path in {target_col: target, **forcings}.items()})
+    read = lambda path, name: read_wide(spark, path, name, sep=sep, fallback=fallback, ledger=ledgers[name])
     attrs = None if attributes is None else read_attributes(spark, attributes, sep=sep)
     return build_master(
-        read_wide(spark, target, target_col, sep=sep),
-        [read_wide(spark, path, name, sep=sep) for name, path in forcings.items()],
+        read(target, target_col),
+        [read(path, name) for name, path in forcings.items()],
         attrs,
         target_col=target_col,
     )
 
 
 def feature_panel(
-    spark: SparkSession, master: DataFrame, master_path: str, features_path: str, attrs: DataFrame | None = None
+    spark: SparkSession,
+    master: DataFrame,
+    master_path: str,
+    features_path: str,
+    attrs: DataFrame | None = None,
+    ledgers: dict[str, Ledger] | None = None,
 ) -> DataFrame:
-    """Store the master, build the features from it, store them, and return the stored panel."""
+    """Store the master, build the features from it, store them, and return the stored panel.
+
+    With the ``ledgers`` of the files behind the master, a file without any readable date is an error.
+    """
     write_panel(master, master_path)
+    for ledger in (ledgers or {}).values():
+        ledger.check()
     write_panel(build_features(read_panel(spark, master_path), attrs), features_path)
     return read_panel(spark, features_path)

@@ -8,12 +8,14 @@ thousand columns, and the file is split across tasks by line.
 from __future__ import annotations
 
 import re
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet import fixed
 from freshet.functions.scalars import normal_name, normal_names, to_number, to_time
+from freshet.sources.ledger import Ledger
 
 
 def resolve_input(spark: SparkSession, path: str) -> str:
@@ -50,17 +52,43 @@ def split_fields(line, sep: str = "\t") -> Column:
     return F.when(line.contains('"'), quoted).otherwise(F.split(line, plain, -1))
 
 
-def read_lines(spark: SparkSession, path: str, *, encoding: str = "utf-8") -> DataFrame:
-    """Text lines (LF, CRLF or CR) without byte-order mark, undecodable bytes dropped."""
+def undecodable_files(spark: SparkSession, place: str) -> list[str]:
+    """Files with a line that is not valid UTF-8. Bytes are checked where they are read; only names come back."""
+    checked = spark.read.text(place).select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"))
+    bad = checked.filter(~F.col("valid")).select("file").distinct()
+    return sorted(unquote(r["file"]) for r in bad.collect())
+
+
+def _raw_text(spark: SparkSession, path: str, encoding: str, fallback: str | None) -> DataFrame:
     place = resolve_input(spark, path)
-    if encoding.lower() in ("utf-8", "utf8"):
-        text = spark.read.text(place)
-    else:
+
+    def decoded(files, name: str) -> DataFrame:
         # The text source knows UTF-8 only; a CSV scan with one column decodes, still line by line.
-        text = spark.read.schema("value string").csv(place, sep="\u0001", quote="", encoding=encoding)
+        return spark.read.schema("value string").csv(files, sep="\u0001", quote="", encoding=name)
+
+    if encoding.lower() not in ("utf-8", "utf8"):
+        return decoded(place, encoding)
+    bad = undecodable_files(spark, place) if fallback else []
+    if not bad:
+        return spark.read.text(place).select("value")
+    name = F.col("_metadata.file_path")
+    kept = ~name.isin(*bad, *[quote(f, safe=":/") for f in bad])
+    return spark.read.text(place).filter(kept).select("value").union(decoded(bad, fallback))
+
+
+def _bare(text: DataFrame) -> DataFrame:
     return text.select(F.regexp_replace("value", r"^\uFEFF+|\uFFFD", "").alias("line"))
 
 
+def read_lines(spark: SparkSession, path: str, *, encoding: str = "utf-8", fallback: str | None = None) -> DataFrame:
+    """Text lines (LF, CRLF or CR) without byte-order mark, undecodable bytes dropped.
+
+    With a ``fallback``, the bytes of every file are checked first, and files that are not valid UTF-8 are read in that
+    encoding instead; the others stay UTF-8.
+    """
+    return _bare(_raw_text(spark, path, encoding, fallback))
+
+
 def clean_lines(lines: DataFrame, *, line: str = "line", collapse_tabs: bool = False) -> DataFrame:
     """Lines without byte-order mark and double quotes; blank lines are dropped.
 
@@ -113,10 +141,18 @@ def read_wide(
     comment: str = "#",
     na_marks: list[str] = fixed.NA_MARKS,
     encoding: str = "utf-8",
+    fallback: str | None = None,
+    ledger: Ledger | None = None,
 ) -> DataFrame:
-    """Wide series matrix -> (basin_id, date, value). Rows without a readable date are dropped."""
-    lines = strip_comments(read_lines(spark, path, encoding=encoding), comment)
-    header = _header(lines)
+    """Wide series matrix -> (basin_id, date, value). Rows without a readable date are dropped.
+
+    A ``ledger`` counts, in the scan that the result's own action makes, what is dropped or becomes missing; its
+    ``check`` then fails where rows were there and no date was readable.
+    """
+    text = _raw_text(spark, path, encoding, fallback)
+    header = _header(strip_comments(_bare(text), comment))
+    # the ledger counts in the action on the result, not in this look at the first line
+    lines = strip_comments(_bare(text if ledger is None else ledger.bytes_of(text)), comment)
     names = normal_names(
         [r["name"] for r in _names(spark, header, sep).orderBy("pos").collect()]
     )
@@ -127,22 +163,23 @@ def read_wide(
     # A line that ends early lacks its last cells: they are missing values, not missing rows.
     short = F.greatest(F.lit(0), F.lit(len(names)) - F.size("fields"))
     padded = F.concat("fields", F.array_repeat(F.lit(None).cast("string"), short)).alias("fields")
+    parsed = lines.select((F.col("line") == header).alias("title"), split_fields("line", sep).alias("fields"))
+    parsed = parsed.select("title", (F.size("fields") < len(names)).alias("short"), padded)
+    parsed = parsed.select("title", "short", to_time(F.trim(F.get("fields", F.lit(at))), time_type).alias(fixed.TIME), "fields")
+    if ledger is not None:
+        parsed = ledger.lines_of(parsed, fixed.TIME)
     cells = (
-        lines.select(split_fields("line", sep).alias("fields"))
-        .select(padded)
-        .select(
-            to_time(F.trim(F.get("fields", F.lit(at))), time_type).alias(fixed.TIME), "fields"
-        )
-        .filter(F.col(fixed.TIME).isNotNull())
+        parsed.filter(F.col(fixed.TIME).isNotNull())
         .select(fixed.TIME, F.posexplode("fields").alias("pos", "cell"))
         .filter(F.col("pos") != at)
     )
     marks = sorted({m.strip() for m in na_marks})
     cell = F.when(~F.trim("cell").isin(marks), to_number("cell"))
     # The header is one line of the file: no larger than a row, so it may be broadcast.
-    return cells.join(F.broadcast(columns), "pos").select(
-        fixed.KEY, fixed.TIME, cell.alias(value)
-    )
+    out = cells.join(F.broadcast(columns), "pos").select(fixed.KEY, fixed.TIME, "cell", cell.alias(value))
+    if ledger is not None:
+        out = ledger.cells_of(out, ~F.trim("cell").isin(marks) & F.col(value).isNull())
+    return out.drop("cell")
 
 
 def attribute_cells(
