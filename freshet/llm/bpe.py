@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from freshet.llm import common
+from freshet.llm import characters, common
 
 #: Fixed values of the file format: bytes that stand for themselves in byte-level vocabularies.
 PLAIN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -147,9 +147,12 @@ class Merger:
 
 
 class WordBpe:
-    """Encoder and decoder of a word-level BPE file with a word-end suffix."""
+    """Encoder and decoder of a word-level BPE file with a word-end suffix.
 
-    def __init__(self, spec: str):
+    ``known`` is ``characters.tables()``, by which words are cut and lowered like the library does it.
+    """
+
+    def __init__(self, spec: str, known: dict | None = None):
         whole = json.loads(spec)
         model = whole["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -164,7 +167,16 @@ class WordBpe:
         longest_first = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
         split = next(p for p in whole["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", WHITE))
+        known = known or characters.tables()
+        pattern = split["pattern"]["Regex"].replace(r"\s", WHITE)
+        self.words = regex.compile(pattern)
+        # parts with characters that Python classes otherwise are cut by the classes written out
+        for name, own in (("L", known["letters"]), ("N", known["numbers"])):
+            pattern = pattern.replace(rf"\p{{{name}}}", characters.written(own))
+        self.other_words = regex.compile(pattern)
+        self.other = regex.compile(f"[{characters.written(known['differing'])}]") if known["differing"] else None
+        self.lower = str.maketrans(known["lower"])
+        self.lowers = regex.compile(f"[{''.join(map(regex.escape, known['lower']))}]") if known["lower"] else None
         self.white = regex.compile(f"[{WHITE}]+")
         self.chars = byte_chars()
         self.longest: dict[str, int] = {}
@@ -286,6 +298,8 @@ class WordBpe:
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                if self.lowers and self.lowers.search(part):
+                    part = part.translate(self.lower)
             part = part.lower()
             if any(c in part for c in "\x1c\x1d\x1e\x1f"):
                 out.extend(p for p in self.white.split(part) if p)
@@ -295,7 +309,8 @@ class WordBpe:
 
     def learn(self, parts: list[str]) -> None:
         """Encode and number parts not seen before."""
-        words = list(map(self.words.findall, parts))
+        cut = lambda part: (self.other_words if self.other and not part.isascii() and self.other.search(part) else self.words).findall(part)
+        words = list(map(cut, parts))
         fresh, sizes = self.encode_words(list(chain.from_iterable(words)))
         upto = np.concatenate([[0], np.cumsum(sizes)])
         ends = upto[np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))]
@@ -335,7 +350,7 @@ def loaded(kind, shared):
     """One instance per worker process of a tokenizer built from a broadcast file."""
     key = f"{kind.__name__}:{shared.value[0]}"
     if key not in _loaded:
-        _loaded[key] = kind(shared.value[1])
+        _loaded[key] = kind(*shared.value[1:])
     return _loaded[key]
 
 
@@ -345,17 +360,17 @@ def release() -> None:
     common.release()
 
 
-def share(df: DataFrame, path: str):
-    """Broadcast a vocabulary file, whose size does not depend on the data."""
+def share(df: DataFrame, path: str, *tables: object):
+    """Broadcast a vocabulary file and tables of characters, whose sizes do not depend on the data."""
     with open(path, encoding="utf-8") as f:
         text = f.read()
-    return df.sparkSession.sparkContext.broadcast((path, text))
+    return df.sparkSession.sparkContext.broadcast((path, text, *tables))
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, the ids of each text as ``ids`` and their decoding as ``decoded``. One row per input row."""
     df = common.documents(docs, id_col, text_col)
-    shared = share(df, path)
+    shared = share(df, path, characters.tables())
 
     def columns(texts: list[str]) -> dict:
         bpe = loaded(WordBpe, shared)

@@ -16,7 +16,6 @@ Texts: null and empty count 0 tokens. Very long texts and words work.
 from __future__ import annotations
 
 import json
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm import common
+from freshet.llm import characters, common
 from freshet.llm.bpe import Merger, byte_chars, loaded, share
 
 #: Characters of a chunk; compiled states and remembered words kept at most.
@@ -42,15 +41,13 @@ MARKED = sorted({c for x in CONTRACTIONS for c in x})
 WHITE_CHARS = [*range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
-def class_table() -> np.ndarray:
-    """Class of every code point."""
+def class_table(known: dict | None = None) -> np.ndarray:
+    """Class of every code point; ``known`` is ``characters.tables()``."""
+    known = known or characters.tables()
     out = np.full(0x110000, OTHER, dtype=np.uint8)
-    for i in range(0x110000):
-        kind = unicodedata.category(chr(i))[0]
-        if kind == "L":
-            out[i] = LETTER
-        elif kind == "N":
-            out[i] = DIGIT
+    for kind, ranges in ((LETTER, known["letters"]), (DIGIT, known["numbers"])):
+        for begin, end in ranges:
+            out[begin:end] = kind
     out[WHITE_CHARS] = WHITE
     out[ord(" ")] = SPACE
     out[ord("'")] = QUOTE
@@ -120,7 +117,7 @@ def _plain(before: str, c: int, own: str) -> tuple[str, int]:
 class Counter:
     """Token counts of a byte-level BPE file."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, known: dict | None = None):
         whole = json.loads(spec)
         vocab = whole["model"]["vocab"]
         number = {c: b for b, c in enumerate(byte_chars())}
@@ -135,7 +132,7 @@ class Counter:
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.fits: dict[int, bool] = {}
         self.move, self.cut, self.start = splitter()
-        self.classes = class_table()
+        self.classes = class_table(known)
         self.words: dict[str, int] = {}
         self.older: dict[str, int] = {}
         self.reset()
@@ -272,7 +269,7 @@ class Counter:
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """``doc_id``, bytes, tokens and whether the tokens pass ``limit``. One row per input row."""
     df = common.documents(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    shared = share(df, path)
+    shared = share(df, path, characters.tables())
     counted = common.map_texts(
         df, lambda texts: {"n_tokens": loaded(Counter, shared).count(texts)}, {"n_tokens": ("bigint", pa.int64())}
     )
