@@ -23,6 +23,7 @@ from freshet.functions.scalars import normal_name, parse_list, repair_id, to_num
 from freshet.operators.encode import fit_target_encoding
 from freshet.operators.master import union_parts
 from freshet.session import scratch_path
+from freshet.sources.buckets import read_buckets, write_buckets
 from freshet.sources.artifacts import (
     artifact_manifest,
     encoding_entries,
@@ -163,6 +164,14 @@ def panel_parts_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_panel(spark, path).select(*rows.columns)
 
 
+@query("panel_buckets_roundtrip", with_(*M, select="SELECT * FROM m"))
+def panel_buckets_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written in a fixed number of buckets whatever the number of series, and opened again from the folder."""
+    path = scratch_path(spark, "buckets")
+    write_buckets(master(spark, sf_dir), path)
+    return read_buckets(spark, path)
+
+
 @query(
     "key_coercion",
     "SELECT CAST(o_custkey AS STRING) AS basin_id, CAST(o_orderdate AS DATE) AS date, o_orderkey, "

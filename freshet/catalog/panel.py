@@ -41,6 +41,9 @@ from freshet.operators.features import (
 from freshet.operators.blocks import over_series
 from freshet.operators.master import attach_static, build_master, require
 from freshet.operators.split import basins
+from freshet.plans.panel import bucketed_feature_panel
+from freshet.session import scratch_path
+from freshet.sources.buckets import write_buckets
 
 KEYS = [fixed.KEY, fixed.TIME]
 
@@ -54,12 +57,30 @@ KEYS = [fixed.KEY, fixed.TIME]
 )
 def master_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target joined with one table per forcing, then with the attributes."""
-    rows = series(spark, sf_dir)
-    target = rows.select(*KEYS, fixed.TARGET)
-    forcings = [rows.select(*KEYS, c).filter(F.col(c).isNotNull()) for c in fixed.FORCINGS]
+    target, *forcings = _inputs(spark, sf_dir)
     return build_master(target, forcings, attributes(spark, sf_dir))
 
 
+def _inputs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The target's table and one table per forcing."""
+    rows = series(spark, sf_dir)
+    return [rows.select(*KEYS, fixed.TARGET), *[rows.select(*KEYS, c).filter(F.col(c).isNotNull()) for c in fixed.FORCINGS]]
+
+
+@query(
+    "bucketed_master_join",
+    with_(
+        *M, ("ats", ATTRS_SQL),
+        select="SELECT m.*, area_sites, elev_gauge, slope_class FROM m LEFT JOIN ats USING (basin_id)",
+    ),
+)
+def bucketed_master_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over tables stored in buckets, whose joins need no exchange."""
+    folder = scratch_path(spark, "buckets")
+    stored = [write_buckets(t, f"{folder}/{i}") for i, t in enumerate(_inputs(spark, sf_dir))]
+    return build_master(stored[0], stored[1:], attributes(spark, sf_dir))
+
+
 @query(
     "static_join_suffixes",
     with_(
@@ -163,6 +184,19 @@ def feature_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows, only=INEXACT)
 
 
+@query(
+    "bucketed_feature_panel",
+    with_(
+        *F_,
+        select="SELECT basin_id, date, " + ", ".join(r(c, c) for c in [*FEATURE_NAMES, "y", "y_log1p"]) + " FROM f",
+    ),
+)
+def bucketed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From one table per variable to the features, every step stored in buckets."""
+    rows = bucketed_feature_panel(_inputs(spark, sf_dir), scratch_path(spark, "buckets"), attributes(spark, sf_dir))
+    return rounded(rows.select(*KEYS, *FEATURE_NAMES, "y", "y_log1p"), only=INEXACT)
+
+
 MANY_NAMES = [n for n in FEATURE_NAMES if n not in ATTR_NAMES]
 
 

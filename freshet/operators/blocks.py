@@ -35,6 +35,11 @@ def long_series(df: DataFrame, rows: int, *, key: str = fixed.KEY) -> DataFrame
     return settle(sizes.filter(F.col("n") > rows).select(key))
 
 
+def window_columns(df: DataFrame, *, key: str = fixed.KEY, time: str = fixed.TIME, block_rows: int = BLOCK_ROWS) -> list[str]:
+    """Columns to store a panel by for its windows: the key, or key and time where a series is too long for a task."""
+    return [key] if long_series(df, block_rows, key=key) is None else [key, time]
+
+
 def _slot(time: str, unit: str | None) -> Column:
     return F.col(time) if unit is None else F.date_trunc(unit, F.col(time))
 

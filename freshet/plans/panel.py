@@ -6,11 +6,15 @@ with column pruning instead of repeating the joins.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from freshet import fixed
+from freshet.operators.blocks import window_columns
 from freshet.operators.features import build_features
 from freshet.operators.master import build_master
+from freshet.sources.buckets import write_buckets
 from freshet.sources.ledger import Ledger
 from freshet.sources.tables import read_panel, write_panel
 from freshet.sources.wide import read_attributes, read_wide
@@ -60,3 +64,17 @@ def feature_panel(
         ledger.check()
     write_panel(build_features(read_panel(spark, master_path), attrs), features_path)
     return read_panel(spark, features_path)
+
+
+def bucketed_feature_panel(
+    inputs: Sequence[DataFrame], folder: str, attrs: DataFrame | None = None, *, target_col: str = fixed.TARGET, buckets: int | None = None
+) -> DataFrame:
+    """Feature panel of the target's table and the forcings' tables, with every step stored in buckets.
+
+    Each input is exchanged once, when it is written. The joins of the master need no exchange, and neither do the
+    windows unless a series is so long that it has to be cut into blocks.
+    """
+    stored = [write_buckets(t, f"{folder}/input-{i}", buckets=buckets) for i, t in enumerate(inputs)]
+    master = build_master(stored[0], stored[1:], target_col=target_col)
+    held = write_buckets(master, f"{folder}/master", by=window_columns(master), buckets=buckets)
+    return build_features(held, attrs)
