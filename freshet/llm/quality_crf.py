@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm import common
+from freshet.session import store
 
 #: Labelled rows per label that the field is fitted on, about.
 SAMPLE = 1500
@@ -212,21 +213,30 @@ def train(features: np.ndarray, sizes: np.ndarray, lines: np.ndarray, labels: np
     return field
 
 
-def fit(docs: DataFrame, text_col: str = "text", label_col: str = "label", sample: int = SAMPLE) -> Field | None:
-    """Field from rows with a 0/1 label; None if either label is missing."""
+def fit(docs: DataFrame, text_col: str = "text", label_col: str = "label", sample: int = SAMPLE, labels: DataFrame | None = None, id_col: str = "doc_id") -> Field | None:
+    """Field from rows with a 0/1 label; None if either label is missing.
+
+    Labels stand in ``docs``, or in a table ``labels`` of their own with the same id. Only ids and hashes of texts meet
+    the labels; whole texts move for drawn ones only.
+    """
     common.small_batches(docs.sparkSession)
-    df = docs.where(F.col(f"`{label_col}`").isin(0, 1)).select(
-        F.col(f"`{label_col}`").cast("int").alias("label"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
-    )
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    draw = F.xxhash64(text, F.lit("draw")).bitwiseAND(F.lit(2**40 - 1)) / F.lit(float(2**40))
+    hashed = [F.xxhash64(text).alias("key"), draw.alias("draw")]
+    if labels is None:
+        known = docs.select(F.col(f"`{label_col}`").alias("label"), *hashed)
+    else:
+        known = docs.select(F.col(f"`{id_col}`").alias("id"), *hashed).join(labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label")), "id")
     # distinct texts, as the draw is one of texts: a label of copies of a few keeps them all
-    count = {r["label"]: r["count"] for r in df.select("label", F.xxhash64("text").alias("text")).distinct().groupBy("label").count().collect()}
+    known = store(known.where(F.col("label").isin(0, 1)).select(F.col("label").cast("int").alias("label"), "key", "draw").distinct(), "labelled")
+    count = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(count) < 2:
         return None
     # both labels are drawn with the same share, so that the curve sees them as often as they are
     share = min(1.0, 2 * sample / sum(count.values()))
     rare = min(1.0, max(share, sample / 4 / min(count.values())))
     chance = F.when(F.col("label") == min(count, key=count.get), rare).otherwise(share)
-    draw = F.xxhash64("text", F.lit("draw")).bitwiseAND(F.lit(2**40 - 1)) / F.lit(float(2**40))
+    drawn = store(known.where(F.col("draw") < chance).select("label", "key"), "drawn")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,8 +247,9 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "label", sampl
                     names=["label", "own", "size"],
                 )
 
-    # copies share their draw, so a text in a third of all rows would come with all of them
-    rows = df.where(draw < chance).distinct().mapInArrow(features, "label int, own binary, size binary").collect()
+    # a text in a third of all rows would come with all of its copies
+    texts = common.join_small(docs.select(text.alias("text"), hashed[0]), drawn, ["key"], "inner").select("label", "text").distinct()
+    rows = texts.mapInArrow(features, "label int, own binary, size binary").collect()
     rows.sort(key=lambda r: (r["label"], r["own"]))
     if len({r["label"] for r in rows}) < 2:
         return None

@@ -91,7 +91,7 @@ def op9_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from three quarters of the labels."""
     docs = _documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(_remainder(4) != 2).select("doc_id", F.col("quality").alias("label"))
-    field = quality_crf.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    field = quality_crf.fit(docs, labels=labels)
     scored = quality_crf.score(docs, field)
     return scored.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

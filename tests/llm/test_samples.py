@@ -1,5 +1,7 @@
 """Fitting samples that consist mostly of copies."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from freshet.llm import language_id, quality_crf
@@ -26,3 +28,23 @@ def test_a_label_of_copies_is_learnt(spark):
     tried = spark.createDataFrame([(0, bad[0]), (1, prose(9_999, 30) + ".\n" + prose(8_888, 30) + ".")], "doc_id long, text string")
     score = {r["doc_id"]: r["score"] for r in quality_crf.score(tried, field).collect()}
     assert score[0] < 0.5 < score[1]
+
+
+def test_texts_stay_where_labels_are_met(spark, monkeypatch):
+    """A table of labels meets ids and hashes only, and gives the field that labelled rows give."""
+    texts = [(i, prose(i, 30) + ".\n" + prose(5_000 + i, 30) + "." if i % 2 else f"$$$ {i} $$$\n!!! 9 9 9 9") for i in range(400)]
+    docs = spark.createDataFrame([*texts, (None, "loose"), (900, None), (901, texts[1][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(900, 0), (5, None), (7, 3), (None, 1)], "doc_id long, label int")
+    plans, store = {}, quality_crf.store
+    explain = spark.sparkContext._jvm.PythonSQLUtils.explainString
+
+    def kept(df, name):
+        plans[name] = explain(df._jdf.queryExecution(), "formatted")
+        return store(df, name)
+
+    monkeypatch.setattr(quality_crf, "store", kept)
+    own = quality_crf.fit(docs, labels=labels)
+    moved = re.findall(r"\(\d+\) \w*Exchange\nInput.*", plans["labelled"])
+    assert moved and not any(re.search(r"\btext#", columns) for columns in moved), moved
+    joined = quality_crf.fit(docs.join(labels, "doc_id"))
+    assert (own.weights == joined.weights).all() and (own.curve == joined.curve).all()
