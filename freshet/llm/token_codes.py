@@ -275,7 +275,7 @@ class Library:
             cut = pc.ascii_split_whitespace(pa.array(list(map(self._normal, texts)), type=pa.string()))
             words, upto = cut.flatten(), cut.offsets.to_numpy()
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist
         which = np.fromiter(map(self.number.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
         new = np.flatnonzero(which < 0).tolist()
         missing = [distinct[i] for i in new]
