@@ -6,9 +6,12 @@ fixed order of all n-grams, where ``need`` is the smallest overlap that a set of
 first in the order. Documents with equal sets are one class and enter once.
 
 Columns are cut into blocks by set size, and only neighbouring blocks meet. The products of short columns are formed
-at once. In long ones a hub of each block is multiplied with the rest; members that turn out linked share a label, and
-what is left between different labels is looked at again until it is short. So no link between labels is lost.
-Overlaps are accumulated over whole sets, and pairs below the bound are discarded.
+at once. In long ones a hub of each block is multiplied with the rest, and members that turn out linked share a label.
+What is left between different labels is mostly near copies of one text below the threshold. Their sets are written as
+differences from a hub: sets whose differences have no n-gram in common are linked only if both are linked with the hub,
+and others meet again in the first n-grams of their differences, rare ones first, so what all of them share no longer
+counts. Columns of differences that are still long get hubs of their own. So no link between labels is lost.
+Sketches of two sets bound how much they differ; overlaps of pairs within that bound are counted over whole sets.
 
 A null, empty or blank text has an empty set and is linked with nothing. A text with fewer than ``n`` words has one
 n-gram, all of its words. Rows may repeat; null ids count as larger than all others. Sets are told apart by 64-bit
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -36,8 +40,10 @@ BLOCK = 1_000_000
 FREQUENT_KEPT = 500_000
 #: Columns with at most this many products per entry between labels are multiplied whole, longer ones by hubs.
 LEFT_PER_ENTRY = 16
-#: After so many rounds of hubs, or one without a new link, the rest of every column is multiplied whole.
-HUB_ROUNDS = 3
+#: After so many rounds of differences the rest of every column is multiplied whole.
+HUB_ROUNDS = 4
+#: Bits of a sketch.
+SKETCH_BITS = 1024
 
 
 def ngrams(text: str, n: int) -> np.ndarray | None:
@@ -59,19 +65,31 @@ def need(size: np.ndarray | int, percent: int) -> np.ndarray | int:
     return -(-percent * size // 100)
 
 
+def apart(sizes, percent: int):
+    """Most n-grams in which two sets of these sizes together may differ if they reach the threshold."""
+    return (100 - percent) * sizes // (100 + percent)
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Parities of the n-grams in each of ``SKETCH_BITS`` classes; two sets differ at least in as many n-grams as their sketches in bits."""
+    odd = np.bincount((found & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def members(df: DataFrame, n: int) -> DataFrame:
-    """``doc_id, row, size, class`` of every row; class is null for empty sets."""
+    """``doc_id, row, size, class, sketch`` of every row; class and sketch are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [ngrams(t.as_py(), n) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row")]
-                + [pa.array([0 if f is None else len(f) for f in found], type=pa.int64()), pa.array([None if f is None else digest(f) for f in found], type=pa.int64())],
-                names=["doc_id", "row", "size", "class"],
+                + [pa.array([0 if f is None else len(f) for f in found], type=pa.int64()), pa.array([None if f is None else digest(f) for f in found], type=pa.int64())]
+                + [pa.array([None if f is None else sketch(f) for f in found], type=pa.list_(pa.int64()))],
+                names=["doc_id", "row", "size", "class", "sketch"],
             )
 
-    return df.mapInArrow(run, "doc_id bigint, row bigint, size bigint, class bigint")
+    return df.mapInArrow(run, "doc_id bigint, row bigint, size bigint, class bigint, sketch array<bigint>")
 
 
 def frequent(df: DataFrame, n: int) -> dict:
@@ -106,23 +124,22 @@ def frequent(df: DataFrame, n: int) -> dict:
     return {"grams": grams[order], "level": np.log2(most["times"].to_numpy().astype(float)[order]).astype(np.uint8)}
 
 
-def entries(df: DataFrame, n: int, percent: int) -> DataFrame:
+def in_order(found: np.ndarray, order: dict, most: int) -> np.ndarray:
+    """The first n-grams of an ascending set in the order of all n-grams, at most so many."""
+    known = order["grams"]
+    level = np.zeros(len(found), dtype=np.uint8)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        same = known[at] == found
+        level[same] = order["level"][at[same]] + 1
+    return found[np.argsort(level, kind="stable")[:most]]
+
+
+def entries(df: DataFrame, n: int, percent: int, order: Broadcast) -> DataFrame:
     """Entries of the restricted matrix: ``gram, class, size, pos``, columns with one class left out; stored.
 
     ``pos`` is the n-gram's position among those of its set, in the order of all n-grams.
     """
-    order = df.sparkSession.sparkContext.broadcast(frequent(df, n))
-
-    def first(found: np.ndarray) -> np.ndarray:
-        size = len(found)
-        keep = size - need(size, percent) + 1
-        known = order.value["grams"]
-        level = np.zeros(size, dtype=np.uint8)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-            same = known[at] == found
-            level[same] = order.value["level"][at[same]] + 1
-        return found[np.argsort(level, kind="stable")[:keep]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -135,7 +152,7 @@ def entries(df: DataFrame, n: int, percent: int) -> DataFrame:
                 if len(seen) >= 1_000_000:
                     seen.clear()
                 seen.add(d)
-                part = first(found)
+                part = in_order(found, order.value, len(found) - need(len(found), percent) + 1)
                 grams.append(part)
                 classes.append(np.full(len(part), d, dtype=np.int64))
                 sizes.append(np.full(len(part), len(found), dtype=np.int32))
@@ -173,12 +190,8 @@ def entries(df: DataFrame, n: int, percent: int) -> DataFrame:
     return store(spread.mapInArrow(shared, schema), "entries")
 
 
-def overlaps(df: DataFrame, pairs: DataFrame, who: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of classes whose sets reach the threshold; stored.
-
-    ``who`` names a row for each class. Overlaps are counted over the whole sets of the classes in the pairs.
-    """
-    named = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+def sets_of(df: DataFrame, named: DataFrame, who: DataFrame, n: int) -> DataFrame:
+    """``class, grams`` of the distinct classes in ``named``, again for a row with equal id and text; stored. ``who`` names a row for each class."""
     rows = store(named.join(who, "class").select("doc_id", "row", "class"), "classes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,14 +199,103 @@ def overlaps(df: DataFrame, pairs: DataFrame, who: DataFrame, n: int, percent: i
             found = [ngrams(t.as_py(), n).view(np.int64) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(found, type=pa.list_(pa.int64()))], names=["class", "grams"])
 
-    sets = store(common.join_small(df, rows, ["doc_id", "row"], "inner").select("class", "text").mapInArrow(run, "class bigint, grams array<bigint>"), "sets")
+    return store(common.join_small(df, rows, ["doc_id", "row"], "inner").select("class", "text").mapInArrow(run, "class bigint, grams array<bigint>"), "sets")
+
+
+def overlaps(df: DataFrame, pairs: DataFrame, who: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of classes whose sets reach the threshold; stored.
 
+    Overlaps are counted over whole sets, of pairs whose sketches do not differ too much.
+    """
+    for side in "ab":
+        pairs = pairs.join(who.select(F.col("class").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+    differ = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
+    close = store(pairs.where(differ * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)).select("a", "b"), "close")
+    sets = sets_of(df, close.select(F.explode(F.array("a", "b")).alias("class")).distinct(), who, n)
     left, right = sets.select(F.col("class").alias("a"), F.col("grams").alias("x")), sets.select(F.col("class").alias("b"), F.col("grams").alias("y"))
-    both = pairs.select("a", "b").join(right.hint("merge"), "b").join(left.hint("merge"), "a")
+    both = close.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
     counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("sizes"))
     return store(counted.where(F.col("same") * 100 >= (F.col("sizes") - F.col("same")) * percent).select("a", "b").distinct(), "linked")
 
 
+def differences(df: DataFrame, near: DataFrame, who: DataFrame, n: int, percent: int) -> DataFrame:
+    """``hub, class, size, d, linked, elems`` for the stored ``hub, class``; stored.
+
+    ``elems`` are the ``d`` n-grams that stand in one of both sets only.
+    """
+    sets = sets_of(df, near.select(F.explode(F.array("hub", "class")).alias("class")).distinct(), who, n).dropDuplicates(["class"])
+    hubs = store(near.select(F.col("hub").alias("class")).distinct().join(sets, "class").select(F.col("class").alias("hub"), F.col("grams").alias("from")), "hubs")
+    both = common.join_small(near.join(sets, "class"), hubs, ["hub"], "inner").select("hub", "class", "from", "grams")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column("from"), batch.column("grams")):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                found = np.setxor1d(x, y, assume_unique=True)
+                out.append((len(y), len(found), len(found) <= apart(len(x) + len(y), percent), found))
+            columns = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("hub"), batch.column("class")] + [pa.array(list(v), type=t) for v, t in zip(columns, (pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64())))],
+                names=["hub", "class", "size", "d", "linked", "elems"],
+            )
+
+    return store(both.mapInArrow(run, "hub bigint, class bigint, size int, d int, linked boolean, elems array<bigint>"), "differences")
+
+
+def _hubs(lists: DataFrame) -> DataFrame:
+    """``hub, class``: every column's hub, its member in most columns, with its members."""
+    rank = lists.groupBy("class").agg(F.count("*").alias("n")).select("class", F.struct("n", F.xxhash64("class").alias("h"), "class").alias("rank"))
+    hub = lists.join(rank, "class").groupBy("gram").agg(F.max("rank")["class"].alias("hub"))
+    return store(lists.join(hub, "gram").select("hub", "class").where("hub <> class").distinct(), "near")
+
+
+def _by_differences(df: DataFrame, lists: DataFrame, labels: DataFrame | None, done: DataFrame, who: DataFrame, n: int, percent: int) -> DataFrame | None:
+    """Labels after all links between members of the long columns ``gram, class, label``.
+
+    A set's difference from a hub is ordered, n-grams in few differences from that hub first. Two linked sets may differ
+    by ``most`` n-grams, so the one that is closer to the hub has a common n-gram in the first half of its first
+    ``most + 1`` (``lead``), the other one anywhere in them; behind both places there are enough n-grams for the overlap of
+    the differences that a link needs. If they have no n-gram in common, each set is linked with the hub.
+    """
+    for turn in range(HUB_ROUNDS):
+        mixed = lists.groupBy("gram").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other")
+        lists = store(lists.join(mixed, "gram", "left_semi").select("gram", "class"), "long")
+        if lists.isEmpty():
+            break
+        found = differences(df, _hubs(lists), who, n, percent)
+        linked = store(found.where("linked").select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).distinct(), "linked")
+        if not linked.isEmpty():
+            labels = _relabel(labels, linked)
+        most = F.floor((F.col("size") + F.floor(F.col("size") * 100 / percent)) * (100 - percent) / (100 + percent))
+        spread = found.select("hub", "class", "size", "d", F.explode("elems").alias("elem"))
+        ranked = spread.join(spread.groupBy("hub", "elem").agg(F.count("*").alias("times")), ["hub", "elem"])
+        ranked = ranked.withColumn("pos", F.row_number().over(Window.partitionBy("hub", "class").orderBy("times", "elem")) - 1).where((F.col("pos") <= most) & (F.col("times") > 1))
+        ranked = ranked.select(F.xxhash64("hub", "elem").alias("gram"), "class", "size", "d", "pos", (F.col("pos") * 2 <= most).alias("lead"))
+        lists = store(_labelled(ranked, labels), "lists")
+        by_label = lists.groupBy("gram", "label").agg(F.count("*").alias("m"), F.count_if("lead").alias("leads")).groupBy("gram")
+        mixed = by_label.agg(F.sum("m").alias("m"), F.sum("leads").alias("leads"), F.sum(F.col("m") * F.col("m")).alias("own"), F.max(F.struct("m", "label"))["label"].alias("main"), F.count("*").alias("n"))
+        heavy = F.col("leads") * (1 - F.col("own") / (F.col("m") * F.col("m"))) > LEFT_PER_ENTRY if turn < HUB_ROUNDS - 1 else F.lit(False)
+        lists = store(lists.join(mixed.where("n > 1 AND leads > 0").select("gram", "main", heavy.alias("heavy")), "gram"), "lists")
+        light = lists.where("NOT heavy")
+        other = light.select("gram", F.struct("class", "size", "label", "d", "pos").alias("other"), (F.col("label") == F.col("main")).alias("other_main"))
+        lead = light.where("lead")
+        met = lead.where("label <> main").join(other, "gram").unionByName(lead.where("label = main").join(other.where("NOT other_main"), "gram"))
+        sizes = F.col("size") + F.col("other.size")
+        share = F.greatest(F.lit(1), F.ceil((F.col("d") + F.col("other.d") - F.floor(sizes * (100 - percent) / (100 + percent))) / 2))
+        first = F.struct("d", "class") < F.struct("other.d", "other.class")
+        places = (F.col("pos") <= F.col("d") - share) & (F.col("other.pos") <= F.col("other.d") - share)
+        met = met.where((F.col("label") != F.col("other.label")) & first & places)
+        pairs = met.select(F.least("class", "other.class").alias("a"), F.greatest("class", "other.class").alias("b")).distinct()
+        pairs = store(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            linked = overlaps(df, pairs, who, n, percent)
+            labels = labels if linked.isEmpty() else _relabel(labels, linked)
+            done = done.union(pairs)
+        lists = _labelled(lists.where("heavy").select("gram", "class"), labels)
+    return labels
+
+
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, row, n_shingles, component_id`` and ``first_row``; one row per input row.
 
@@ -203,42 +305,35 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     df = common.with_row(common.documents(docs, id_col, text_col))
     rows = store(members(df, n), "members")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    who = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(place).alias("first")).select("class", "first.doc_id", "first.row")
+    who = rows.where("class IS NOT NULL").groupBy("class").agg(F.min(place).alias("first"), F.min_by(F.struct("size", "sketch"), place).alias("set"))
+    who = store(who.select("class", "first.doc_id", "first.row", "set.size", "set.sketch"), "who")
+    order = df.sparkSession.sparkContext.broadcast(frequent(df, n))
     # sizes that can reach the threshold lie in the same or a neighbouring step of a scale of that ratio
     step = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("size")
-    lists = entries(df, n, percent).withColumn("step", step).withColumn("label", F.col("class"))
+    lists = entries(df, n, percent, order).withColumn("step", step).withColumn("label", F.col("class"))
     fits = (F.col("size") * 100 >= F.col("other.size") * percent) & (F.col("other.size") * 100 >= F.col("size") * percent)
-    done = labels = None
-    stuck = False
-    for turn in range(HUB_ROUNDS + 1):
-        by_label = lists.groupBy("gram", "label").agg(F.count("*").alias("m")).groupBy("gram")
-        mixed = by_label.agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"), F.max(F.struct("m", "label"))["label"].alias("main"), F.count("*").alias("n")).where("n > 1")
-        near = Window.partitionBy("gram").orderBy("step").rangeBetween(0, 1)
-        by_step = lists.groupBy("gram", "step").agg(F.count("*").alias("here")).withColumn("met", F.col("here") * F.sum("here").over(near))
-        products = by_step.groupBy("gram").agg(F.sum("met").alias("met"))
-        mixed = mixed.join(products, "gram").withColumn("heavy", F.col("met") * (1 - F.col("own") / (F.col("m") * F.col("m"))) > LEFT_PER_ENTRY * F.col("m"))
-        if turn == HUB_ROUNDS or stuck:
-            mixed = mixed.withColumn("heavy", F.lit(False))
-        lists = store(lists.join(mixed.select("gram", "main", "heavy"), "gram"), "lists")
-        if lists.isEmpty():
-            break
-        # short columns: all labels but the main one meet every other; long ones: a hub of each step does
-        whole = lists.where("NOT heavy AND label <> main").select("gram", F.struct("class", "size", "label", "pos").alias("other"), "step")
-        hub = F.min_by(F.struct("class", "size", "label", "pos"), F.struct(F.col("label") != F.col("main"), F.xxhash64("class", F.lit(turn))))
-        hubs = lists.where("heavy").groupBy("gram", "step").agg(hub.alias("other")).select("gram", "other", "step")
-        around = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step") if percent < 100 else F.col("step")
-        met = lists.join(whole.union(hubs).select("gram", "other", around), ["gram", "step"])
-        met = met.where(fits & (F.col("label") != F.col("other.label")) & (F.col("heavy") | (F.col("label") == F.col("main")) | (F.col("class") < F.col("other.class"))))
-        here, there = F.struct("class", "size", "pos"), F.struct("other.class", "other.size", "other.pos")
-        pairs = _candidates(met.select(F.least(here, there).alias("a"), F.greatest(here, there).alias("b"), "heavy"), lists, percent, turn == 0)
-        pairs = store(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            linked = overlaps(df, pairs, who, n, percent)
-            stuck = linked.isEmpty()
-            labels = labels if stuck else _relabel(labels, linked)
-            done = pairs if done is None else done.union(pairs)
-        lists = _labelled(lists.where("heavy").select("gram", "class", "size", "pos", "step"), labels)
-    joined = _labelled(rows, labels)
+    labels = None
+    by_label = lists.groupBy("gram", "label").agg(F.count("*").alias("m")).groupBy("gram")
+    mixed = by_label.agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"), F.max(F.struct("m", "label"))["label"].alias("main"), F.count("*").alias("n")).where("n > 1")
+    near = Window.partitionBy("gram").orderBy("step").rangeBetween(0, 1)
+    by_step = lists.groupBy("gram", "step").agg(F.count("*").alias("here")).withColumn("met", F.col("here") * F.sum("here").over(near))
+    products = by_step.groupBy("gram").agg(F.sum("met").alias("met"))
+    mixed = mixed.join(products, "gram").withColumn("heavy", F.col("met") * (1 - F.col("own") / (F.col("m") * F.col("m"))) > LEFT_PER_ENTRY * F.col("m"))
+    lists = store(lists.join(mixed.select("gram", "main", "heavy"), "gram"), "lists")
+    # short columns: all labels but the main one meet every other; long ones: a hub of each step does
+    whole = lists.where("NOT heavy AND label <> main").select("gram", F.struct("class", "size", "label", "pos").alias("other"), "step")
+    hub = F.min_by(F.struct("class", "size", "label", "pos"), F.struct(F.col("label") != F.col("main"), F.xxhash64("class", F.lit(0))))
+    hubs = lists.where("heavy").groupBy("gram", "step").agg(hub.alias("other")).select("gram", "other", "step")
+    around = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step") if percent < 100 else F.col("step")
+    met = lists.join(whole.union(hubs).select("gram", "other", around), ["gram", "step"])
+    met = met.where(fits & (F.col("label") != F.col("other.label")) & (F.col("heavy") | (F.col("label") == F.col("main")) | (F.col("class") < F.col("other.class"))))
+    here, there = F.struct("class", "size", "pos"), F.struct("other.class", "other.size", "other.pos")
+    pairs = store(_candidates(met.select(F.least(here, there).alias("a"), F.greatest(here, there).alias("b"), "heavy"), lists, percent), "pairs")
+    if not pairs.isEmpty():
+        linked = overlaps(df, pairs, who, n, percent)
+        labels = None if linked.isEmpty() else _relabel(None, linked)
+        labels = _by_differences(df, _labelled(lists.where("heavy").select("gram", "class"), labels), labels, pairs, who, n, percent)
+    joined = _labelled(rows.drop("sketch"), labels)
     least = joined.where("label IS NOT NULL").groupBy("label").agg(F.min(place).alias("first"))
     out = joined.join(least, "label", "left")
     alone = F.col("label").isNull()
@@ -248,14 +343,12 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     )
 
 
-def _candidates(met: DataFrame, lists: DataFrame, percent: int, complete: bool) -> DataFrame:
+def _candidates(met: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs ``a, b`` among the products, without those whose accumulated overlap is bound to stay too small.
 
-    If all products of short columns are there (``complete``), a pair's overlap is at most those, plus its entries in
+    All products of short columns are there, so a pair's overlap is at most those, plus its entries in
     long columns, plus what either set has after the last n-gram that was met.
     """
-    if not complete:
-        return met.select(F.col("a.class").alias("a"), F.col("b.class").alias("b")).distinct()
     short = F.when(~F.col("heavy"), True)
     seen = met.groupBy(F.col("a.class").alias("a"), F.col("b.class").alias("b")).agg(
         F.count(short).alias("both"), F.max(F.when(short, F.col("a.pos"))).alias("at_a"), F.max(F.when(short, F.col("b.pos"))).alias("at_b"),

@@ -29,6 +29,31 @@ def test_jaccard_join_chains(spark, percent):
     same(out, brute.jaccard_components(made, 3, percent))
 
 
+def test_jaccard_join_of_near_copies_below_the_threshold(spark, monkeypatch):
+    """240 copies of one text with words changed, most too far apart: the pairs looked at grow with the copies, not with their square."""
+    import random
+
+    rng, looked = random.Random(11), []
+    base = [f"w{rng.randrange(2_000)}" for _ in range(60)]
+    made = []
+    for i in range(240):
+        text = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            at = rng.randrange(len(text))
+            text[at : at + rng.choice([0, 1, 1, 1])] = [f"w{rng.randrange(2_000)}"] * rng.choice([0, 1, 1, 1])
+        made.append((i, " ".join(text)))
+    overlaps = ngram_join.overlaps
+
+    def counted(df, pairs, *more):
+        looked.append(pairs.count())
+        return overlaps(df, pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "overlaps", counted)
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    same(ngram_join.jaccard_join(df, 4, 85).select("doc_id", "n_shingles", "component_id"), brute.jaccard_components(made))
+    assert sum(looked) < 10 * len(made)
+
+
 def test_pii_spans(docs, nothing, rows):
     found = pii.digest(pii.spans(docs)).collect()
     by_text = {r["base"] for r in found}
