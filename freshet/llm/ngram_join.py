@@ -9,8 +9,11 @@ Columns are cut into blocks by set size, and only neighbouring blocks meet. The
 at once. In long ones a hub of each block is multiplied with the rest, and members that turn out linked share a label.
 What is left between different labels is mostly near copies of one text below the threshold. Their sets are written as
 differences from a hub: sets whose differences have no n-gram in common are linked only if both are linked with the hub,
-and others meet again in the first n-grams of their differences, rare ones first, so what all of them share no longer
-counts. Columns of differences that are still long get hubs of their own. So no link between labels is lost.
+and others meet again in the first n-grams of their differences, so what all of them share no longer counts. N-grams
+that the hub does not have come first. Sets that have none of these in common lie together in the hub only, and a set is at
+least as like the hub as another one that is no smaller than the hub; so n-grams that only the hub has are needed for a few
+sets smaller than it and those next to the threshold. Columns of differences that are still long get hubs of their own.
+So no link between labels is lost.
 Sketches of two sets bound how much they differ; overlaps of pairs within that bound are counted over whole sets.
 
 A null, empty or blank text has an empty set and is linked with nothing. A text with fewer than ``n`` words has one
@@ -40,7 +43,7 @@ BLOCK = 1_000_000
 FREQUENT_KEPT = 500_000
 #: Columns with at most this many products per entry between labels are multiplied whole, longer ones by hubs.
 LEFT_PER_ENTRY = 16
-#: After so many rounds of differences the rest of every column is multiplied whole.
+#: After so many rounds of differences, or one that leaves long columns half their length, the rest of every column is multiplied whole.
 HUB_ROUNDS = 4
 #: Bits of a sketch.
 SKETCH_BITS = 1024
@@ -70,6 +73,11 @@ def apart(sizes, percent: int):
     return (100 - percent) * sizes // (100 + percent)
 
 
+def least_common(sizes, percent: int):
+    """Fewest n-grams that two sets of these sizes together have in common if they reach the threshold."""
+    return -(-percent * sizes // (100 + percent))
+
+
 def sketch(found: np.ndarray) -> np.ndarray:
     """Parities of the n-grams in each of ``SKETCH_BITS`` classes; two sets differ at least in as many n-grams as their sketches in bits."""
     odd = np.bincount((found & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
@@ -191,8 +199,8 @@ def entries(df: DataFrame, n: int, percent: int, order: Broadcast) -> DataFrame:
 
 
 def sets_of(df: DataFrame, named: DataFrame, who: DataFrame, n: int) -> DataFrame:
-    """``class, grams`` of the distinct classes in ``named``, again for a row with equal id and text; stored. ``who`` names a row for each class."""
-    rows = store(named.join(who, "class").select("doc_id", "row", "class"), "classes")
+    """``class, grams`` of the distinct classes in the stored ``named``, again for a row with equal id and text; stored. ``who`` names a row for each class."""
+    rows = store(common.join_small(who.select("doc_id", "row", "class"), named, ["class"], "inner"), "classes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,97 +210,126 @@ def sets_of(df: DataFrame, named: DataFrame, who: DataFrame, n: int) -> DataFram
     return store(common.join_small(df, rows, ["doc_id", "row"], "inner").select("class", "text").mapInArrow(run, "class bigint, grams array<bigint>"), "sets")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """``class``: all classes in the pairs ``a, b``; stored."""
+    return store(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ends")
+
+
 def overlaps(df: DataFrame, pairs: DataFrame, who: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` of classes whose sets reach the threshold; stored.
 
     Overlaps are counted over whole sets, of pairs whose sketches do not differ too much.
     """
+    known = store(common.join_small(who.select("class", "size", "sketch"), _ends(pairs), ["class"], "inner"), "sketches")
     for side in "ab":
-        pairs = pairs.join(who.select(F.col("class").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+        pairs = common.join_small(pairs, known.select(F.col("class").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), [side], "inner")
     differ = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
     close = store(pairs.where(differ * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)).select("a", "b"), "close")
-    sets = sets_of(df, close.select(F.explode(F.array("a", "b")).alias("class")).distinct(), who, n)
+    if close.isEmpty():
+        return close
+    sets = sets_of(df, _ends(close), who, n)
     left, right = sets.select(F.col("class").alias("a"), F.col("grams").alias("x")), sets.select(F.col("class").alias("b"), F.col("grams").alias("y"))
     both = close.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
     counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("sizes"))
     return store(counted.where(F.col("same") * 100 >= (F.col("sizes") - F.col("same")) * percent).select("a", "b").distinct(), "linked")
 
 
-def differences(df: DataFrame, near: DataFrame, who: DataFrame, n: int, percent: int) -> DataFrame:
-    """``hub, class, size, d, linked, elems`` for the stored ``hub, class``; stored.
+def differences(df: DataFrame, near: DataFrame, who: DataFrame, n: int, percent: int, order: Broadcast) -> DataFrame:
+    """``hub, class, size, over, d, more, most, linked, loose, elems`` for the stored ``hub, class, low``; stored.
 
-    ``elems`` are the ``d`` n-grams that stand in one of both sets only.
+    ``d`` n-grams stand in one of both sets only, ``more`` of them in the class; the hub has ``over`` more n-grams than the
+    class. Two linked sets differ by ``most`` n-grams at most, so ``elems`` are the first ``most + 1`` of the difference,
+    those of the class first, up to the place behind which too few n-grams are left to have in common with a set of ``low``. Those of the hub only count between a ``loose`` set and one smaller than the hub. A loose
+    set is not linked with the hub, yet may be with a set of at least ``low`` n-grams, all their common ones in the hub.
     """
-    sets = sets_of(df, near.select(F.explode(F.array("hub", "class")).alias("class")).distinct(), who, n).dropDuplicates(["class"])
+    sets = sets_of(df, store(near.select(F.explode(F.array("hub", "class")).alias("class")).distinct(), "ends"), who, n).dropDuplicates(["class"])
     hubs = store(near.select(F.col("hub").alias("class")).distinct().join(sets, "class").select(F.col("class").alias("hub"), F.col("grams").alias("from")), "hubs")
-    both = common.join_small(near.join(sets, "class"), hubs, ["hub"], "inner").select("hub", "class", "from", "grams")
+    both = common.join_small(near.join(sets, "class"), hubs, ["hub"], "inner").select("hub", "class", "low", "from", "grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x, y in zip(batch.column("from"), batch.column("grams")):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                found = np.setxor1d(x, y, assume_unique=True)
-                out.append((len(y), len(found), len(found) <= apart(len(x) + len(y), percent), found))
-            columns = list(zip(*out)) or [[]] * 4
+            for x, y, low in zip(batch.column("from"), batch.column("grams"), batch.column("low").to_pylist()):
+                x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
+                more, less = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+                d, most = len(more) + len(less), apart(len(y) + len(y) * 100 // percent, percent)
+                linked = d <= apart(len(x) + len(y), percent)
+                low = max(low, need(len(y), percent))
+                last = len(y) - least_common(len(y) + low, percent)
+                loose = not linked and low < len(x) and len(more) <= last
+                elems = in_order(more, order.value, min(most, last) + 1)
+                if len(more) <= last and (loose or len(y) < len(x)):
+                    elems = np.concatenate([elems, np.sort(less)[: most + 1 - len(elems)]])
+                out.append((len(y), len(x) - len(y), d, len(more), most, linked, loose, elems.view(np.int64)))
+            columns = list(zip(*out)) or [[]] * 8
             yield pa.RecordBatch.from_arrays(
-                [batch.column("hub"), batch.column("class")] + [pa.array(list(v), type=t) for v, t in zip(columns, (pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64())))],
-                names=["hub", "class", "size", "d", "linked", "elems"],
+                [batch.column("hub"), batch.column("class")] + [pa.array(list(v), type=t) for v, t in zip(columns, [pa.int32()] * 5 + [pa.bool_()] * 2 + [pa.list_(pa.int64())])],
+                names=["hub", "class", "size", "over", "d", "more", "most", "linked", "loose", "elems"],
             )
 
-    return store(both.mapInArrow(run, "hub bigint, class bigint, size int, d int, linked boolean, elems array<bigint>"), "differences")
+    return store(both.mapInArrow(run, "hub bigint, class bigint, size int, over int, d int, more int, most int, linked boolean, loose boolean, elems array<bigint>"), "differences")
 
 
 def _hubs(lists: DataFrame) -> DataFrame:
-    """``hub, class``: every column's hub, its member in most columns, with its members."""
-    rank = lists.groupBy("class").agg(F.count("*").alias("n")).select("class", F.struct("n", F.xxhash64("class").alias("h"), "class").alias("rank"))
+    """``hub, class, low``: every column's hub, with its members and the size of the smallest of them.
+
+    The hub is the member in most columns, of these the one that was closest to the last hub.
+    """
+    rank = lists.groupBy("class").agg(F.count("*").alias("n"), F.min("d").alias("d")).select("class", F.struct("n", (-F.col("d")).alias("d"), F.xxhash64("class").alias("h"), "class").alias("rank"))
     hub = lists.join(rank, "class").groupBy("gram").agg(F.max("rank")["class"].alias("hub"))
-    return store(lists.join(hub, "gram").select("hub", "class").where("hub <> class").distinct(), "near")
+    near = store(lists.join(hub, "gram").select("hub", "class", "size").where("hub <> class").distinct(), "near")
+    return store(near.join(near.groupBy("hub").agg(F.min("size").alias("low")), "hub").select("hub", "class", "low"), "near")
 
 
-def _by_differences(df: DataFrame, lists: DataFrame, labels: DataFrame | None, done: DataFrame, who: DataFrame, n: int, percent: int) -> DataFrame | None:
-    """Labels after all links between members of the long columns ``gram, class, label``.
+def _by_differences(df: DataFrame, lists: DataFrame, labels: DataFrame | None, done: DataFrame, who: DataFrame, n: int, percent: int, order: Broadcast) -> DataFrame | None:
+    """Labels after all links between members of the long columns ``gram, class, size, d, label``.
 
-    A set's difference from a hub is ordered, n-grams in few differences from that hub first. Two linked sets may differ
-    by ``most`` n-grams, so the one that is closer to the hub has a common n-gram in the first half of its first
-    ``most + 1`` (``lead``), the other one anywhere in them; behind both places there are enough n-grams for the overlap of
-    the differences that a link needs. If they have no n-gram in common, each set is linked with the hub.
+    A set's difference from a hub is ordered, its own n-grams first and then those that only the hub has. Two linked
+    sets may differ by ``most`` n-grams, so the one that is closer to the hub has the first common n-gram in the first half of its
+    first ``most + 1`` (``lead``), the other one anywhere in them; behind both places there are enough n-grams for the overlap
+    of the differences that a link needs. If they have no n-gram in common, each set is linked with the hub. If the first
+    common one is the hub's only, the sets have nothing in common outside the hub, and a set is linked with the hub
+    if the other one is no smaller than that: what remains lies between loose sets, which lead here, and smaller ones.
     """
     for turn in range(HUB_ROUNDS):
         mixed = lists.groupBy("gram").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other")
-        lists = store(lists.join(mixed, "gram", "left_semi").select("gram", "class"), "long")
-        if lists.isEmpty():
+        lists = store(lists.join(mixed, "gram", "left_semi").select("gram", "class", "size", "d"), "long")
+        held = lists.count()
+        if not held:
             break
-        found = differences(df, _hubs(lists), who, n, percent)
+        found = differences(df, _hubs(lists), who, n, percent, order)
         linked = store(found.where("linked").select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).distinct(), "linked")
         if not linked.isEmpty():
             labels = _relabel(labels, linked)
-        most = F.floor((F.col("size") + F.floor(F.col("size") * 100 / percent)) * (100 - percent) / (100 + percent))
-        spread = found.select("hub", "class", "size", "d", F.explode("elems").alias("elem"))
-        ranked = spread.join(spread.groupBy("hub", "elem").agg(F.count("*").alias("times")), ["hub", "elem"])
-        ranked = ranked.withColumn("pos", F.row_number().over(Window.partitionBy("hub", "class").orderBy("times", "elem")) - 1).where((F.col("pos") <= most) & (F.col("times") > 1))
-        ranked = ranked.select(F.xxhash64("hub", "elem").alias("gram"), "class", "size", "d", "pos", (F.col("pos") * 2 <= most).alias("lead"))
-        lists = store(_labelled(ranked, labels), "lists")
+        spread = found.select("hub", "class", "size", "over", "d", "more", "most", "loose", F.posexplode("elems").alias("pos", "elem")).withColumn("hubs", F.col("pos") >= F.col("more"))
+        spread = spread.withColumn("lead", F.when(F.col("hubs"), F.col("loose")).otherwise(F.col("pos") * 2 <= F.col("most")))
+        spread = spread.select(F.xxhash64("hub", "elem").alias("gram"), "class", "size", "over", "d", "more", "pos", "hubs", "lead")
+        lists = store(_labelled(spread, labels), "lists")
         by_label = lists.groupBy("gram", "label").agg(F.count("*").alias("m"), F.count_if("lead").alias("leads")).groupBy("gram")
         mixed = by_label.agg(F.sum("m").alias("m"), F.sum("leads").alias("leads"), F.sum(F.col("m") * F.col("m")).alias("own"), F.max(F.struct("m", "label"))["label"].alias("main"), F.count("*").alias("n"))
         heavy = F.col("leads") * (1 - F.col("own") / (F.col("m") * F.col("m"))) > LEFT_PER_ENTRY if turn < HUB_ROUNDS - 1 else F.lit(False)
         lists = store(lists.join(mixed.where("n > 1 AND leads > 0").select("gram", "main", heavy.alias("heavy")), "gram"), "lists")
+        if turn and lists.where("heavy").count() * 2 > held:  # another hub would not shorten them
+            lists = lists.withColumn("heavy", F.lit(False))
         light = lists.where("NOT heavy")
-        other = light.select("gram", F.struct("class", "size", "label", "d", "pos").alias("other"), (F.col("label") == F.col("main")).alias("other_main"))
+        other = light.where("NOT hubs OR over > 0").select("gram", F.struct("class", "size", "label", "d", "more", "pos").alias("other"), (F.col("label") == F.col("main")).alias("other_main"))
         lead = light.where("lead")
         met = lead.where("label <> main").join(other, "gram").unionByName(lead.where("label = main").join(other.where("NOT other_main"), "gram"))
-        sizes = F.col("size") + F.col("other.size")
-        share = F.greatest(F.lit(1), F.ceil((F.col("d") + F.col("other.d") - F.floor(sizes * (100 - percent) / (100 + percent))) / 2))
+        most = F.floor((F.col("size") + F.col("other.size")) * (100 - percent) / (100 + percent))
+        share = F.greatest(F.lit(1), F.ceil((F.col("d") + F.col("other.d") - most) / 2))
         first = F.struct("d", "class") < F.struct("other.d", "other.class")
         places = (F.col("pos") <= F.col("d") - share) & (F.col("other.pos") <= F.col("other.d") - share)
-        met = met.where((F.col("label") != F.col("other.label")) & first & places)
+        # own n-grams before the first common one are not common
+        left = F.least(F.col("size") - F.least("pos", "more"), F.col("other.size") - F.least("other.pos", "other.more"))
+        enough = left >= F.ceil((F.col("size") + F.col("other.size")) * percent / (100 + percent))
+        met = met.where((F.col("label") != F.col("other.label")) & places & enough & (F.col("hubs") | first))
         pairs = met.select(F.least("class", "other.class").alias("a"), F.greatest("class", "other.class").alias("b")).distinct()
         pairs = store(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             linked = overlaps(df, pairs, who, n, percent)
             labels = labels if linked.isEmpty() else _relabel(labels, linked)
             done = done.union(pairs)
-        lists = _labelled(lists.where("heavy").select("gram", "class"), labels)
+        lists = _labelled(lists.where("heavy").select("gram", "class", "size", "d"), labels)
     return labels
 
 
@@ -310,29 +347,27 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     order = df.sparkSession.sparkContext.broadcast(frequent(df, n))
     # sizes that can reach the threshold lie in the same or a neighbouring step of a scale of that ratio
     step = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("size")
-    lists = entries(df, n, percent, order).withColumn("step", step).withColumn("label", F.col("class"))
+    lists = entries(df, n, percent, order).withColumn("step", step)
     fits = (F.col("size") * 100 >= F.col("other.size") * percent) & (F.col("other.size") * 100 >= F.col("size") * percent)
     labels = None
-    by_label = lists.groupBy("gram", "label").agg(F.count("*").alias("m")).groupBy("gram")
-    mixed = by_label.agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"), F.max(F.struct("m", "label"))["label"].alias("main"), F.count("*").alias("n")).where("n > 1")
     near = Window.partitionBy("gram").orderBy("step").rangeBetween(0, 1)
-    by_step = lists.groupBy("gram", "step").agg(F.count("*").alias("here")).withColumn("met", F.col("here") * F.sum("here").over(near))
-    products = by_step.groupBy("gram").agg(F.sum("met").alias("met"))
-    mixed = mixed.join(products, "gram").withColumn("heavy", F.col("met") * (1 - F.col("own") / (F.col("m") * F.col("m"))) > LEFT_PER_ENTRY * F.col("m"))
+    by_step = lists.groupBy("gram", "step").agg(F.count("*").alias("here"), F.max("class").alias("main")).withColumn("met", F.col("here") * F.sum("here").over(near))
+    mixed = by_step.groupBy("gram").agg(F.sum("here").alias("m"), F.sum("met").alias("met"), F.max("main").alias("main"))
+    mixed = mixed.withColumn("heavy", F.col("met") * (1 - 1 / F.col("m")) > LEFT_PER_ENTRY * F.col("m"))
     lists = store(lists.join(mixed.select("gram", "main", "heavy"), "gram"), "lists")
-    # short columns: all labels but the main one meet every other; long ones: a hub of each step does
-    whole = lists.where("NOT heavy AND label <> main").select("gram", F.struct("class", "size", "label", "pos").alias("other"), "step")
-    hub = F.min_by(F.struct("class", "size", "label", "pos"), F.struct(F.col("label") != F.col("main"), F.xxhash64("class", F.lit(0))))
+    # short columns: all classes but the main one meet every other; long ones: a hub of each step does
+    whole = lists.where("NOT heavy AND class <> main").select("gram", F.struct("class", "size", "pos").alias("other"), "step")
+    hub = F.min_by(F.struct("class", "size", "pos"), F.struct(F.col("class") != F.col("main"), F.xxhash64("class", F.lit(0))))
     hubs = lists.where("heavy").groupBy("gram", "step").agg(hub.alias("other")).select("gram", "other", "step")
     around = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step") if percent < 100 else F.col("step")
     met = lists.join(whole.union(hubs).select("gram", "other", around), ["gram", "step"])
-    met = met.where(fits & (F.col("label") != F.col("other.label")) & (F.col("heavy") | (F.col("label") == F.col("main")) | (F.col("class") < F.col("other.class"))))
+    met = met.where(fits & (F.col("class") != F.col("other.class")) & (F.col("heavy") | (F.col("class") == F.col("main")) | (F.col("class") < F.col("other.class"))))
     here, there = F.struct("class", "size", "pos"), F.struct("other.class", "other.size", "other.pos")
     pairs = store(_candidates(met.select(F.least(here, there).alias("a"), F.greatest(here, there).alias("b"), "heavy"), lists, percent), "pairs")
     if not pairs.isEmpty():
         linked = overlaps(df, pairs, who, n, percent)
         labels = None if linked.isEmpty() else _relabel(None, linked)
-        labels = _by_differences(df, _labelled(lists.where("heavy").select("gram", "class"), labels), labels, pairs, who, n, percent)
+        labels = _by_differences(df, _labelled(lists.where("heavy").select("gram", "class", "size", F.lit(0).alias("d")), labels), labels, pairs, who, n, percent, order)
     joined = _labelled(rows.drop("sketch"), labels)
     least = joined.where("label IS NOT NULL").groupBy("label").agg(F.min(place).alias("first"))
     out = joined.join(least, "label", "left")

@@ -54,6 +54,34 @@ def test_jaccard_join_of_near_copies_below_the_threshold(spark, monkeypatch):
     assert sum(looked) < 10 * len(made)
 
 
+@pytest.mark.parametrize("percent", [60, 85])
+def test_jaccard_join_hands_on_few_ngrams_of_differences(spark, monkeypatch, percent):
+    """Copies of one text with words changed, taken out or added: of a difference no more is handed on than two linked sets may differ by."""
+    import random
+
+    rng, long = random.Random(5), []
+    base = [f"w{rng.randrange(2_000)}" for _ in range(70)]
+    made = []
+    for i in range(150):
+        text = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 9])):
+            at = rng.randrange(len(text))
+            text[at : at + rng.choice([0, 1, 1, 2])] = [f"w{rng.randrange(2_000)}"] * rng.choice([0, 0, 1, 1, 2])
+        made.append((i, " ".join(text)))
+    differences = ngram_join.differences
+
+    def measured(*given):
+        found = differences(*given)
+        long.extend((r["size"], len(r["elems"])) for r in found.collect())
+        return found
+
+    monkeypatch.setattr(ngram_join, "differences", measured)
+    monkeypatch.setattr(ngram_join, "LEFT_PER_ENTRY", 1)
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    same(ngram_join.jaccard_join(df, 4, percent).select("doc_id", "n_shingles", "component_id"), brute.jaccard_components(made, 4, percent))
+    assert long and all(held <= ngram_join.apart(size + size * 100 // percent, percent) + 1 for size, held in long)
+
+
 def test_pii_spans(docs, nothing, rows):
     found = pii.digest(pii.spans(docs)).collect()
     by_text = {r["base"] for r in found}
