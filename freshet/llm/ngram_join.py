@@ -301,10 +301,10 @@ def _by_differences(df: DataFrame, lists: DataFrame, labels: DataFrame | None, d
         linked = store(found.where("linked").select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).distinct(), "linked")
         if not linked.isEmpty():
             labels = _relabel(labels, linked)
-        spread = found.select("hub", "class", "size", "over", "d", "more", "most", "loose", F.posexplode("elems").alias("pos", "elem")).withColumn("hubs", F.col("pos") >= F.col("more"))
+        spread = _labelled(found, labels).select("hub", "class", "size", "over", "d", "more", "most", "loose", "label", F.posexplode("elems").alias("pos", "elem")).withColumn("hubs", F.col("pos") >= F.col("more"))
         spread = spread.withColumn("lead", F.when(F.col("hubs"), F.col("loose")).otherwise(F.col("pos") * 2 <= F.col("most")))
-        spread = spread.select(F.xxhash64("hub", "elem").alias("gram"), "class", "size", "over", "d", "more", "pos", "hubs", "lead")
-        lists = store(_labelled(spread, labels), "lists")
+        spread = spread.select(F.xxhash64("hub", "elem").alias("gram"), "class", "size", "over", "d", "more", "pos", "hubs", "lead", "label")
+        lists = store(spread, "lists")
         by_label = lists.groupBy("gram", "label").agg(F.count("*").alias("m"), F.count_if("lead").alias("leads")).groupBy("gram")
         mixed = by_label.agg(F.sum("m").alias("m"), F.sum("leads").alias("leads"), F.sum(F.col("m") * F.col("m")).alias("own"), F.max(F.struct("m", "label"))["label"].alias("main"), F.count("*").alias("n"))
         heavy = F.col("leads") * (1 - F.col("own") / (F.col("m") * F.col("m"))) > LEFT_PER_ENTRY if turn < HUB_ROUNDS - 1 else F.lit(False)

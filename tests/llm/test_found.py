@@ -82,6 +82,44 @@ def test_jaccard_join_hands_on_few_ngrams_of_differences(spark, monkeypatch, per
     assert long and all(held <= ngram_join.apart(size + size * 100 // percent, percent) + 1 for size, held in long)
 
 
+def near_copies(seed: int, words: int, n: int) -> list[tuple]:
+    """Copies of one text with no to many words changed, each word into one of two others."""
+    import random
+
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(2_000)}" for _ in range(words)]
+    made = []
+    for i in range(n):
+        text = list(base)
+        for at in rng.sample(range(words), min(words // 4, int(rng.expovariate(0.25)))):
+            text[at] += rng.choice("xy")
+        made.append((i, " ".join(text)))
+    return made
+
+
+def test_jaccard_join_labels_sets_not_ngrams(spark, monkeypatch):
+    """A label is joined once to each set of a hub, not to every n-gram of its difference."""
+    made, labelled, handed = near_copies(4, 120, 150), [], []
+    add, differences = ngram_join._labelled, ngram_join.differences
+
+    def counted(df, labels):
+        labelled.append(df.count())
+        return add(df, labels)
+
+    def measured(*given):
+        found = differences(*given)
+        handed.append((found.count(), found.agg(F.sum(F.size("elems"))).first()[0] or 0))
+        return found
+
+    monkeypatch.setattr(ngram_join, "_labelled", counted)
+    monkeypatch.setattr(ngram_join, "differences", measured)
+    monkeypatch.setattr(ngram_join, "LEFT_PER_ENTRY", 2)
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    same(ngram_join.jaccard_join(df, 4, 85).select("doc_id", "n_shingles", "component_id"), brute.jaccard_components(made))
+    assert handed and handed[0][1] > 2 * handed[0][0]
+    assert all(sets in labelled for sets, _ in handed) and not any(elems in labelled for _, elems in handed), (labelled, handed)
+
+
 def test_pii_spans(docs, nothing, rows):
     found = pii.digest(pii.spans(docs)).collect()
     by_text = {r["base"] for r in found}
