@@ -23,6 +23,7 @@ digests.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -45,8 +46,11 @@ FREQUENT_KEPT = 500_000
 LEFT_PER_ENTRY = 16
 #: After so many rounds of differences, or one that leaves long columns half their length, the rest of every column is multiplied whole.
 HUB_ROUNDS = 4
-#: Bits of a sketch.
+#: Bits of a sketch, and of a short one.
 SKETCH_BITS = 1024
+SHORT_BITS = 256
+#: Members of a column, about so many, that tell what most of them hold; only the choice of its hub depends on them.
+CENTRE_OF = 64
 
 
 def ngrams(text: str, n: int) -> np.ndarray | None:
@@ -270,13 +274,44 @@ def differences(df: DataFrame, near: DataFrame, who: DataFrame, n: int, percent:
     return store(both.mapInArrow(run, "hub bigint, class bigint, size int, over int, d int, more int, most int, linked boolean, loose boolean, elems array<bigint>"), "differences")
 
 
-def _hubs(lists: DataFrame) -> DataFrame:
+def short_sketches(lists: DataFrame, who: DataFrame) -> DataFrame:
+    """``class, short`` of all classes in ``lists``: the sketch folded to ``SHORT_BITS``, which bounds differences as well; stored."""
+    longs, parts = SHORT_BITS // 64, range(SKETCH_BITS // SHORT_BITS)
+    short = F.array(*[functools.reduce(Column.bitwiseXOR, [F.col("sketch")[k + longs * i] for i in parts]) for k in range(longs)])
+    known = common.join_small(who.select("class", "sketch"), store(lists.select("class").distinct(), "ends"), ["class"], "inner")
+    return store(known.select("class", short.alias("short")), "sketches")
+
+
+def unlike(x: str, y: str) -> Column:
+    """Bits in which two short sketches differ."""
+    return sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(SHORT_BITS // 64)), F.lit(0))
+
+
+def _centres(held: DataFrame) -> DataFrame:
+    """``gram, centre``: the bits that most of about ``CENTRE_OF`` members of a column have in their short sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for shorts in batch.column("shorts"):
+                bits = np.unpackbits(shorts.values.flatten().to_numpy().view(np.uint8).reshape(len(shorts), -1), axis=1, bitorder="little")
+                out.append(np.packbits(bits.sum(axis=0) * 2 > len(bits), bitorder="little").view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("gram"), pa.array(out, type=pa.list_(pa.int64()))], names=["gram", "centre"])
+
+    sizes = held.groupBy("gram").agg(F.count("*").alias("m"))
+    some = held.join(sizes, "gram").where(F.pmod(F.xxhash64("class", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("m") / CENTRE_OF))) == 0)
+    return some.groupBy("gram").agg(F.collect_list("short").alias("shorts")).mapInArrow(run, "gram bigint, centre array<bigint>")
+
+
+def _hubs(lists: DataFrame, known: DataFrame) -> DataFrame:
     """``hub, class, low``: every column's hub, with its members and the size of the smallest of them.
 
-    The hub is the member in most columns, of these the one that was closest to the last hub.
+    The hub is the member closest to what most members hold, by the short sketches ``known``. N-grams that most of them
+    hold are then in the hub, so the columns of differences get shorter.
     """
-    rank = lists.groupBy("class").agg(F.count("*").alias("n"), F.min("d").alias("d")).select("class", F.struct("n", (-F.col("d")).alias("d"), F.xxhash64("class").alias("h"), "class").alias("rank"))
-    hub = lists.join(rank, "class").groupBy("gram").agg(F.max("rank")["class"].alias("hub"))
+    held = common.join_small(lists.select("gram", "class"), known, ["class"], "inner")
+    far = F.coalesce(unlike("short", "centre"), F.lit(0))
+    hub = held.join(_centres(held), "gram", "left").groupBy("gram").agg(F.min_by("class", F.struct(far, F.xxhash64("class"), "class")).alias("hub"))
     near = store(lists.join(hub, "gram").select("hub", "class", "size").where("hub <> class").distinct(), "near")
     return store(near.join(near.groupBy("hub").agg(F.min("size").alias("low")), "hub").select("hub", "class", "low"), "near")
 
@@ -291,13 +326,14 @@ def _by_differences(df: DataFrame, lists: DataFrame, labels: DataFrame | None, d
     common one is the hub's only, the sets have nothing in common outside the hub, and a set is linked with the hub
     if the other one is no smaller than that: what remains lies between loose sets, which lead here, and smaller ones.
     """
+    known = short_sketches(lists, who)
     for turn in range(HUB_ROUNDS):
         mixed = lists.groupBy("gram").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other")
         lists = store(lists.join(mixed, "gram", "left_semi").select("gram", "class", "size", "d"), "long")
         held = lists.count()
         if not held:
             break
-        found = differences(df, _hubs(lists), who, n, percent, order)
+        found = differences(df, _hubs(lists, known), who, n, percent, order)
         linked = store(found.where("linked").select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).distinct(), "linked")
         if not linked.isEmpty():
             labels = _relabel(labels, linked)
@@ -311,8 +347,8 @@ def _by_differences(df: DataFrame, lists: DataFrame, labels: DataFrame | None, d
         lists = store(lists.join(mixed.where("n > 1 AND leads > 0").select("gram", "main", heavy.alias("heavy")), "gram"), "lists")
         if turn and lists.where("heavy").count() * 2 > held:  # another hub would not shorten them
             lists = lists.withColumn("heavy", F.lit(False))
-        light = lists.where("NOT heavy")
-        other = light.where("NOT hubs OR over > 0").select("gram", F.struct("class", "size", "label", "d", "more", "pos").alias("other"), (F.col("label") == F.col("main")).alias("other_main"))
+        light = common.join_small(lists.where("NOT heavy"), known, ["class"], "inner")
+        other = light.where("NOT hubs OR over > 0").select("gram", F.struct("class", "size", "label", "d", "more", "pos", "short").alias("other"), (F.col("label") == F.col("main")).alias("other_main"))
         lead = light.where("lead")
         met = lead.where("label <> main").join(other, "gram").unionByName(lead.where("label = main").join(other.where("NOT other_main"), "gram"))
         most = F.floor((F.col("size") + F.col("other.size")) * (100 - percent) / (100 + percent))
@@ -322,7 +358,7 @@ def _by_differences(df: DataFrame, lists: DataFrame, labels: DataFrame | None, d
         # own n-grams before the first common one are not common
         left = F.least(F.col("size") - F.least("pos", "more"), F.col("other.size") - F.least("other.pos", "other.more"))
         enough = left >= F.ceil((F.col("size") + F.col("other.size")) * percent / (100 + percent))
-        met = met.where((F.col("label") != F.col("other.label")) & places & enough & (F.col("hubs") | first))
+        met = met.where((F.col("label") != F.col("other.label")) & places & enough & (F.col("hubs") | first) & (unlike("short", "other.short") <= most))
         pairs = met.select(F.least("class", "other.class").alias("a"), F.greatest("class", "other.class").alias("b")).distinct()
         pairs = store(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():

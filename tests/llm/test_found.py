@@ -97,6 +97,23 @@ def near_copies(seed: int, words: int, n: int) -> list[tuple]:
     return made
 
 
+def test_jaccard_join_of_near_copies_finds_their_middle(spark, monkeypatch):
+    """Copies of one text, many too far apart: once they are written as differences, few pairs without a link are left to look at."""
+    made, looked = near_copies(3, 120, 300), []
+    overlaps = ngram_join.overlaps
+
+    def counted(df, pairs, *more):
+        found = overlaps(df, pairs, *more)
+        looked.append((pairs.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(ngram_join, "overlaps", counted)
+    monkeypatch.setattr(ngram_join, "LEFT_PER_ENTRY", 2)
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    same(ngram_join.jaccard_join(df, 4, 85).select("doc_id", "n_shingles", "component_id"), brute.jaccard_components(made))
+    assert sum(pairs for pairs, _ in looked[1:]) <= len(made) // 4, looked
+
+
 def test_jaccard_join_labels_sets_not_ngrams(spark, monkeypatch):
     """A label is joined once to each set of a hub, not to every n-gram of its difference."""
     made, labelled, handed = near_copies(4, 120, 150), [], []
