@@ -303,15 +303,18 @@ def _centres(held: DataFrame) -> DataFrame:
     return some.groupBy("gram").agg(F.collect_list("short").alias("shorts")).mapInArrow(run, "gram bigint, centre array<bigint>")
 
 
-def _hubs(lists: DataFrame, known: DataFrame) -> DataFrame:
+def _hubs(lists: DataFrame) -> DataFrame:
     """``hub, class, low``: every column's hub, with its members and the size of the smallest of them.
 
-    The hub is the member closest to what most members hold, by the short sketches ``known``. N-grams that most of them
-    hold are then in the hub, so the columns of differences get shorter.
+    A column proposes the member closest to what most members hold, by their short sketches. N-grams that most of them
+    hold are then in the hub, so the columns of differences get shorter. Of its members that any column proposes, a column
+    takes the one that most columns do, so the columns of one family share hubs, and a set is written as few differences.
     """
-    held = common.join_small(lists.select("gram", "class"), known, ["class"], "inner")
     far = F.coalesce(unlike("short", "centre"), F.lit(0))
-    hub = held.join(_centres(held), "gram", "left").groupBy("gram").agg(F.min_by("class", F.struct(far, F.xxhash64("class"), "class")).alias("hub"))
+    closest = lists.join(_centres(lists), "gram", "left").groupBy("gram").agg(F.min_by("class", F.struct(far, F.xxhash64("class"), "class")).alias("hub"))
+    proposed = store(closest.groupBy("hub").agg(F.count("*").alias("columns")), "proposed")
+    some = lists.select("gram", F.col("class").alias("hub")).join(proposed, "hub")
+    hub = some.groupBy("gram").agg(F.max_by("hub", F.struct("columns", F.xxhash64("hub"), "hub")).alias("hub"))
     near = store(lists.join(hub, "gram").select("hub", "class", "size").where("hub <> class").distinct(), "near")
     return store(near.join(near.groupBy("hub").agg(F.min("size").alias("low")), "hub").select("hub", "class", "low"), "near")
 
@@ -326,20 +329,23 @@ def _by_differences(df: DataFrame, lists: DataFrame, labels: DataFrame | None, d
     common one is the hub's only, the sets have nothing in common outside the hub, and a set is linked with the hub
     if the other one is no smaller than that: what remains lies between loose sets, which lead here, and smaller ones.
     """
-    known = short_sketches(lists, who)
     for turn in range(HUB_ROUNDS):
         mixed = lists.groupBy("gram").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one <> other")
-        lists = store(lists.join(mixed, "gram", "left_semi").select("gram", "class", "size", "d"), "long")
+        lists = store(lists.join(mixed, "gram", "left_semi").drop("label"), "long")
         held = lists.count()
         if not held:
             break
-        found = differences(df, _hubs(lists, known), who, n, percent, order)
+        if not turn:  # sketches join sets from here on, not the n-grams of their differences
+            known = short_sketches(lists, who)
+            lists = store(common.join_small(lists, known, ["class"], "inner"), "long")
+        found = differences(df, _hubs(lists), who, n, percent, order)
         linked = store(found.where("linked").select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).distinct(), "linked")
         if not linked.isEmpty():
             labels = _relabel(labels, linked)
-        spread = _labelled(found, labels).select("hub", "class", "size", "over", "d", "more", "most", "loose", "label", F.posexplode("elems").alias("pos", "elem")).withColumn("hubs", F.col("pos") >= F.col("more"))
+        sets = common.join_small(_labelled(found, labels), known, ["class"], "inner")
+        spread = sets.select("hub", "class", "size", "over", "d", "more", "most", "loose", "label", "short", F.posexplode("elems").alias("pos", "elem")).withColumn("hubs", F.col("pos") >= F.col("more"))
         spread = spread.withColumn("lead", F.when(F.col("hubs"), F.col("loose")).otherwise(F.col("pos") * 2 <= F.col("most")))
-        spread = spread.select(F.xxhash64("hub", "elem").alias("gram"), "class", "size", "over", "d", "more", "pos", "hubs", "lead", "label")
+        spread = spread.select(F.xxhash64("hub", "elem").alias("gram"), "class", "size", "over", "d", "more", "pos", "hubs", "lead", "label", "short")
         lists = store(spread, "lists")
         by_label = lists.groupBy("gram", "label").agg(F.count("*").alias("m"), F.count_if("lead").alias("leads")).groupBy("gram")
         mixed = by_label.agg(F.sum("m").alias("m"), F.sum("leads").alias("leads"), F.sum(F.col("m") * F.col("m")).alias("own"), F.max(F.struct("m", "label"))["label"].alias("main"), F.count("*").alias("n"))
@@ -347,7 +353,7 @@ def _by_differences(df: DataFrame, lists: DataFrame, labels: DataFrame | None, d
         lists = store(lists.join(mixed.where("n > 1 AND leads > 0").select("gram", "main", heavy.alias("heavy")), "gram"), "lists")
         if turn and lists.where("heavy").count() * 2 > held:  # another hub would not shorten them
             lists = lists.withColumn("heavy", F.lit(False))
-        light = common.join_small(lists.where("NOT heavy"), known, ["class"], "inner")
+        light = lists.where("NOT heavy")
         other = light.where("NOT hubs OR over > 0").select("gram", F.struct("class", "size", "label", "d", "more", "pos", "short").alias("other"), (F.col("label") == F.col("main")).alias("other_main"))
         lead = light.where("lead")
         met = lead.where("label <> main").join(other, "gram").unionByName(lead.where("label = main").join(other.where("NOT other_main"), "gram"))
@@ -365,7 +371,7 @@ def _by_differences(df: DataFrame, lists: DataFrame, labels: DataFrame | None, d
             linked = overlaps(df, pairs, who, n, percent)
             labels = labels if linked.isEmpty() else _relabel(labels, linked)
             done = done.union(pairs)
-        lists = _labelled(lists.where("heavy").select("gram", "class", "size", "d"), labels)
+        lists = _labelled(lists.where("heavy").select("gram", "class", "size", "d", "short"), labels)
     return labels
 
 

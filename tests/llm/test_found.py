@@ -137,6 +137,39 @@ def test_jaccard_join_labels_sets_not_ngrams(spark, monkeypatch):
     assert all(sets in labelled for sets, _ in handed) and not any(elems in labelled for _, elems in handed), (labelled, handed)
 
 
+def test_jaccard_join_joins_sketches_to_sets(spark, monkeypatch):
+    """Sketches join the long columns once and then each set of a hub, not the n-grams of its difference."""
+    made, joined, handed = near_copies(4, 120, 150), [], []
+    join, differences = ngram_join.common.join_small, ngram_join.differences
+
+    def counted(left, small, on, how):
+        out = join(left, small, on, how)
+        if "short" in small.columns:
+            joined.append(out.count())
+        return out
+
+    def measured(*given):
+        found = differences(*given)
+        handed.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join.common, "join_small", counted)
+    monkeypatch.setattr(ngram_join, "differences", measured)
+    monkeypatch.setattr(ngram_join, "LEFT_PER_ENTRY", 2)
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    same(ngram_join.jaccard_join(df, 4, 85).select("doc_id", "n_shingles", "component_id"), brute.jaccard_components(made))
+    assert handed and joined[1:] == handed, (joined, handed)
+
+
+def test_columns_of_one_family_share_a_hub(spark):
+    """Columns whose middles are different members take the one that most of them propose, if they hold it."""
+    short = {1: 0, 2: 1, 3: 6, 4: 3, 5: 8, 6: 0, 7: 0}
+    columns = {100: [1, 2, 3], 101: [1, 2, 4], 102: [1, 2, 5], 103: [6, 7]}  # middles: 1, 2, 1, either
+    lists = spark.createDataFrame([(g, c, 10 + c, [short[c], 0, 0, 0]) for g, m in columns.items() for c in m], "gram long, class long, size int, short array<long>")
+    near = {tuple(r) for r in ngram_join._hubs(lists).collect()}
+    assert near - {(6, 7, 17), (7, 6, 16)} == {(1, 2, 12), (1, 3, 12), (1, 4, 12), (1, 5, 12)} and len(near) == 5
+
+
 def test_pii_spans(docs, nothing, rows):
     found = pii.digest(pii.spans(docs)).collect()
     by_text = {r["base"] for r in found}
